@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, quality, secrets
+from . import decontaminate, langid, linededup, neighbours, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % by
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0)
     out = quality.score_quality(_read(spark, sf_dir, "documents"), labels, keep=["doc_id"])
@@ -50,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_line_dedup, op7_secret_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op7_secret_scan, op9_language_id, op10_decontamination)}
