@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, neighbours, quality, secrets
+from . import decontaminate, langid, linededup, nearjoin, neighbours, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(_read(spark, sf_dir, "documents"), length=3, percent=90)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     out = langid.identify_language(docs, docs.where(_remainder("doc_id", 4) != 2), keep=["doc_id"])
@@ -54,4 +58,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op7_secret_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op7_secret_scan, op8_jaccard_join, op9_language_id, op10_decontamination)}
