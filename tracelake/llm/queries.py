@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, nearjoin, neighbours, quality, secrets
+from . import decontaminate, langid, linededup, nearjoin, neighbours, pieces, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +35,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    """The public SentencePiece file; its place can be set by ``TRACELAKE_PIECES``."""
+    if "TRACELAKE_PIECES" in os.environ:
+        return os.environ["TRACELAKE_PIECES"]
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load_model(tokenizer_path())
+    encoded = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.digests(pieces.decode(encoded, model)).select("doc_id", "n_pieces", "ids_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_read(spark, sf_dir, "documents"), keep=["doc_id"])
     base, joined = F.filter("secrets", lambda s: s["kind"] != "entropy"), lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -58,4 +74,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op7_secret_scan, op8_jaccard_join, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op4_sentencepiece, op7_secret_scan, op8_jaccard_join, op9_language_id, op10_decontamination)}
