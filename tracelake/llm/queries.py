@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, nearjoin, neighbours, pieces, quality, secrets
+from . import decontaminate, langid, linededup, nearjoin, neighbours, pieces, quality, secrets, spans, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(encoded, model)).select("doc_id", "n_pieces", "ids_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.pages_as_responses(_read(spark, sf_dir, "pages")), keep=["page_id"])
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", headers.alias("headers"), "block_digest", "payload_digest", F.length("block").cast("bigint").alias("content_length"), F.col("block").cast("string").alias("block"))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.remove_repeated_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_sentences", "n_removed", "text", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_read(spark, sf_dir, "documents"), keep=["doc_id"])
     base, joined = F.filter("secrets", lambda s: s["kind"] != "entropy"), lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -74,4 +85,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op4_sentencepiece, op7_secret_scan, op8_jaccard_join, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op4_sentencepiece, op5_warc_derivatives, op6_sentence_spans, op7_secret_scan, op8_jaccard_join, op9_language_id, op10_decontamination)}
