@@ -29,11 +29,11 @@ from . import textbytes as tb
 from .sparkio import unused
 
 WINDOW = 64
-HIDDEN = 12
+HIDDEN = 8
 ROWS_PER_LANG = 400
 WINDOWS_PER_ROW = 6
 MAX_LANGS = 256
-BATCH_WINDOWS = 2048
+BATCH_WINDOWS = 4096
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = True
 _ASCII_LETTER[97:123] = True
@@ -48,40 +48,57 @@ class Network(NamedTuple):
     bias: np.ndarray
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def squash(x: np.ndarray) -> np.ndarray:
+    """In place, a rational sigmoid from -1 to 1, smooth and flat from 3 on; several times as fast as tanh."""
+    np.clip(x, -3, 3, out=x)
+    square = x * x
+    x *= square + 27
+    square *= 9
+    square += 27
+    x /= square
+    return x
+
+
+def squash_slope(x: np.ndarray) -> np.ndarray:
+    """The derivative of ``squash`` at x."""
+    square = np.minimum(x * x, 9)
+    return ((9 - square) / (3 * (3 + square))) ** 2
 
 
 def label_bytes(net: Network, windows: np.ndarray, inside: np.ndarray | None) -> np.ndarray:
-    """Probabilities (window, position, label); ``inside`` tells positions from padding, None if there is none."""
+    """Probabilities (position, window, label); ``inside`` tells positions from padding, None if there is none."""
     n, length = windows.shape
-    h_size = net.states.shape[1]
-    h = np.zeros((2, n, h_size), np.float32)
-    seen = np.empty((2, length, n, h_size), np.float32)
-    for t in range(length):
-        a = np.stack([net.inputs[0][windows[:, t]], net.inputs[1][windows[:, length - 1 - t]]])
-        u = h @ net.states
-        gates = a[:, :, : 2 * h_size]
-        gates += u[:, :, : 2 * h_size]
-        gates = _sigmoid(np.maximum(gates, -30))
-        c = u[:, :, 2 * h_size :]
-        c *= gates[:, :, h_size:]
-        c += a[:, :, 2 * h_size :]
-        np.tanh(c, out=c)
-        c -= h
-        c *= gates[:, :, :h_size]
-        if inside is not None:
-            c *= np.stack([inside[:, t], inside[:, length - 1 - t]])[:, :, None]
-        h = h + c
-        seen[0, t], seen[1, length - 1 - t] = h[0], h[1]
-    logits = seen[0].reshape(-1, h_size) @ net.out[:h_size]
-    logits += seen[1].reshape(-1, h_size) @ net.out[h_size:]
+    size = net.states.shape[1]
+    columns = np.ascontiguousarray(windows.T).astype(np.intp)
+    mask = None if inside is None else np.ascontiguousarray(inside.T.astype(np.float32))[:, :, None]
+    seen = np.empty((2, length, n, size), np.float32)
+    gates, recurrent, c, uc = (np.empty((n, k * size), np.float32) for k in (2, 2, 1, 1))
+    for d in (0, 1):
+        # update and reset gates are squash(x / 2) / 2 + 1 / 2
+        gate_in, cand_in = np.ascontiguousarray(net.inputs[d][:, : 2 * size]) / 2, np.ascontiguousarray(net.inputs[d][:, 2 * size :])
+        gate_state, cand_state = np.ascontiguousarray(net.states[d][:, : 2 * size]) / 2, np.ascontiguousarray(net.states[d][:, 2 * size :])
+        h = np.zeros((n, size), np.float32)
+        for t in range(length) if d == 0 else reversed(range(length)):
+            np.take(gate_in, columns[t], axis=0, out=gates, mode="clip")
+            np.take(cand_in, columns[t], axis=0, out=c, mode="clip")
+            gates += np.matmul(h, gate_state, out=recurrent)
+            squash(gates)
+            gates *= 0.5
+            gates += 0.5
+            np.matmul(h, cand_state, out=uc)
+            uc *= gates[:, size:]
+            c += uc
+            squash(c)
+            c -= h
+            c *= gates[:, :size]
+            if mask is not None:
+                c *= mask[t]
+            h += c
+            seen[d, t] = h
+    logits = seen[0].reshape(-1, size) @ net.out[:size]
+    logits += seen[1].reshape(-1, size) @ net.out[size:]
     logits += net.bias
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
+    np.exp(logits, out=logits)  # the states are within -1 and 1, so sums stay small
     logits /= logits.sum(1, keepdims=True)
     return logits.reshape(length, n, -1)
 
@@ -92,16 +109,19 @@ def gradients(net: Network, windows: np.ndarray, inside: np.ndarray, labels: np.
     size = net.states.shape[1]
     order = np.stack([np.arange(length), np.arange(length)[::-1]])
     h = np.zeros((2, n, size))
-    past, z_, r_, c_, uc_ = ([None] * length for _ in range(5))
+    past, z_, r_, c_, uc_, gs_, cs_ = ([None] * length for _ in range(7))
     seen = np.zeros((2, length, n, size))
     for t in range(length):
         a = np.stack([net.inputs[d][windows[:, order[d, t]]] for d in (0, 1)])
         m = np.stack([inside[:, order[d, t]] for d in (0, 1)])[:, :, None]
         u = h @ net.states
-        z = 1 / (1 + np.exp(-(a[:, :, :size] + u[:, :, :size]))) * m
-        r = 1 / (1 + np.exp(-(a[:, :, size : 2 * size] + u[:, :, size : 2 * size])))
-        c = np.tanh(a[:, :, 2 * size :] + r * u[:, :, 2 * size :])
+        gate_in = (a[:, :, : 2 * size] + u[:, :, : 2 * size]) / 2
+        gates = squash(gate_in.copy()) / 2 + 0.5
+        z, r = gates[:, :, :size] * m, gates[:, :, size:]
+        c_in = a[:, :, 2 * size :] + r * u[:, :, 2 * size :]
+        c = squash(c_in.copy())
         past[t], z_[t], r_[t], c_[t], uc_[t] = h, z, r, c, u[:, :, 2 * size :]
+        gs_[t], cs_[t] = squash_slope(gate_in) / 4, squash_slope(c_in)
         h = h + z * (c - h)
         for d in (0, 1):
             seen[d, order[d, t]] = h[d]
@@ -122,9 +142,9 @@ def gradients(net: Network, windows: np.ndarray, inside: np.ndarray, labels: np.
         dh = dh + np.stack([g_seen[order[d, t]][:, d * size : (d + 1) * size] for d in (0, 1)])
         h, z, r, c, uc = past[t], z_[t], r_[t], c_[t], uc_[t]
         m = np.stack([inside[:, order[d, t]] for d in (0, 1)])[:, :, None]
-        dz = dh * (c - h) * z * (1 - z) * m
-        dc = dh * z * (1 - c * c)
-        dr = dc * uc * r * (1 - r)
+        dz = dh * (c - h) * gs_[t][:, :, :size] * m
+        dc = dh * z * cs_[t]
+        dr = dc * uc * gs_[t][:, :, size:]
         da = np.concatenate([dz, dr, dc], axis=2)
         du = np.concatenate([dz, dr, dc * r], axis=2)
         for d in (0, 1):
