@@ -1,3 +1,6 @@
-"""Query name -> the equivalent DuckDB SQL."""
+"""Query name -> the equivalent DuckDB SQL, with all queries registered."""
 
-SQL: dict[str, str] = {}
+from . import catalog, evidence, governance, search, timeline, values  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
