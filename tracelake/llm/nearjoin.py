@@ -22,7 +22,8 @@ Postings move packed in binary columns, sliced by hash so that no task holds mor
 
 Edge cases: null or empty texts and texts without words have the empty set and link with nothing; with
 fewer words than a shingle the whole sequence is the one shingle; rows with a null doc_id are returned
-without a component; rows that repeat a doc_id count as one document, linked by any of their texts;
+without a component; rows that repeat a doc_id with the same text count once (a doc_id names one text:
+with other texts under it, each row gets the component of its own text, and both may be joined);
 an empty table gives an empty result.
 """
 
@@ -126,9 +127,9 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def shared_counts(docs: DataFrame, length: int, percent: int, postings: int) -> DataFrame:
-    """``doc_id`` and in how many hashes ``shared`` of its extended prefix it is not alone; parts that add up."""
-    n_slices = slices(postings, SLICE)
+def shared_counts(docs: DataFrame, length: int, percent: int, postings: int, n_docs: int) -> DataFrame:
+    """``doc_id`` and in how many hashes ``shared`` of its extended prefix it is not alone."""
+    n_slices, n_buckets = slices(postings, SLICE), slices(n_docs, SLICE // 4)
     names = ["slice", "hashes", "docs", "credited", "credit"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +175,15 @@ def shared_counts(docs: DataFrame, length: int, percent: int, postings: int) ->
         docs = np.concatenate([d, _joined(table["credited"], np.int64)])
         credit = np.concatenate([np.ones(len(d), np.int64), _joined(table["credit"], np.int64)])
         doc, inverse = np.unique(docs, return_inverse=True)
-        return pa.table({"doc_id": doc, "shared": np.bincount(inverse, weights=credit, minlength=len(doc)).astype(np.int64)})
+        credit = np.bincount(inverse, weights=credit, minlength=len(doc)).astype(np.int64)
+        return pa.Table.from_batches([_packed(list(_sliced(doc.view(np.uint64), n_buckets, doc, credit)), ["bucket", "docs", "credit"])])
 
-    return docs.mapInArrow(emit, "slice int, hashes binary, docs binary, credited binary, credit binary").groupBy("slice").applyInArrow(merge, "doc_id bigint, shared bigint")
+    def add(table: pa.Table) -> pa.Table:
+        doc, inverse = np.unique(_joined(table["docs"], np.int64), return_inverse=True)
+        return pa.table({"doc_id": doc, "shared": np.bincount(inverse, weights=_joined(table["credit"], np.int64), minlength=len(doc)).astype(np.int64)})
+
+    found = docs.mapInArrow(emit, "slice int, hashes binary, docs binary, credited binary, credit binary").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, credit binary")
+    return found.groupBy("bucket").applyInArrow(add, "doc_id bigint, shared bigint")
 
 
 def whole_sets(docs: DataFrame, length: int) -> DataFrame:
@@ -199,7 +206,7 @@ def _flat_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_frequencies(sets: DataFrame, shingles: int) -> DataFrame:
-    """``doc_id``, ``hashes`` and ``counts``: of each document those shingles that other documents hold too, in several rows."""
+    """``bucket`` (of documents) with packed ``docs``, ``hashes`` and ``counts``: of each document those shingles that others hold too."""
     n_slices = slices(shingles, SLICE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,16 +238,13 @@ def with_frequencies(sets: DataFrame, shingles: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 ok = known[at] == h if len(known) else np.zeros(len(h), bool)
                 h, d, n = h[ok], d[ok], counts[at[ok]]
-                order = np.argsort(d, kind="stable")
-                h, d, n = h[order], d[order], n[order]
-                starts, _ = _groups(d)
-                ends = np.append(starts[1:], len(d))
-                out += [(int(d[a]), h[a:z].tobytes(), n[a:z].tobytes()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["doc_id", "hashes", "counts"])
+                out += list(_sliced(d.view(np.uint64), n_slices, d, h, n))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "docs", "hashes", "counts"])
 
     schema = "slice int, kind int, hashes binary, other binary"
     known = sets.mapInArrow(count, "slice int, hashes binary, counts binary").groupBy("slice").applyInArrow(add, schema)
-    return known.union(sets.mapInArrow(postings, schema)).repartition(n_slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, "doc_id bigint, hashes binary, counts binary")
+    return known.union(sets.mapInArrow(postings, schema)).repartition(n_slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, "bucket int, docs binary, hashes binary, counts binary")
 
 
 def band_limits(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -294,34 +298,32 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0), keys[starts], least
 
 
-def candidate_edges(postings: DataFrame, percent: int, frequent: int, n_slices: int) -> DataFrame:
-    """Edges (a, b) of the stars of all signatures. ``postings`` has doc_id, n and arrays of packed hashes and counts."""
-    limits = band_limits(percent)
+def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: int, frequent: int) -> DataFrame:
+    """Edges (a, b) of the stars of all signatures. ``parts`` is what ``with_frequencies`` gave for the sets."""
+    limits, n_buckets = band_limits(percent), slices(shingles, SLICE)
+    n_slices = slices(shingles, 4 * SLICE)
     names = ["slice", "keys", "docs", "ea", "eb"]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-
-        def flush() -> pa.RecordBatch:
-            edges, keys, least = _stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held.clear()
-            rows = {k: (a, b, b"", b"") for k, a, b in _sliced(keys, n_slices, keys, least)}
-            for k, a, b in _sliced(edges[:, 0].astype(np.uint64), n_slices, edges[:, 0], edges[:, 1]):
-                rows[k] = (*rows.get(k, (b"", b""))[:2], a, b)
-            return _packed([(k, *v) for k, v in rows.items()], names)
-
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.frombuffer(b"".join(p["hashes"] for p in parts), np.uint64)
-                counts = np.frombuffer(b"".join(p["counts"] for p in parts), np.int64)
-                found = signatures(n, hashes, counts, percent, frequent, limits)
-                held.append((found, np.full(len(found), doc)))
-                count += len(found)
-                if count >= FLUSH:
-                    yield flush()
-                    count = 0
-        if count:
-            yield flush()
+            d, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield _packed(list(_sliced(d.view(np.uint64), n_buckets, d, n)), ["bucket", "docs", "n"])
+
+    def emit(table: pa.Table, known: pa.Table) -> pa.Table:
+        doc, hashes, counts = _joined(table["docs"], np.int64), _joined(table["hashes"], np.uint64), _joined(table["counts"], np.int64)
+        size = dict(zip(_joined(known["docs"], np.int64).tolist(), _joined(known["n"], np.int64).tolist(), strict=True))
+        order = np.argsort(doc, kind="stable")
+        doc, hashes, counts = doc[order], hashes[order], counts[order]
+        starts, _ = _groups(doc)
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for a, z in zip(starts.tolist(), np.append(starts[1:], len(doc)).tolist(), strict=True):
+            found = signatures(max(size[int(doc[a])], z - a), hashes[a:z], counts[a:z], percent, frequent, limits)
+            held.append((found, np.full(len(found), doc[a])))
+        edges, keys, least = _stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        rows = {k: (x, y, b"", b"") for k, x, y in _sliced(keys, n_slices, keys, least)}
+        for k, x, y in _sliced(edges[:, 0].astype(np.uint64), n_slices, edges[:, 0], edges[:, 1]):
+            rows[k] = (*rows.get(k, (b"", b""))[:2], x, y)
+        return pa.Table.from_batches([_packed([(k, *v) for k, v in rows.items()], names)])
 
     def merge(table: pa.Table) -> pa.Table:
         edges, _, _ = _stars(_joined(table["keys"], np.uint64), _joined(table["docs"], np.int64))
@@ -329,7 +331,9 @@ def candidate_edges(postings: DataFrame, percent: int, frequent: int, n_slices:
         edges = np.unique(np.concatenate([edges, old]), axis=0)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return postings.mapInArrow(emit, "slice int, keys binary, docs binary, ea binary, eb binary").groupBy("slice").applyInArrow(merge, "a bigint, b bigint")
+    by_bucket = sets.select("doc_id", "n").mapInArrow(sizes, "bucket int, docs binary, n binary").groupBy("bucket")
+    starred = parts.groupBy("bucket").cogroup(by_bucket).applyInArrow(emit, "slice int, keys binary, docs binary, ea binary, eb binary")
+    return starred.groupBy("slice").applyInArrow(merge, "a bigint, b bigint")
 
 
 def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -411,19 +415,17 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, text: s
     classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
 
     t = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    postings = full.agg(F.sum(t + 1 + F.floor(t / 2))).first()[0] or 0
+    postings, n_docs = (x or 0 for x in full.agg(F.sum(t + 1 + F.floor(t / 2)), F.count(F.lit(1))).first())
     least = F.ceil(F.col("n") * percent / 100)
     t_least = least - F.ceil(least * percent / 100)
-    shared = shared_counts(known, length, percent, int(postings)).groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    shared = shared_counts(known, length, percent, int(postings), n_docs)
     left = saved(classes.join(shared, F.col("rep") == F.col("doc_id")).where(F.col("shared") >= 1 + F.floor(t_least / 2)).select("doc_id", "n"), "near-left")
     count, shingles = left.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not count:
         return _with_components(described, classes, None, 0)
 
     sets = saved(whole_sets(known.join(fitting(left.select("doc_id"), count, BROADCAST_ROWS), "doc_id", "left_semi"), length), "near-sets")
-    parts = with_frequencies(sets, int(shingles)).groupBy("doc_id").agg(F.collect_list(F.struct("hashes", "counts")).alias("parts"))
-    rows = sets.select("doc_id", "n").join(parts, "doc_id").select("doc_id", "n", "parts")
-    edges = candidate_edges(rows, percent, frequent, slices(int(shingles), 4 * SLICE))
+    edges = candidate_edges(with_frequencies(sets, int(shingles)), sets, int(shingles), percent, frequent)
     clusters = components(edges).withColumnsRenamed({"node": "doc_id"})
     links, cut = verified_edges(sets, clusters, percent, group_shingles)
     links = saved(links.distinct(), "near-links")
@@ -442,7 +444,7 @@ def _with_components(described: DataFrame, classes: DataFrame, labels: DataFrame
     else:
         labels = fitting(labels.withColumnRenamed("node", "rep"), n_labels, BROADCAST_ROWS)
         named = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("label", "rep")).drop("label")
-    return described.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return described.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
