@@ -134,6 +134,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     if common is None:
         return empty
     rows = rows.where(F.size("v") == common["n"]).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    rows = rows.dropDuplicates(["h1", "h2", "id"])
     by_vector = Window.partitionBy("h1", "h2").orderBy("id")
     # the limit on row_number is applied before the shuffle too, so a group sends k + 2 rows a task at most
     members = saved(rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 2).withColumn("entry", F.first("id").over(by_vector)).select("h1", "h2", "entry", "id", "n", F.when(F.col("n") == 1, F.col("v")).alias("v")), "ann-members")
