@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _STRIP = r"regexp_replace(regexp_replace({}, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -17,5 +18,41 @@ repeated AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (kept_in <> doc_id) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept_in IS NULL OR kept_in = doc_id), '')) AS kept_sha256
 FROM lines LEFT JOIN repeated USING (key) GROUP BY doc_id
+""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, list_slice(w, i + 1, i + 3) AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reached GROUP BY a) USING (doc_id)
+""",
+    "op10_decontamination": f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
+windows AS (
+  SELECT item_id, q, n, list_slice(w, q + 1, q + n) AS s
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(greatest(1, len(w) - 9))) AS q FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, n, p, list_slice(w, p + 1, p + n) AS s
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, p, q, n FROM places JOIN windows USING (n, s)),
+hits AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM (SELECT DISTINCT doc_id, p, unnest(range(n)) AS k FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, count(*) + any_value(n) - 1 AS longest, min(p) AS begins
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q, n ORDER BY p) AS run FROM (SELECT DISTINCT * FROM found))
+  GROUP BY doc_id, item_id, p - q, n, run),
+best AS (SELECT doc_id, max(longest) AS longest_words, arg_min(begins, (-longest, begins)) AS longest_at FROM runs GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_words, 0) AS longest_words, longest_at
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN best USING (doc_id)
 """,
 }
