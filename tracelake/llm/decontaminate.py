@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .sparkio import unused
 
 SHARD_BYTES = 1 << 22
 BLOCK_WORDS = 1 << 20
@@ -224,8 +225,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     names = {f.name.lower() for f in FIELDS}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     blocks = benchmark_blocks(benchmark, window, block_words, text=text)
-    source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias("_scanned"))
-    schema = T.StructType(source.drop("_scanned").schema.fields + FIELDS)
+    scanned = unused(docs, "scanned")
+    source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias(scanned))
+    schema = T.StructType(source.drop(scanned).schema.fields + FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .sparkio import fitting, saved, slices
+from .sparkio import fitting, saved, slices, unused
 
-FLUSH = 1 << 20
-SLICE = 1 << 20
+FLUSH = 1 << 18
+SLICE = 1 << 19
 GROUP_SHINGLES = 1 << 21
 BROADCAST_ROWS = 2_000_000
 FREQUENT = 32
@@ -315,8 +315,9 @@ def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: i
         order = np.argsort(doc, kind="stable")
         doc, hashes, counts = doc[order], hashes[order], counts[order]
         starts, _ = _groups(doc)
+        ends = np.append(starts, len(doc))[1:]  # none if the bucket shares nothing
         held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        for a, z in zip(starts.tolist(), np.append(starts[1:], len(doc)).tolist(), strict=True):
+        for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
             found = signatures(max(size[int(doc[a])], z - a), hashes[a:z], counts[a:z], percent, frequent, limits)
             held.append((found, np.full(len(found), doc[a])))
         edges, keys, least = _stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -449,5 +450,6 @@ def _with_components(described: DataFrame, classes: DataFrame, labels: DataFrame
 
 def keep_one(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those of a component that are not its smallest; rows with a null doc_id stay."""
-    gone = saved(near_duplicates(docs, length, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
-    return docs.join(fitting(gone, gone.count(), BROADCAST_ROWS), F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
+    name = unused(docs, "gone_id")
+    gone = saved(near_duplicates(docs, length, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    return docs.join(fitting(gone, gone.count(), BROADCAST_ROWS), docs["doc_id"].cast("bigint") == gone[name], "left_anti")
