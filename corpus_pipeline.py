@@ -19,9 +19,10 @@ LEAST_SURE = 0.9
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has no letter, or is surely in another language than they say, are rejected."""
-    told = langid.identify_language(docs.withColumns({"lang_pred": F.lit(None), "score": F.lit(None)}), docs)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")  # the documents' own columns stay as they are
+    told = langid.identify_language(whole, docs, keep=["row", "lang"])
     wrong = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= LEAST_SURE)
-    return told.where((F.col("lang_pred") != "und") & ~wrong).select(*docs.columns)
+    return told.where((F.col("lang_pred") != "und") & ~wrong).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +44,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their pieces' ids; documents whose pieces don't decode to their text would be a fault and fail the job."""
     model = pieces.load_model(tokenizer_path())
-    out = pieces.decode(pieces.encode(docs, model), model, "decoded")
-    same = F.col("decoded").eqNullSafe(F.col("text"))
-    return out.withColumn("ids", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("pieces do not decode to the text")).cast("array<int>"))).drop("decoded")
+    out = pieces.encode(docs, model, extras=("ids", "round_trip"))
+    return out.withColumn("ids", F.when(F.col("round_trip"), F.col("ids")).otherwise(F.raise_error(F.lit("pieces do not decode to the text")).cast("array<int>"))).drop("round_trip")
 
 
 STAGES = [
