@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import unused
+from .sparkio import bound_batches, unused
 
 SHARD_BYTES = 1 << 22
 BLOCK_WORDS = 1 << 20
@@ -224,6 +224,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         raise ValueError("window must be at least 1")
     names = {f.name.lower() for f in FIELDS}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    bound_batches(docs.sparkSession)
     blocks = benchmark_blocks(benchmark, window, block_words, text=text)
     scanned = unused(docs, "scanned")
     source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias(scanned))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import unused
+from .sparkio import bound_batches, unused
 
 WINDOW = 64
 HIDDEN = 8
@@ -234,6 +234,7 @@ def has_letter(piece: tb.Piece) -> np.ndarray:
 
 def identify_language(docs: DataFrame, learn_from: DataFrame, keep: list[str] | None = None, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
     """The columns ``keep`` of each document (all, if None), ``lang_pred`` and ``score``. ``learn_from`` has doc_id, text and lang."""
+    bound_batches(docs.sparkSession)
     sample = training_windows(learn_from, rows_per_lang)
     names = sorted({lang for lang, _ in sample}, key=str.encode)
     net = None

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import saved, slices
+from .sparkio import bound_batches, saved, slices
 
 BLOCK_BITS = 1 << 20
 FILTER_BITS = 1 << 28
@@ -184,6 +184,7 @@ def _clean(ids: list, column: pa.Array, min_chars: int, filter_: np.ndarray, n_b
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """The documents with their kept lines as ``text``, and ``n_lines`` and ``n_dropped``. Other columns stay; of these two names only the new ones."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     docs = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .sparkio import fitting, saved, slices, unused
+from .sparkio import bound_batches, fitting, saved, slices, unused
 
 FLUSH = 1 << 18
 SLICE = 1 << 19
@@ -409,6 +409,7 @@ def verified_edges(sets: DataFrame, clusters: DataFrame, percent: int, group_shi
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest doc_id reachable by links) of each row."""
+    bound_batches(docs.sparkSession)
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     known = two.where("doc_id IS NOT NULL")
     described = saved(describe(two, length), "near-described")

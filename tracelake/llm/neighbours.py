@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparkio import saved, slices
+from .sparkio import bound_batches, saved, slices
 
 SAMPLE = 8192
 SHARD_ROWS = 1 << 15
@@ -127,6 +127,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, target: float = TARGET) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` (Euclidean distance) of the ``k`` nearest others of each query row."""
+    bound_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(_valid(F.col("v"), F.col("id")))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()

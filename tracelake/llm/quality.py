@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import unused
+from .sparkio import bound_batches, unused
 
 MAX_ROWS = 4000
 BITS = 20
@@ -111,6 +111,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: list[str] | None = None, max_rows: int = MAX_ROWS, bits: int = BITS, threshold: float = 0.3) -> DataFrame:
     """The columns ``keep`` of each document (all, if None), ``score`` (0 to 1) and ``predicted``."""
+    bound_batches(docs.sparkSession)
     weights, intercept = train_ftrl(labelled_rows(docs, labels, label, max_rows, bits), bits)
     model = docs.sparkSession.sparkContext.broadcast((weights, intercept))
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import unused
+from .sparkio import bound_batches, unused
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -148,6 +148,7 @@ FIELDS = [T.StructField("secrets", T.ArrayType(T.StructType([T.StructField("kind
 
 def scan_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """The columns ``keep`` (all, if None) and ``secrets``: kind, start and end (code points) by start, then kind."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "secrets"]
     scanned = unused(docs, "scanned")
     source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias(scanned))

@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows, unless the session asks for fewer: they are held twice outside the heap, and whole in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it again: work done once, safe from lost executors, lineage cut."""
     spark = df.sparkSession

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sparkio import bound_batches
+
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 CRLF = b"\r\n"
 SCHEMA = T.StructType([
@@ -112,6 +114,7 @@ def _arrow_schema() -> pa.Schema:
 
 def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Two records for each response; the columns ``keep`` of the response go along."""
+    bound_batches(responses.sparkSession)
     keep = list(keep or ())
     source = responses.where("warc_type = 'response'").select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *SCHEMA.names)
     schema = T.StructType([T.StructField(f"k{i}", responses.schema[c].dataType) for i, c in enumerate(keep)] + SCHEMA.fields)
