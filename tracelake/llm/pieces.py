@@ -7,8 +7,8 @@ can be encoded apart and every distinct word only once:
 1. All texts are cut, and the distinct words counted (map-side first).
 2. Lattice: substrings of bounded length of every distinct word are exploded and equi-joined to the
    piece table; the edges are grouped by word, which they are already distributed by.
-3. Viterbi: a Spark higher-order ``aggregate`` folds over the end positions, keeping the best score and
-   last edge of each. A character that no piece covers costs 10 more than the worst piece and
+3. Viterbi: a Spark higher-order ``reduce`` (``aggregate``) folds over a word's edges by end and start,
+   keeping the best score and path to each end. A character that no piece covers costs 10 more than the worst piece and
    becomes its bytes' pieces (or the unknown piece). Ties go to the longer last piece.
 4. The words' ids go back to the texts: from a broadcast, if the distinct words are at most
    ``broadcast_words`` (counted first), else by a join on the word and a regrouping by document.
@@ -25,6 +25,7 @@ are encoded alike; columns called ``ids`` are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import saved, slices, unused
+from .sparkio import bound_batches, saved, slices, unused
 
 SPACE = "▁"
 LATTICE_CHARS = 64
 BROADCAST_WORDS = 4_000_000
-FLUSH_CHARS = 1 << 23
+TASK_WORDS = 50_000
+FLUSH_CHARS = 1 << 22
+DECODED_ROWS = 128
 UNKNOWN = -1
 
 
@@ -86,7 +89,7 @@ def hash_words(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         h[live] = h[live] * step + mixed[starts[live] + k]
     for i in live[ends[live] - starts[live] > LATTICE_CHARS].tolist() if len(live) else ():
         rest = mixed[starts[i] + LATTICE_CHARS : ends[i]].view(np.uint8)
-        h[i : i + 1] = h[i : i + 1] * step + tb.hash_spans(rest, np.array([0]), np.array([len(rest)]))
+        h[i : i + 1] = h[i : i + 1] * step + tb.hash_spans(rest, np.array([0]), np.array([len(rest)]))[0]
     return tb.mix(h)
 
 
@@ -186,11 +189,12 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, unk_score: float) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, unk_score: float, n_words: int) -> DataFrame:
     """``word``, ``times`` and ``edges`` (end, start, id, score): every substring of at most ``longest`` characters that is a piece, or one unknown character."""
-    n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda m: F.struct(s.alias("start"), (s + m).alias("end"), F.substr("word", s + 1, m).alias("piece")))))
-    exploded = words.select("word", "times", F.inline(spans))
+    # plain generators stay inside generated code; the words are dealt by word, so grouping needs no further shuffle
+    starts = words.repartition(slices(n_words, TASK_WORDS), "word").select("word", "times", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    spans = starts.select("word", "times", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size"))
+    exploded = spans.select("word", "times", "start", (F.col("start") + F.col("size")).alias("end"), F.substr("word", F.col("start") + 1, F.col("size")).alias("piece"))
     # the piece table is bounded by the vocabulary; a character that is no piece stays as an unknown edge
     edges = exploded.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end - start = 1")
     edge = F.struct("end", "start", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("score", F.lit(unk_score)).alias("score"))
@@ -198,32 +202,29 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, unk_score: float)
 
 
 def fold_viterbi(word: Column, edges: Column, model: Model) -> Column:
-    """The ids of the best path, as a higher-order fold over the end positions."""
-    state_type = "array<struct<score:double,start:int,id:int>>"
+    """The ids of the best path, as a higher-order fold over the edges by end and start.
 
-    def step(state: Column, end: Column) -> Column:
-        options = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: F.struct((F.element_at(state, e["start"] + 1)["score"] + e["score"]).alias("score"), (-e["start"]).alias("start"), e["id"].alias("id")))
-        best = F.array_max(options)  # the best score, then the smallest start
-        return F.concat(state, F.array(F.struct(best["score"].alias("score"), (-best["start"]).alias("start"), best["id"].alias("id"))))
-
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(UNKNOWN).alias("id"))).cast(state_type)
-    table = F.reduce(F.sequence(F.lit(1), F.length(word)), first, step)
+    The state holds, for each end reached, the best score and the ids that lead there. An edge to the
+    next end opens it; a better one to the same end replaces it, so among equals the smallest start stays.
+    """
     spell = F.lit(model.byte_ids) if model.byte_ids else None
 
-    def ids_of(start: Column, end: Column, i: Column) -> Column:
+    def ids_of(e: Column) -> Column:
         if spell is None:
-            return F.array(F.when(i == UNKNOWN, F.lit(model.unk_id)).otherwise(i))
-        octets = F.hex(F.encode(F.substr(word, start + 1, end - start), "UTF-8"))
+            return F.array(F.when(e["id"] == UNKNOWN, F.lit(model.unk_id)).otherwise(e["id"]))
+        octets = F.hex(F.encode(F.substr(word, e["start"] + 1, F.lit(1)), "UTF-8"))
         bytes_ = F.transform(F.sequence(F.lit(0), (F.length(octets) / 2).cast("int") - 1), lambda k: F.element_at(spell, F.conv(F.substr(octets, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(i == UNKNOWN, bytes_).otherwise(F.array(i))
+        return F.when(e["id"] == UNKNOWN, bytes_).otherwise(F.array(e["id"]))
 
-    def back(state: Column, _: Column) -> Column:
-        at = F.element_at(state["table"], state["end"] + 1)
-        moved = F.struct(state["table"].alias("table"), at["start"].alias("end"), F.concat(ids_of(at["start"], state["end"], at["id"]), state["ids"]).alias("ids"))
-        return F.when(state["end"] == 0, state).otherwise(moved)
+    def step(state: Column, e: Column) -> Column:
+        before = F.element_at(state, e["start"] + 1)
+        found = F.array(F.struct((before["score"] + e["score"]).alias("score"), F.concat(before["ids"], ids_of(e)).alias("ids")))
+        opens = F.size(state) == e["end"]
+        better = before["score"] + e["score"] > F.element_at(state, -1)["score"]
+        return F.when(opens, F.concat(state, found)).when(better, F.concat(F.slice(state, F.lit(1), e["end"]), found)).otherwise(state)
 
-    begin = F.struct(table.alias("table"), F.length(word).alias("end"), F.array().cast("array<int>").alias("ids"))
-    return F.reduce(F.sequence(F.lit(1), F.length(word)), begin, back, lambda s: s["ids"])
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    return F.reduce(F.array_sort(edges), first, step, lambda state: F.element_at(state, -1)["ids"])
 
 
 def encoded_words(words: DataFrame, model: Model) -> DataFrame:
@@ -231,8 +232,8 @@ def encoded_words(words: DataFrame, model: Model) -> DataFrame:
     spark = words.sparkSession
     table = spark.sparkContext.broadcast(model)
     short = words.where(F.length("word") <= LATTICE_CHARS)
-    # the fold walks a word's edges once for each end, which only short words can afford
-    edges = lattice(short, piece_table(spark, model), model.longest, model.unk_score)
+    # the fold copies its state at each step, which only short words can afford
+    edges = lattice(short, piece_table(spark, model), model.longest, model.unk_score, words.count())
     found = edges.select("word", "times", fold_viterbi(F.col("word"), F.col("edges"), model).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +254,9 @@ class Dictionary(NamedTuple):
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words on end, and how many each has."""
         k = np.searchsorted(self.hashes, h)
-        n = self.at[k + 1] - self.at[k]
-        return self.ids[tb.ranges(self.at[k], n)], n
+        start = self.at[k].astype(np.int64)
+        n = self.at[k + 1] - start
+        return self.ids[tb.ranges(start, n)].astype(np.int32), n
 
 
 def dictionary(words: DataFrame, cutter) -> Dictionary:
@@ -277,33 +279,55 @@ def dictionary(words: DataFrame, cutter) -> Dictionary:
     if (h[order][1:] == h[order][:-1]).any():
         raise ValueError("two words have one 64-bit hash")
     at = np.concatenate([[0], np.cumsum(n)])
-    return Dictionary(h[order], np.concatenate([[0], np.cumsum(n[order])]), ids[tb.ranges(at[:-1][order], n[order])])
+    ids = ids[tb.ranges(at[:-1][order], n[order])]
+    return Dictionary(h[order], np.concatenate([[0], np.cumsum(n[order])]).astype(np.uint32), ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids)
+
+
+EXTRAS = {"ids": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "round_trip": T.BooleanType()}
+
+
+def _extra(name: str, ids: list[np.ndarray | None], texts: list[str | None], model: Model) -> pa.Array:
+    """A column made of the ids of some rows; null for null ids."""
+    each = lambda f, kind: pa.array([None if x is None else f(x) for x in ids], kind)
+    if name == "n_pieces":
+        return each(len, pa.int64())
+    if name == "ids_sha256":
+        return each(lambda x: hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest(), pa.string())
+    if name == "decoded":
+        return each(lambda x: decode_ids(x, model), pa.string())
+    if name == "round_trip":
+        return pa.array([t is None if x is None else decode_ids(x, model) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+    at = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=pa.array([x is None for x in ids]))
 
 
-def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The documents with ``ids``, their pieces' numbers, as array<int>."""
+def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS, keep: list[str] | None = None, extras: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """The columns ``keep`` (all, if None) and ``extras``: ``ids``, and what is made of them in the same pass: ``n_pieces``, ``ids_sha256`` (of the comma-joined ids), ``decoded``, ``round_trip`` (whether the ids decode to the text)."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     cutter = spark.sparkContext.broadcast(Cutter(model))
     words = saved(encoded_words(saved(distinct_words(docs.where("text IS NOT NULL"), cutter), "pieces-words"), model), "pieces-encoded")
-    names = [c for c in docs.columns if c.lower() != "ids"]
-    scanned = unused(docs, "scanned")
-    source = docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").alias(scanned))
-    schema = T.StructType([*source.drop(scanned).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in extras]
+    scanned = next((c for c in names if c.lower() == "text"), None) or unused(docs, "scanned")
+    given = [F.col(f"`{c}`") for c in names]
+    source = docs.select(*given) if scanned in names else docs.select(*given, F.col("text").alias(scanned))
+    at_text = source.columns.index(scanned)
+    schema = T.StructType([*(source.schema[c] for c in names), *(T.StructField(x, EXTRAS[x]) for x in extras)])
+    spelled_out = spark.sparkContext.broadcast(model)
     if words.count() <= broadcast_words:
         table = spark.sparkContext.broadcast(dictionary(words, cutter))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column, ids, sizes = batch.column(len(names)), [], []
-                for piece in tb.pieces(column):
+                for piece in tb.pieces(batch.column(at_text)):
+                    part = batch.slice(piece.first, piece.last - piece.first)
+                    texts = part.column(at_text).to_pylist()
                     _, _, row, h = cutter.value.cut(piece)
-                    found, n = table.value.look_up(h)
-                    ids.append(found)
-                    sizes.append(np.bincount(row, weights=n, minlength=piece.last - piece.first).astype(np.int64))
-                at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32) if sizes else np.zeros(1, np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                mask = column.is_null() if column.null_count else None
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.ListArray.from_arrays(pa.array(at), flat, mask=mask)], names=schema.names)
+                    ids, n = table.value.look_up(h)
+                    at = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=part.num_rows))]).astype(np.int64)
+                    each = [None if t is None else ids[at[k] : at[k + 1]] for k, t in enumerate(texts)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(_extra(x, each, texts, spelled_out.value) for x in extras)], names=schema.names)
 
         return source.mapInArrow(run, schema)
 
@@ -317,16 +341,28 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
                 base += piece.last - piece.first
 
     # equal texts have equal ids, so texts are keyed by digest and encoded once
-    keyed = source.withColumn("_key", F.sha2(F.encode(scanned, "UTF-8"), 256))
-    texts = keyed.where(F.col(scanned).isNotNull()).groupBy("_key").agg(F.first(scanned).alias("text")).select("text", F.col("_key").alias("key"))
+    key, joined_ids = unused(source, "key"), unused(source, "ids_in")
+    keyed = source.withColumn(key, F.sha2(F.encode(scanned, "UTF-8"), 256))
+    texts = keyed.where(F.col(scanned).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.first(scanned).alias("text")).select("text", "key")
     parts = texts.mapInArrow(spread, "key string, place bigint, word string").join(words.select("word", F.col("ids").alias("word_ids")), "word")
     whole = parts.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "word_ids"))), lambda x: x["word_ids"])).alias("ids"))
     none = F.when(F.col(scanned).isNotNull(), F.array().cast("array<int>"))
-    return keyed.join(whole.withColumnRenamed("key", "_key"), "_key", "left").select(*(F.col(f"`{c}`") for c in names), F.coalesce("ids", none).alias("ids"))
+    whole = whole.select(F.col("key").alias(key), F.col("ids").alias(joined_ids))
+    joined = keyed.join(whole, key, "left").select(*(F.col(f"`{c}`") for c in source.columns), F.coalesce(joined_ids, none).alias(joined_ids))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(start, DECODED_ROWS)
+                each = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in part.column(len(source_names))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(_extra(x, each, part.column(at_text).to_pylist(), spelled_out.value) for x in extras)], names=schema.names)
+
+    source_names = source.columns
+    return joined.mapInArrow(finish, schema)
 
 
-def decode_ids(ids: list[int], model: Model) -> str:
-    raw = b"".join([model.outputs[i] for i in ids])
+def decode_ids(ids: list[int] | np.ndarray, model: Model) -> str:
+    raw = b"".join(map(model.outputs.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
     return (raw[1:] if model.prefix and raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
@@ -340,12 +376,9 @@ def decode(encoded: DataFrame, model: Model, into: str = "decoded") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = table.value
         for batch in batches:
-            texts = [None if x is None else decode_ids(x, model) for x in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], names=schema.names)
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(at, DECODED_ROWS)
+                texts = [decode_ids(x.values.to_numpy(zero_copy_only=False), model) if x.is_valid else None for x in part.column(len(names))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(texts, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
-
-
-def digests(encoded: DataFrame) -> DataFrame:
-    """Adds ``n_pieces`` and ``ids_sha256``, of the ids as comma-joined decimal text."""
-    return encoded.withColumns({"n_pieces": F.size("ids").cast("bigint"), "ids_sha256": F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256)})

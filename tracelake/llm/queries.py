@@ -46,8 +46,7 @@ def tokenizer_path() -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load_model(tokenizer_path())
-    encoded = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return pieces.digests(pieces.decode(encoded, model)).select("doc_id", "n_pieces", "ids_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return pieces.encode(_read(spark, sf_dir, "documents"), model, keep=["doc_id"], extras=("n_pieces", "ids_sha256", "round_trip"))
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
