@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import re
 
+import numpy as np
+
+from tracelake.llm import textbytes
+
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -83,13 +88,21 @@ def near_duplicates(rows, length, percent):
     return sorted(((i, len(shingles(t, length)), None if i is None else find(i)) for i, t in rows), key=str)
 
 
+@functools.cache
+def word_hash(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(textbytes.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0])
+
+
 def units(text, unit_words=12):
     ws = [(m.start(), m.group().translate(LOWER)) for m in re.finditer("[^\x20\x09-\x0d]+", text or "")]
-    out, begin = [], 0
+    out, begin, cut = [], 0, 0
     for i, (a, w) in enumerate(ws):
         if i == 0 or re.search(r"[.!?][\"')\]}]?$", ws[i - 1][1]) or "\n" in text[ws[i - 1][0] : a]:
-            begin = i
-        if (i - begin) % unit_words == 0:
+            begin = cut = i
+        if i - begin >= unit_words and word_hash(w) % 8 == 0:
+            cut = i
+        if (i - cut) % unit_words == 0:
             out.append((a, []))
         out[-1][1].append(w)
     return out

@@ -1,15 +1,16 @@
 """Substring dedup over sliding spans of sentences.
 
 Words are runs without white space, A-Z lowered for comparing. A sentence ends behind a word that ends
-with ``.``, ``!`` or ``?`` (closing quotes and brackets may follow), and at a line's end; a longer one is
-cut every ``unit_words`` words. From every sentence the span of at least ``run`` consecutive sentences
+with ``.``, ``!`` or ``?`` (closing quotes and brackets may follow), and at a line's end; behind its first
+``unit_words`` words it is cut before every word whose hash is a multiple of ``CUT_ONE_IN``, and at least
+every ``unit_words`` words. From every sentence the span of at least ``run`` consecutive sentences
 and at least ``min_words`` words is hashed. Of equal spans, anywhere in the corpus, the one with the
 smallest document and place stays; the sentences that any other one covers are removed.
 
 A task decides by itself which of its own equal spans are not first, and sends each span once; so a
 passage in a third of all documents costs one posting a task. Postings move packed, sliced by hash.
 What is to be removed is a list of places a document, bounded by its text; it is joined to the texts
-by a broadcast up to ``broadcast_bytes``, measured first, else by a shuffle.
+by document, the same way at every size.
 
 Edge cases: null and empty texts have no sentences and stay; rows with a null doc_id are neither
 compared nor changed; rows that repeat a doc_id with the same text are one document and share its fate
@@ -30,11 +31,11 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .nearjoin import _joined, _packed, _sliced
-from .sparkio import saved, slices
+from .sparkio import bound_batches, saved, slices
 
-FLUSH = 1 << 20
-SLICE = 1 << 20
-BROADCAST_BYTES = 32 << 20
+FLUSH = 1 << 18
+SLICE = 1 << 19
+CUT_ONE_IN = 8
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 _CLOSE = np.zeros(256, bool)
@@ -55,10 +56,12 @@ def sentences(piece: tb.Piece, unit_words: int) -> tuple[np.ndarray, ...]:
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     new = np.ones(m, bool)
     new[1:] = stops[:-1] | (lines[starts[1:]] > lines[starts[:-1]]) | (row[1:] != row[:-1])
-    begin = np.flatnonzero(new)
-    within = np.arange(m) - begin[np.cumsum(new) - 1]
-    first = np.flatnonzero(within % unit_words == 0)
-    return starts[first], row[first], first, tb.bounds(row[first], n), tb.hash_spans(data, starts, ends), row
+    h = tb.hash_spans(data, starts, ends)
+    since = lambda new: np.arange(m) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    # by the words themselves, so that copies with a word more or less fall into step again
+    new |= (since(new) >= unit_words) & (h % np.uint64(CUT_ONE_IN) == 0)
+    first = np.flatnonzero(since(new) % unit_words == 0)
+    return starts[first], row[first], first, tb.bounds(row[first], n), h, row
 
 
 def span_hashes(first: np.ndarray, row: np.ndarray, at: np.ndarray, words: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ def text_hash(piece: tb.Piece) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, run: int, min_words: int, unit_words: int, spans: int) -> DataFrame:
-    """``doc_id``, ``text_hash`` and packed (first, past) sentence numbers of spans that are not first."""
+    """``doc_id``, ``text_hash`` and packed (first, past) sentence numbers of its spans that are not first."""
     n_slices = slices(spans, SLICE)
     names = ["slice", "hashes", "docs", "texts", "places", "pasts", "lost"]
 
@@ -132,21 +135,27 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int, unit_words: int, s
             lead = np.maximum.accumulate(np.where(~again, np.arange(len(d)), 0))
             again &= (d != d[lead]) | (t != t[lead]) | (i != i[lead])
         d, t, i, z = (np.concatenate([x[again], _joined(done[c], np.int64)]) for x, c in zip((d, t, i, z), names[2:6], strict=True))
+        return pa.Table.from_batches([_packed(list(_sliced(d.view(np.uint64), n_slices, d, t, i, z)), ["bucket", *names[2:6]])])
+
+    def by_document(table: pa.Table) -> pa.Table:
+        d, t, i, z = (_joined(table[c], np.int64) for c in names[2:6])
         order = np.lexsort((i, t, d))
         d, t, i, z = d[order], t[order], i[order], z[order]
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(d))
+        ends = np.append(starts, len(d))[1:]
         packed = [np.column_stack([i[a:b], z[a:b]]).astype(np.int32).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         return pa.table({"doc_id": d[starts], "text_hash": t[starts], "spans": pa.array(packed, pa.binary())})
 
     schema = "slice int, " + ", ".join(f"{n} binary" for n in names[1:])
-    return docs.mapInArrow(emit, schema).groupBy("slice").applyInArrow(merge, "doc_id bigint, text_hash bigint, spans binary")
+    lost = docs.mapInArrow(emit, schema).groupBy("slice").applyInArrow(merge, "bucket int, docs binary, texts binary, places binary, pasts binary")
+    return lost.groupBy("bucket").applyInArrow(by_document, "doc_id bigint, text_hash bigint, spans binary")
 
 
-def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 20, unit_words: int = 12, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 20, unit_words: int = 12) -> DataFrame:
     """The documents with the sentences kept as ``text``, and ``n_sentences`` (before) and ``n_removed``."""
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     docs = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)))
     low = [c.lower() for c in names]
@@ -154,9 +163,7 @@ def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 20, un
     source = docs.withColumn("key_id", F.col(f"c{low.index('doc_id')}").cast("bigint"))
     known = source.where("key_id IS NOT NULL").select("key_id", F.col(f"c{at_text}").alias("text"))
     octets = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = repeated_spans(known, run, min_words, unit_words, octets // 16)
-    lost = saved(found.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans")), "repeated-spans")
-    size = lost.agg(F.sum(F.aggregate("spans", F.lit(32), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    lost = saved(repeated_spans(known, run, min_words, unit_words, octets // 16), "repeated-spans")
 
     keyed_names = [*source.columns, "key_text"]
 
@@ -166,8 +173,7 @@ def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 20, un
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], names=keyed_names)
 
     keyed = source.mapInArrow(hashed, T.StructType([*source.schema.fields, T.StructField("key_text", T.LongType())]))
-    side = F.broadcast(lost) if size <= broadcast_bytes else lost
-    joined = keyed.join(side, (F.col("key_id") == F.col("doc_id")) & (F.col("key_text") == F.col("text_hash")), "left").select(*docs.columns, "spans")
+    joined = keyed.join(lost, (F.col("key_id") == F.col("doc_id")) & (F.col("key_text") == F.col("text_hash")), "left").select(*docs.columns, "spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +189,7 @@ def remove_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 20, un
                         kept.append(None)
                         continue
                     mark = np.zeros(at[r + 1] - at[r] + 1, np.int64)
-                    pairs = np.frombuffer(b"".join(spans[piece.first + r]), np.int32).reshape(-1, 2)
+                    pairs = np.frombuffer(spans[piece.first + r], np.int32).reshape(-1, 2)
                     np.add.at(mark, pairs[:, 0], 1)
                     np.add.at(mark, pairs[:, 1], -1)
                     gone = np.cumsum(mark[:-1]) > 0
