@@ -172,10 +172,9 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
-def test_sentence_spans(spark, options):
+def test_sentence_spans(spark):
     rows = [r for r in fixture(9) if r[0] is not None]
-    got = rows_of(spans.remove_repeated_spans(frame(spark, [*rows, (None, rows[0][1])]), **options), "doc_id", "n_sentences", "n_removed", "text")
+    got = rows_of(spans.remove_repeated_spans(frame(spark, [*rows, (None, rows[0][1])])), "doc_id", "n_sentences", "n_removed", "text")
     expected = brute.sentence_spans([*rows, (None, rows[0][1])])
     assert [(r[0], r[1], r[2], r[3] or "") for r in got] == sorted(expected, key=str)
     assert any(r[2] for r in got)
@@ -281,11 +280,12 @@ def test_pieces(spark, words):
     sample = ["", "a", "hello world", "quick ñandú 漢字 ok", 'The (x)=1.5; "tok"\nline\ttab', "a" * 70 + "b", "=====", "ünï €5 日本 x", "x" * 200 + " y"]
     odd = ["  double  space ", "\x00\x01", "▁", " ", None]
     df = frame(spark, list(enumerate(sample + odd))).withColumn("IDS", F.lit("old"))
-    out = {r.doc_id: r for r in pieces.decode(pieces.encode(df, model, words), model).collect()}
+    out = {r.doc_id: r for r in pieces.decode(pieces.encode(df, model, words, extras=("ids", "round_trip", "n_pieces")), model).collect()}
     for i, t in enumerate(sample):
-        assert out[i].ids == library.encode(t)
+        assert out[i].ids == library.encode(t) and out[i].n_pieces == len(out[i].ids)
     for i, t in enumerate(sample + odd):
         assert out[i].decoded == (t.replace("▁", " ") if t else t)
+        assert out[i].round_trip == (t is None or "▁" not in t)
     assert out[len(sample + odd) - 1].ids is None
     assert pieces.encode(df.limit(0), model).count() == 0
 
@@ -356,6 +356,17 @@ def test_empty_tables(spark):
     assert not any(r.contaminated for r in decontaminate.find_contamination(one, items).collect())
 
 
+def test_clashing_columns_pass_through(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None)]
+    names = ("gone_id", "scanned", "key", "ids_in", "component_id", "label", "row")
+    df = frame(spark, rows).withColumns({n: F.lit(n) for n in names})
+    items = spark.createDataFrame([(1, "x y z")], "item_id bigint, text string")
+    _, model = _model()
+    for out in (nearjoin.keep_one(df), linededup.drop_repeated_lines(df), secrets.scan_secrets(df), decontaminate.find_contamination(df, items), decontaminate.remove_contaminated(df, items), spans.remove_repeated_spans(df), pieces.encode(df, model), pieces.encode(df, model, 0)):
+        got = out.collect()
+        assert got and all(r[n] == n for r in got for n in names)
+
+
 def test_no_operator_reads_labels_or_sources():
     here = os.path.dirname(os.path.abspath(langid.__file__))
     for name in ("langid.py", "quality.py"):

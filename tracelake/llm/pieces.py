@@ -79,18 +79,11 @@ def load_model(path: str) -> Model:
 
 
 def hash_words(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of code points, the same wherever it stands."""
-    h, mixed, live = np.zeros(len(starts), np.uint64), tb.mix(cps, 41), np.arange(len(starts))
-    step = np.uint64(0x9E3779B97F4A7C15)
-    for k in range(LATTICE_CHARS):
-        live = live[starts[live] + k < ends[live]]
-        if not len(live):
-            break
-        h[live] = h[live] * step + mixed[starts[live] + k]
-    for i in live[ends[live] - starts[live] > LATTICE_CHARS].tolist() if len(live) else ():
-        rest = mixed[starts[i] + LATTICE_CHARS : ends[i]].view(np.uint8)
-        h[i : i + 1] = h[i : i + 1] * step + tb.hash_spans(rest, np.array([0]), np.array([len(rest)]))[0]
-    return tb.mix(h)
+    """A hash of each span of code points, the same wherever it stands: a polynomial, from running sums."""
+    p, inverse = tb._power(len(cps) + 1)
+    total = np.zeros(len(cps) + 1, np.uint64)
+    np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * p[: len(cps)], out=total[1:])
+    return tb.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64), 41)
 
 
 class Cutter:
@@ -292,7 +285,7 @@ def _extra(name: str, ids: list[np.ndarray | None], texts: list[str | None], mod
     if name == "n_pieces":
         return each(len, pa.int64())
     if name == "ids_sha256":
-        return each(lambda x: hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest(), pa.string())
+        return each(lambda x: hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), pa.string())
     if name == "decoded":
         return each(lambda x: decode_ids(x, model), pa.string())
     if name == "round_trip":
@@ -303,7 +296,7 @@ def _extra(name: str, ids: list[np.ndarray | None], texts: list[str | None], mod
 
 
 def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS, keep: list[str] | None = None, extras: tuple[str, ...] = ("ids",)) -> DataFrame:
-    """The columns ``keep`` (all, if None) and ``extras``: ``ids``, and what is made of them in the same pass: ``n_pieces``, ``ids_sha256`` (of the comma-joined ids), ``decoded``, ``round_trip`` (whether the ids decode to the text)."""
+    """The columns ``keep`` (all, if None) and ``extras``: ``ids``, and what is made of them in the same pass: ``n_pieces``, ``ids_sha256`` (of the ids as 32-bit numbers, low byte first), ``decoded``, ``round_trip`` (whether the ids decode to the text)."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     cutter = spark.sparkContext.broadcast(Cutter(model))
