@@ -100,6 +100,29 @@ def test_secret_scan(spark):
     assert not any(out[i] for i in (7, 8, 9, 10) if any(s.kind == "entropy" for s in out[i]))
 
 
+def test_entropy_candidates_by_class(spark):
+    """Secrets with few digits, and hex behind a name, are found whatever stands in front; allowed strings are not."""
+    rnd = random.Random(11)
+    letters, capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF"
+    few = []
+    for digits in (1, 2):
+        for _ in range(20):
+            t = rnd.sample(letters, 24 - digits)
+            for _ in range(digits):
+                t.insert(rnd.randrange(1, 12), rnd.choice("0123456789"))
+            few.append("".join(t))
+    hexes = ["".join(rnd.sample(capitals, 16) + rnd.sample(capitals, 16)) for _ in range(20)]
+    wanted = [*few, *hexes]
+    rows = [f"é {mark}{t} end" for t in wanted for mark in ("", "sig=", "auth-")]
+    quiet = ["id=550e8400-e29b-41d4-a716-446655440000", "n=1234567890123456789012345", "some-long-words-and-more-of-them-here", "=" * 40, "f=/usr/share/some_folder/other_folder/file"]
+    out = {r.doc_id: r.secrets for r in secrets.scan_secrets(frame(spark, list(enumerate(rows + quiet)))).collect()}
+    for i, t in enumerate(rows):
+        a = t.index(wanted[i // 3])
+        found = [(s.start, s["end"]) for s in out[i] if s.kind == "entropy"]
+        assert len(found) == 1 and found[0][0] <= a and found[0][1] == a + len(wanted[i // 3])
+    assert not [s for i in range(len(rows), len(rows) + len(quiet)) for s in out[i] if s.kind == "entropy"]
+
+
 def test_entropy_windows_by_hand():
     import math
     from collections import Counter

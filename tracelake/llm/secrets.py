@@ -4,11 +4,13 @@ Base kinds, leftmost and non-overlapping each: ``assign`` (a credential name, ``
 of 12 characters or more), ``access`` (``AKIA`` and upper-case letters or digits, 18 or more) and ``hex``
 (lower-case hex digits, 16 or more).
 
-Method: a candidate is a maximal run of one character class, at least as long as the class's window.
+Method: a candidate is a maximal run of one character class, at least as long as the class's window;
+each class is judged by its own window and threshold, so a hex run behind ``sig=`` is windowed as hex.
 A window slides over it; its counts of symbols, and with them the sum of ``n log2 n``, change by the one
 symbol that enters and the one that leaves, so each step costs the same whatever the window. Windows
-whose entropy reaches the class's threshold are merged to spans of kind ``entropy``, unless the
-candidate is on the allow-list (pattern), or the span lies in a base span, which is already reported.
+whose entropy reaches the class's threshold are merged, over all classes, to spans of kind ``entropy``,
+unless the candidate, or the widest run that it is in, is on the allow-list (patterns; a name and ``=``
+may stand in front), or the span lies in a base span, which is already reported.
 
 Edge cases: null and empty texts have no spans; equal spans cannot occur within a kind; spans are in
 code points with an exclusive end; other columns pass through.
@@ -36,20 +38,19 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 
 
 class CharClass(NamedTuple):
-    """Candidates of one alphabet: window in characters, least entropy in bits, and least number of digits among them."""
+    """Candidates of one alphabet: window in characters, and least entropy in bits."""
 
     name: str
     alphabet: bytes
     window: int
     bits: float
-    digits: int
 
 
-#: The classes from the narrowest to the widest; a string is a candidate of the narrowest that holds all of it.
+#: The classes from the narrowest to the widest; each alphabet holds the ones before.
 CLASSES = (
-    CharClass("hex", b"0123456789abcdefABCDEF", 20, 3.0, 4),
-    CharClass("alnum", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20, 3.7, 3),
-    CharClass("base64", b"+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 24, 4.0, 3),
+    CharClass("hex", b"0123456789abcdefABCDEF", 20, 3.0),
+    CharClass("alnum", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20, 3.7),
+    CharClass("base64", b"+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 24, 4.0),
 )
 #: Candidates that are not secrets: UUIDs, decimal numbers, dates and times, file and web paths, dotted or dashed words.
 ALLOW = (
@@ -63,8 +64,6 @@ _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[list(CLASSES[-1].alphabet)] = True
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
-_IS_DIGIT = np.zeros(256, bool)
-_IS_DIGIT[48:58] = True
 _TERMS = [0.0] + [n * math.log2(n) for n in range(1, 4096)]
 
 
@@ -97,6 +96,24 @@ def _classes() -> list[tuple[CharClass, re.Pattern]]:
     return [(c, re.compile(b"[" + re.escape(c.alphabet) + b"]+")) for c in CLASSES]
 
 
+def entropy_spans(s: bytes, classes: list[tuple[CharClass, re.Pattern]], allow: re.Pattern) -> list[tuple[int, int]]:
+    """Merged spans of the windows of every class's candidates in a run of the widest class."""
+    if allow.fullmatch(s):
+        return []
+    spans: list[tuple[int, int]] = []
+    for c, p in classes:
+        for m in p.finditer(s):
+            if len(m[0]) >= c.window and not allow.fullmatch(m[0]):
+                spans += [(m.start() + x, m.start() + y) for x, y in entropy_windows(m[0], c.window, c.bits)]
+    merged: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if merged and x <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(y, merged[-1][1]))
+        else:
+            merged.append((x, y))
+    return merged
+
+
 def scan_piece(piece: tb.Piece, allow: re.Pattern) -> list[list[tuple[int, int, int]]]:
     """For each row its spans (start, end, kind number) in bytes from the row's start."""
     raw, n = piece.data, piece.last - piece.first
@@ -126,18 +143,12 @@ def scan_piece(piece: tb.Piece, allow: re.Pattern) -> list[list[tuple[int, int,
         found[r].append((a - int(piece.offsets[r]), z - int(piece.offsets[r]), 2))
 
     starts, ends = tb.runs(_CANDIDATE[raw], piece.offsets)
-    digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[raw])])
-    likely = (ends - starts >= CLASSES[0].window) & (digits[ends] - digits[starts] >= min(c.digits for c in CLASSES))
-    starts, ends = starts[likely], ends[likely]
+    long = ends - starts >= min(c.window for c in CLASSES)
+    starts, ends = starts[long], ends[long]
     classes = _classes()
     for r, a, z in zip(piece.row_of(starts).tolist(), starts.tolist(), ends.tolist(), strict=True):
         s, base = whole[a:z], a - int(piece.offsets[r])
-        if allow.fullmatch(s):
-            continue
-        own = next(c for c, p in classes if p.fullmatch(s))
-        if sum(s.count(d) for d in b"0123456789") < own.digits:
-            continue
-        for x, y in entropy_windows(s, own.window, own.bits):
+        for x, y in entropy_spans(s, classes, allow):
             if not any(p <= base + x and base + y <= q for p, q, k in found[r] if k < 3):
                 found[r].append((base + x, base + y, 3))
     return found
@@ -153,7 +164,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
     scanned = unused(docs, "scanned")
     source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias(scanned))
     schema = T.StructType(source.drop(scanned).schema.fields + FIELDS)
-    allowed = "|".join(f"(?:{a})" for a in allow) or "(?!)"
+    allowed = f"(?:[A-Za-z_]{{1,15}}=)?(?:{'|'.join(f'(?:{a})' for a in allow) or '(?!)'})"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(allowed.encode())
