@@ -313,6 +313,28 @@ def test_pieces(spark, words):
     assert pieces.encode(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("words", [pieces.BROADCAST_WORDS, 0])
+def test_pieces_keep_block_characters(spark, words):
+    _, model = _model()
+    texts = ["▁", "a▁b ▁ c", "▁▁ x", " ▁ ", "plain text", "x" * 80 + "▁" * 80, "", None]
+    out = {r.doc_id: r for r in pieces.decode(pieces.encode(frame(spark, list(enumerate(texts))), model, words, extras=("ids", "round_trip"), literal=True), model).collect()}
+    assert [out[i].decoded for i in range(len(texts))] == texts
+    assert all(r.round_trip for r in out.values())
+    plain = {r.doc_id: r.ids for r in pieces.encode(frame(spark, list(enumerate(texts))), model, words).collect()}
+    assert all(out[i].ids == plain[i] for i in (4, 6, 7))
+
+
+def test_pipeline_keeps_what_does_not_decode(spark, monkeypatch):
+    """Every row comes back, whether or not its pieces decode to its text."""
+    import corpus_pipeline
+
+    _, model = _model()
+    docs = frame(spark, [(1, "a ▁ b"), (2, "plain"), (3, "漢字 ▁")])
+    assert rows_of(corpus_pipeline.encode_pieces(spark, docs, ""), "doc_id", "text", "round_trip") == [(1, "a ▁ b", True), (2, "plain", True), (3, "漢字 ▁", True)]
+    monkeypatch.setattr(pieces, "load_model", lambda path: model._replace(byte_ids=[]))
+    assert rows_of(corpus_pipeline.encode_pieces(spark, docs, ""), "doc_id", "round_trip") == [(1, False), (2, True), (3, False)]
+
+
 def test_fold_is_the_best_path():
     _, model = _model()
     rnd = random.Random(4)

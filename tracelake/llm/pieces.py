@@ -19,8 +19,10 @@ the very text.) Words over ``LATTICE_CHARS`` characters, rare in any text, are f
 loop, as the fold's state would be copied at each step.
 
 Edge cases: null gives null ids, empty text none; any character, spaces and control characters
-included, survives a round trip if the model has byte pieces and does not trim spaces; repeated rows
-are encoded alike; columns called ``ids`` are replaced.
+included, survives a round trip if the model has byte pieces and does not trim spaces, except that a
+text's own ``\u2581`` becomes a space, as in the SentencePiece library; with ``literal`` it is kept
+apart from spaces (as a space in the prepared text, which has no others), spelled in bytes, and survives
+too. Repeated rows are encoded alike; columns called ``ids`` are replaced.
 """
 
 from __future__ import annotations
@@ -87,9 +89,10 @@ def hash_words(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class Cutter:
-    """Cuts code points into words."""
+    """Cuts code points into words; if ``literal``, the texts' own U+2581 stand as spaces, each a word."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, literal: bool = False):
+        self.literal = literal
         chars = sorted({c for p in model.pieces for c in p})
         self.number = np.zeros(0x110000, np.int32)
         self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -104,7 +107,11 @@ class Cutter:
         """The rows' prepared texts as one, the words' starts in it (with the end), the row of each word, and a hash of each."""
         texts = [piece.text(k).decode("utf-8", "replace") for k in range(piece.last - piece.first)]
         texts = [(" " + t if self.prefix else t) if t else "" for t in texts]
-        whole = "".join(texts).replace(" ", SPACE)
+        whole = "".join(texts)
+        if self.literal and SPACE in whole:
+            whole = SPACE.join(part.replace(SPACE, " ") for part in whole.split(" "))
+        else:
+            whole = whole.replace(" ", SPACE)
         cps = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         if not len(cps):
@@ -143,7 +150,7 @@ def viterbi(word: str, model: Model) -> list[int]:
 
 
 def spelled(char: str, model: Model) -> list[int]:
-    return [model.byte_ids[b] for b in char.encode()] if model.byte_ids else [model.unk_id]
+    return [model.byte_ids[b] for b in char.replace(" ", SPACE).encode()] if model.byte_ids else [model.unk_id]
 
 
 def distinct_words(docs: DataFrame, cutter) -> DataFrame:
@@ -205,7 +212,7 @@ def fold_viterbi(word: Column, edges: Column, model: Model) -> Column:
     def ids_of(e: Column) -> Column:
         if spell is None:
             return F.array(F.when(e["id"] == UNKNOWN, F.lit(model.unk_id)).otherwise(e["id"]))
-        octets = F.hex(F.encode(F.substr(word, e["start"] + 1, F.lit(1)), "UTF-8"))
+        octets = F.hex(F.encode(F.translate(F.substr(word, e["start"] + 1, F.lit(1)), " ", SPACE), "UTF-8"))
         bytes_ = F.transform(F.sequence(F.lit(0), (F.length(octets) / 2).cast("int") - 1), lambda k: F.element_at(spell, F.conv(F.substr(octets, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
         return F.when(e["id"] == UNKNOWN, bytes_).otherwise(F.array(e["id"]))
 
@@ -295,11 +302,11 @@ def _extra(name: str, ids: list[np.ndarray | None], texts: list[str | None], mod
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=pa.array([x is None for x in ids]))
 
 
-def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS, keep: list[str] | None = None, extras: tuple[str, ...] = ("ids",)) -> DataFrame:
-    """The columns ``keep`` (all, if None) and ``extras``: ``ids``, and what is made of them in the same pass: ``n_pieces``, ``ids_sha256`` (of the ids as 32-bit numbers, low byte first), ``decoded``, ``round_trip`` (whether the ids decode to the text)."""
+def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS, keep: list[str] | None = None, extras: tuple[str, ...] = ("ids",), literal: bool = False) -> DataFrame:
+    """The columns ``keep`` (all, if None) and ``extras``: ``ids``, and what is made of them in the same pass: ``n_pieces``, ``ids_sha256`` (of the ids as 32-bit numbers, low byte first), ``decoded``, ``round_trip`` (whether the ids decode to the text). ``literal``: a text's own U+2581 is spelled in bytes, not read as a space."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    cutter = spark.sparkContext.broadcast(Cutter(model))
+    cutter = spark.sparkContext.broadcast(Cutter(model, literal))
     words = saved(encoded_words(saved(distinct_words(docs.where("text IS NOT NULL"), cutter), "pieces-words"), model), "pieces-encoded")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in extras]
     scanned = next((c for c in names if c.lower() == "text"), None) or unused(docs, "scanned")
