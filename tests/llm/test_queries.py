@@ -56,6 +56,27 @@ def test_decontamination_query(spark):
     assert got == sorted((i, n, h, len(ids), brute.sha(",".join(sorted(map(str, ids)))), c) for i, n, h, ids, c in brute.contamination(documents(spark), items))
 
 
+def test_decontamination_query_with_items_without_an_id(spark, tmp_path):
+    """Every second id is null: the query against its SQL, and the pipeline's stage."""
+    duckdb = pytest.importorskip("duckdb")
+    from tracelake.llm import oracle
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").withColumn("item_id", F.when(F.col("item_id") % 2 == 0, F.col("item_id")))
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    out = queries.op10_decontamination(spark, str(tmp_path))
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_words", "longest_at")
+    got = sorted(tuple(r[c] for c in columns) for r in out.collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({oracle.SQL['op10_decontamination']})").fetchall())
+    assert any(r[5] and r[4] == brute.sha("") for r in got)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path)).count() == sum(not r[5] for r in got)
+
+
 def test_span_query(spark):
     got = sorted((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in queries.op6_sentence_spans(spark, SF).collect())
     assert got == sorted(brute.sentence_spans(documents(spark)))

@@ -15,7 +15,8 @@ document is made where its row is.
 
 Edge cases: null and empty texts have no words and are clean; items without words match nothing;
 an empty benchmark or an empty corpus gives clean rows or none; repeated rows are decided each alone;
-equal items all count; null item ids are left out. Columns of the same names are replaced.
+equal items all count; items without an id are left out, or with ``unnamed`` searched like the others, a null in
+``item_ids`` standing for all of them. Columns of the same names are replaced.
 """
 
 from __future__ import annotations
@@ -38,12 +39,13 @@ _BITS = 20
 
 
 class Block(NamedTuple):
-    """Test windows, distinct and padded with 0 to ``width`` words, their item ids, and what can start a match."""
+    """Test windows, distinct and padded with 0 to ``width`` words, their item ids (where ``named``), and what can start a match."""
 
     windows: np.ndarray
     lengths: np.ndarray
     owner_at: np.ndarray
     owners: np.ndarray
+    named: np.ndarray
     rest: np.ndarray
     rest_at: np.ndarray
     first: np.ndarray
@@ -62,9 +64,9 @@ def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.uint64(3) + b) >> np.uint64(64 - _BITS)
 
 
-def make_block(ids: list[int], texts: list[str], window: int) -> Block:
+def make_block(ids: list[int | None], texts: list[str], window: int) -> Block:
     """Every window of the items, by its suffix: the words after it are kept for extending matches."""
-    starts, lengths, owners, all_words, ends, base = [], [], [], [], [], 0
+    starts, lengths, owners, named, all_words, ends, base = [], [], [], [], [], [], 0
     for piece in tb.pieces(pa.array(texts, pa.large_string())):
         h, row = _word_hashes(piece)
         at = tb.bounds(row, piece.last - piece.first)
@@ -76,10 +78,13 @@ def make_block(ids: list[int], texts: list[str], window: int) -> Block:
                 starts.append(base + at[k] + np.arange(m))
                 lengths.append(np.full(m, min(n, window)))
                 ends.append(np.full(m, base + at[k + 1]))
-                owners.append(np.full(m, ids[piece.first + k], np.int64))
+                i = ids[piece.first + k]
+                owners.append(np.full(m, i or 0, np.int64))
+                named.append(np.full(m, i is not None))
         base += len(h)
     none = [np.zeros(0, np.int64)]
     start, length, owner, end = (np.concatenate(x or none) for x in (starts, lengths, owners, ends))
+    has_id = np.concatenate(named or [np.zeros(0, bool)])
     words = np.concatenate(all_words) if all_words else np.zeros(0, np.uint64)
     columns = np.arange(window)
     windows = np.where(columns < length[:, None], words[np.minimum(start[:, None] + columns, max(len(words) - 1, 0))], np.uint64(0)) if len(start) else np.zeros((0, window), np.uint64)
@@ -95,7 +100,7 @@ def make_block(ids: list[int], texts: list[str], window: int) -> Block:
         pair[_pair_key(windows[:, 0], windows[:, 1]).astype(np.int64)] = True
     rest_len = (end - start - length)[order]
     rest = words[tb.ranges((start + length)[order], rest_len)]
-    return Block(windows, lengths, owner_at, owner[order], rest, np.concatenate([[0], np.cumsum(rest_len)]), first, pair)
+    return Block(windows, lengths, owner_at, owner[order], has_id[order], rest, np.concatenate([[0], np.cumsum(rest_len)]), first, pair)
 
 
 class SuffixArray:
@@ -192,20 +197,21 @@ def _scan(column: pa.Array, blocks: list, shard_bytes: int) -> tuple[list, ...]:
                 best[rows[better]], best_at[rows[better]] = full[o][better], (at[o] - at_row[rows])[better]
                 pairs = np.unique(np.column_stack([row[at], which]), axis=0)
                 for r, w in pairs.tolist():
-                    found[r].update(block.owners[block.owner_at[w] : block.owner_at[w + 1]].tolist())
+                    own = slice(block.owner_at[w], block.owner_at[w + 1])
+                    found[r].update(i if ok else None for i, ok in zip(block.owners[own].tolist(), block.named[own].tolist(), strict=True))
         hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
         n_words += np.diff(at_row).tolist()
         n_hit += (hit[at_row[1:]] - hit[at_row[:-1]]).tolist()
-        items += [sorted(x) for x in found]
+        items += [sorted(x - {None}) + [None] * (None in x) for x in found]
         longest += best.tolist()
         where += [None if x < 0 else x for x in best_at.tolist()]
     return n_words, n_hit, items, longest, where
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, item: str = "item_id", text: str = "text") -> list:
+def benchmark_blocks(benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, item: str = "item_id", text: str = "text", unnamed: bool = False) -> list:
     """Broadcasts of the test items, at most ``block_words`` words each (or one longer item), read through the driver one at a time."""
     context, out, ids, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
-    rows = benchmark.selectExpr(f"cast(`{item}` AS bigint)", f"`{text}`").where(f"`{item}` IS NOT NULL AND `{text}` IS NOT NULL")
+    rows = benchmark.selectExpr(f"cast(`{item}` AS bigint)", f"`{text}`").where(f"`{text}` IS NOT NULL" + ("" if unnamed else f" AND `{item}` IS NOT NULL"))
     for i, t in rows.toLocalIterator():
         if ids and size + len(t) // 2 + 1 > block_words:
             out.append(context.broadcast(make_block(ids, texts, window)))
@@ -218,14 +224,14 @@ def benchmark_blocks(benchmark: DataFrame, window: int = 10, block_words: int =
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, text: str = "text", shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns ``keep`` of each document (all, if None), and its words, hit words, items with a window in it, longest verbatim match and where that begins (in words)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, text: str = "text", shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
+    """The columns ``keep`` of each document (all, if None), and its words, hit words, items with a window in it, longest verbatim match and where that begins (in words). ``unnamed``: items without an id count too."""
     if window < 1:
         raise ValueError("window must be at least 1")
     names = {f.name.lower() for f in FIELDS}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     bound_batches(docs.sparkSession)
-    blocks = benchmark_blocks(benchmark, window, block_words, text=text)
+    blocks = benchmark_blocks(benchmark, window, block_words, text=text, unnamed=unnamed)
     scanned = unused(docs, "scanned")
     source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias(scanned))
     schema = T.StructType(source.drop(scanned).schema.fields + FIELDS)
@@ -239,12 +245,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return source.mapInArrow(run, schema)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, unnamed: bool = False) -> DataFrame:
     """The documents in which no window of a test item occurs, with their own columns."""
     columns = docs.columns
     marked = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(columns)))
     at = [c.lower() for c in columns].index("text")
-    scanned = find_contamination(marked.withColumnRenamed(f"c{at}", "text"), benchmark, window)
+    scanned = find_contamination(marked.withColumnRenamed(f"c{at}", "text"), benchmark, window, unnamed=unnamed)
     return scanned.where("NOT contaminated").select(*(scanned["text" if i == at else f"c{i}"].alias(c) for i, c in enumerate(columns)))
 
 
