@@ -285,6 +285,15 @@ def test_language_identification(spark):
     assert {r.lang_pred for r in langid.identify_language(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(i, "some words " * 9, f"l{i % 300:03}") for i in range(600)]
+    rows += [(600 + i, "ж" * 60, "rare") for i in range(2)]
+    rows += [(700 + i, "other words", f"l{i % 300:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {lang for lang, _ in langid.training_windows(docs, 400)} == {r[2] for r in rows}
+    assert [r.lang_pred for r in langid.identify_language(docs.where("lang = 'rare'"), docs).collect()] == ["rare"] * 2
+
+
 def _model():
     from tracelake.llm.queries import tokenizer_path
 

@@ -6,7 +6,8 @@ means over all its bytes; the language of the largest wins, and that mean is the
 
 Training, in numpy on the driver by backpropagation through time, uses for each language at most
 ``rows_per_lang`` rows, chosen by a hash of the id, and of each at most ``WINDOWS_PER_ROW`` windows spread
-over the whole text. The network's few thousand numbers are broadcast. Prediction is one pass over the
+over the whole text. Every language found is learnt; beyond ``STEP_LANGS`` the training takes more steps in
+proportion. The network's few thousand numbers are broadcast. Prediction is one pass over the
 whole texts without a shuffle.
 
 Edge cases: texts that are null or hold no letter (Unicode) are ``und`` with score 0; so is every text
@@ -32,7 +33,7 @@ WINDOW = 64
 HIDDEN = 8
 ROWS_PER_LANG = 400
 WINDOWS_PER_ROW = 6
-MAX_LANGS = 256
+STEP_LANGS = 256
 BATCH_WINDOWS = 4096
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = True
@@ -174,12 +175,12 @@ def train(windows: np.ndarray, inside: np.ndarray, labels: np.ndarray, n_labels:
 def training_windows(docs: DataFrame, rows_per_lang: int) -> list[tuple[str, bytes]]:
     """Sampled (language, window) pairs, in a fixed order. ``docs`` must hold only rows to learn from."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return []
     # uniform in the hash; twice the bound on average, cut to the bound below
-    shares = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * rows_per_lang / r["count"])))))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * rows_per_lang / r["count"])) for r in counts], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,18 +206,19 @@ def as_matrix(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def document_probabilities(net: Network, piece: tb.Piece) -> np.ndarray:
     """The mean label probabilities over all bytes of each row; zeros for rows without bytes."""
     n, lengths = piece.last - piece.first, np.diff(piece.offsets)
+    size = max(1, BATCH_WINDOWS * STEP_LANGS // max(STEP_LANGS, len(net.bias)))
     total = np.zeros((n, len(net.bias)))
     full = lengths // WINDOW
     starts = np.repeat(piece.offsets[:-1], full) + tb.ranges(np.zeros(n, np.int64), full) * WINDOW
     row = np.repeat(np.arange(n), full)
-    for k in range(0, len(starts), BATCH_WINDOWS):
-        w = piece.data[starts[k : k + BATCH_WINDOWS, None] + np.arange(WINDOW)]
-        np.add.at(total, row[k : k + BATCH_WINDOWS], label_bytes(net, w, None).sum(0, dtype=float))
+    for k in range(0, len(starts), size):
+        w = piece.data[starts[k : k + size, None] + np.arange(WINDOW)]
+        np.add.at(total, row[k : k + size], label_bytes(net, w, None).sum(0, dtype=float))
     rest = np.flatnonzero(lengths % WINDOW)
-    for k in range(0, len(rest), BATCH_WINDOWS):
-        rows = rest[k : k + BATCH_WINDOWS]
-        start, size = piece.offsets[rows] + full[rows] * WINDOW, lengths[rows] % WINDOW
-        inside = np.arange(WINDOW) < size[:, None]
+    for k in range(0, len(rest), size):
+        rows = rest[k : k + size]
+        start, left = piece.offsets[rows] + full[rows] * WINDOW, lengths[rows] % WINDOW
+        inside = np.arange(WINDOW) < left[:, None]
         w = np.where(inside, piece.data[np.minimum(start[:, None] + np.arange(WINDOW), len(piece.data) - 1)], 0)
         p = label_bytes(net, w, inside.astype(np.float32))
         total[rows] += (p * inside.T[:, :, None]).sum(0, dtype=float)
@@ -240,7 +242,8 @@ def identify_language(docs: DataFrame, learn_from: DataFrame, keep: list[str] |
     net = None
     if names:
         windows, inside = as_matrix([w for _, w in sample])
-        net = train(windows, inside, np.array([names.index(lang) for lang, _ in sample]), len(names))
+        number = {lang: k for k, lang in enumerate(names)}
+        net = train(windows, inside, np.array([number[lang] for lang, _ in sample]), len(names), steps=260 * -(-len(names) // STEP_LANGS))
     model = docs.sparkSession.sparkContext.broadcast(net)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     scanned = unused(docs, "scanned")
