@@ -94,21 +94,24 @@ def word_hash(word):
     return int(textbytes.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
-def units(text, unit_words=12):
+def units(text, long_words=60):
+    """Sentences as (start, words); over ``long_words`` words they are cut before one word in 4, chosen by hash."""
     ws = [(m.start(), m.group().translate(LOWER)) for m in re.finditer("[^\x20\x09-\x0d]+", text or "")]
-    out, begin, cut = [], 0, 0
+    whole = []
     for i, (a, w) in enumerate(ws):
         if i == 0 or re.search(r"[.!?][\"')\]}]?$", ws[i - 1][1]) or "\n" in text[ws[i - 1][0] : a]:
-            begin = cut = i
-        if i - begin >= unit_words and word_hash(w) % 8 == 0:
-            cut = i
-        if (i - cut) % unit_words == 0:
-            out.append((a, []))
-        out[-1][1].append(w)
+            whole.append([])
+        whole[-1].append((a, w))
+    out = []
+    for s in whole:
+        for k, (a, w) in enumerate(s):
+            if k == 0 or (len(s) > long_words and word_hash(w) % 4 == 0):
+                out.append((a, []))
+            out[-1][1].append(w)
     return out
 
 
-def sentence_spans(rows, run=3, min_words=20):
+def sentence_spans(rows, run=2, min_words=20):
     seen, gone = {}, collections.defaultdict(set)
     known = sorted({(i, t or "") for i, t in rows if i is not None})
     for i, t in known:
