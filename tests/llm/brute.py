@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import functools
 import hashlib
+import html.parser
+import math
 import re
 
 import numpy as np
@@ -135,3 +137,101 @@ def sentence_spans(rows, run=2, min_words=20):
         lost = gone[i, t]
         out.append((i, len(u), len(lost), (t[: b[0]] + "".join(t[b[k] : b[k + 1]] for k in range(len(u)) if k not in lost)) if lost else t))
     return out
+
+
+def byte_labels(net, raw, window, context):
+    """The mean label probabilities over the bytes of a text, one step at a time."""
+    squash = lambda x: (y := np.clip(x, -3, 3)) * (y * y + 27) / (9 * y * y + 27)
+    size = net.states.shape[1]
+
+    def states(d, begin, end):
+        h, out, steps = np.zeros(size), {}, range(begin, end) if d == 0 else range(end - 1, begin - 1, -1)
+        for t in steps:
+            a, u = net.inputs[d][raw[t]].astype(float), h @ net.states[d]
+            z, r = (squash((a[k : k + size] + u[k : k + size]) / 2) / 2 + 0.5 for k in (0, size))
+            h = h + z * (squash(a[2 * size :] + r * u[2 * size :]) - h)
+            out[t] = h
+        return out
+
+    total = np.zeros(len(net.bias))
+    for start in range(0, len(raw), window):
+        end = min(start + window, len(raw))
+        forwards, backwards = states(0, max(0, start - context), end), states(1, start, min(len(raw), start + window + context))
+        for t in range(start, end):
+            e = np.exp(np.concatenate([forwards[t], backwards[t]]) @ net.out + net.bias)
+            total += e / e.sum()
+    return total / max(1, len(raw))
+
+
+def entropy_spans(text, allow, classes, base):
+    """Every window's entropy from its own counts; ``classes`` are (alphabet, window, bits), the widest last; ``base`` the spans already reported."""
+    entropy = lambda w: -sum(n / len(w) * math.log2(n / len(w)) for n in collections.Counter(w).values())
+    marked, out = set(), []
+    for run in re.finditer("[" + re.escape(classes[-1][0]) + "]+", text or ""):
+        if re.fullmatch(allow, run[0]):
+            continue
+        spans = []
+        for alphabet, window, bits in classes:
+            for m in re.finditer("[" + re.escape(alphabet) + "]+", run[0]):
+                if not re.fullmatch(allow, m[0]):
+                    spans += [(run.start() + m.start() + k, run.start() + m.start() + k + window) for k in range(len(m[0]) - window + 1) if entropy(m[0][k : k + window]) >= bits - 1e-9]
+        marked = sorted(p for p in {p for a, z in spans for p in range(a, z)})
+        for p in marked:
+            if out and out[-1][1] == p and out[-1][2] == run.start():
+                out[-1] = (out[-1][0], p + 1, run.start())
+            else:
+                out.append((p, p + 1, run.start()))
+    return [(a, z) for a, z, _ in out if not any(p <= a and z <= q for _, p, q in base)]
+
+
+class _Page(html.parser.HTMLParser):
+    """A page by the standard library's parser: title, language, links and text."""
+
+    def __init__(self, breaks, links):
+        super().__init__(convert_charrefs=True)
+        self.breaks, self.link_tags, self.text, self.links, self.title, self.lang, self.inside, self.titling = breaks, links, [], [], None, None, [], False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.link_tags:
+            for n, v in attrs:
+                if n in ("href", "src"):
+                    self.links.append(f"{v or ''} {tag}/{n}")
+                    break
+        if tag == "html" and self.lang is None:
+            self.lang = dict(attrs).get("lang")
+        if tag == "title" and self.title is None:
+            self.titling = True
+            self.title = ""
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.inside.append(tag)
+            if len(self.inside) == 1:
+                self.text.append(" ")
+        if tag in self.breaks and not self.inside:
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self.titling = False
+        if self.inside and self.inside[0] == tag:
+            self.inside = []
+        elif tag in self.breaks and not self.inside:
+            self.text.append("\n")
+
+    def handle_comment(self, data):
+        if not self.inside:
+            self.text.append(" ")
+
+    def handle_data(self, data):
+        if self.titling:
+            self.title += data
+        if not self.inside:
+            self.text.append(data)
+
+
+def page(source, breaks, links):
+    """Title, language, links and lines of a page."""
+    p = _Page(breaks, links)
+    p.feed(source)
+    p.close()
+    lines = [" ".join(x.split()) for x in "".join(p.text).split("\n")]
+    return (None if p.title is None else " ".join(p.title.split())), p.lang, p.links, [x for x in lines if x]

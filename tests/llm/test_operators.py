@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import random
 import re
@@ -268,10 +269,21 @@ def test_language_gradients():
             p[k][at] += e
             moved.append(langid.gradients(langid.Network(*p), w, inside, y)[0])
         assert abs((moved[0] - moved[1]) / 2e-6 - grads[k][at]) < 1e-6
-    p = langid.label_bytes(langid.Network(*(x.astype(np.float32) for x in net)), w, inside)
+    # steps outside a row's bytes leave the state alone, in both reading directions
+    out = np.stack([~inside.T.astype(bool), ~inside.T[::-1].astype(bool)])[:, :, :, None]
+    p = langid.label_bytes(langid.Network(*(x.astype(np.float32) for x in net)), w.T.astype(np.intp), w.T[::-1].astype(np.intp), out)
     assert abs(-(np.log(p[:, np.arange(5), y]) * inside.T).sum() / inside.sum() - loss) < 1e-5
 
 
+def test_document_probabilities_read_across_windows():
+    """Against a loop over single bytes: every window's states have read the bytes before or behind it."""
+    rng, h = np.random.default_rng(3), 4
+    net = langid.Network(*(x.astype(np.float32) for x in (rng.normal(size=(2, 256, 3 * h)), rng.normal(size=(2, h, 3 * h)), rng.normal(size=(2 * h, 3)), rng.normal(size=3))))
+    sample = ["", "a", "naïve " * 5, "x" * langid.WINDOW, "río 漢字 " * 40, "ab " * 200, "é" * 333]
+    (piece,) = textbytes.pieces(pa.array(sample))
+    assert np.allclose(langid.document_probabilities(net, piece), [brute.byte_labels(net, t.encode(), langid.WINDOW, langid.CONTEXT) for t in sample], atol=1e-5)
+
+
 def test_language_identification(spark):
     rnd = random.Random(2)
     kinds = {"xx": "abcde", "yy": "fghij", "zz": "çéàü"}
@@ -398,6 +410,60 @@ def test_warc(spark, tmp_path):
     assert warc.derive(warc.read_warcs(spark, str(path))).count() == 2
 
 
+def test_hostile_pages_and_charsets(spark):
+    """Unclosed tags by the ten thousand, odd charsets and a page of some MB: whole records, in no more than linear time."""
+    odd = ["<a" * 80_000, "<a " * 20_000, "<title>" * 20_000 + ">", "<html " * 20_000, "<script " * 20_000, "<!--" * 20_000, "<p>word " * 500_000, "\x00 \ud7ff <p>"]
+    pages = spark.createDataFrame([(i, "http://a.example/\nx", t) for i, t in enumerate(odd)], "page_id bigint, url string, html string")
+    made = warc.derive(warc.pages_as_responses(pages), keep=["page_id"]).collect()
+    assert len(made) == 2 * len(odd) and not any("\n" in h.value for r in made for h in r.headers)
+    assert next(r for r in made if r.page_id == 6 and r.warc_type == "conversion").block == b"\n".join([b"word"] * 500_000)
+    row = {n: None for n in warc.SCHEMA.names}
+    for charset, shown in (("undefined", "utf-8"), ("idna", "utf-8"), ("hex", "utf-8"), ("no-such", "utf-8"), ("latin-1", "latin-1")):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n".encode() + "é".encode("latin-1" if charset == "latin-1" else "utf-8")
+        metadata, text = warc.derive_record({**row, "block": block})
+        assert text["block"].decode() == "é" and f"charset: {shown}\r\n" in metadata["block"].decode()
+
+
+def test_damaged_warcs(spark, tmp_path):
+    """Whole records are read, whatever is cut or spoiled beside them."""
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", f"<p>{i}</p>" * 50) for i in range(4)], "page_id bigint, url string, html string")
+    rows = sorted((r.asDict(recursive=True) for r in warc.pages_as_responses(pages).collect()), key=lambda r: r["target_uri"])
+    plain, zipped = ([warc.serialize(r, z) for r in rows] for z in (False, True))
+    ids = [r["record_id"] for r in rows]
+    spoiled = bytearray(zipped[1])
+    spoiled[40:60] = b"\xff" * 20
+    cases = {
+        "header": (plain[0] + b"WARC/1.1\r\nWARC-Type: resp", [0]),
+        "length": (plain[0] + plain[1].replace(b"Content-Length: ", b"Content-Length: x") + plain[2], [0, 2]),
+        "cut": (plain[0] + plain[1][:-300] + b"\r\n" + plain[2], [0, 2]),
+        "member": (zipped[0] + bytes(spoiled) + zipped[2], [0, 2]),
+        "tail": (zipped[0] + zipped[1][:-30], [0]),
+        "one member": (gzip.compress(b"".join(plain)), [0, 1, 2, 3]),
+        "none": (b"", []),
+        "other": (b"no warc at all", []),
+    }
+    for name, (data, whole) in cases.items():
+        found = [r["record_id"] for r in warc.parse_records(data)]
+        assert [i for i in found if i in [ids[k] for k in whole]] == [ids[k] for k in whole], name
+        (tmp_path / name.replace(" ", "_")).write_bytes(data)
+    assert warc.read_warcs(spark, f"{tmp_path}/*").count() >= 11
+    assert warc.derive(warc.read_warcs(spark, f"{tmp_path}/none")).count() == 0
+
+
+def test_random_keys_are_found(spark):
+    """Letters only, or with digits, of one case or both: entropy decides, not the number of digits."""
+    import string
+
+    rnd = random.Random(5)
+    kinds = [(string.ascii_letters, 40), (string.ascii_lowercase, 40), (string.ascii_letters + string.digits, 24), (string.ascii_letters + string.digits, 32), (string.ascii_letters + string.digits + "+/", 40)]
+    rows = [(i, "key " + "".join(rnd.choice(kinds[i % 5][0]) for _ in range(kinds[i % 5][1])) + " end") for i in range(500)]
+    quiet = ["getElementsByClassNameAndMore", "some_snake_case_name_that_is_long", "ABSOLUTELY-NOT-A-SECRET", "incomprehensibility", "www-example-com/path/to/file"]
+    out = {r.doc_id: r.secrets for r in secrets.scan_secrets(frame(spark, rows + [(1000 + i, t) for i, t in enumerate(quiet)])).collect()}
+    for k in range(5):
+        assert np.mean([bool(out[i]) for i in range(k, 500, 5)]) >= 0.9, kinds[k]
+    assert not any(out[1000 + i] for i in range(len(quiet)))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], EMPTY)
     items = spark.createDataFrame([], "item_id bigint, text string")

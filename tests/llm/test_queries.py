@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tracelake.llm import queries
+from tracelake.llm import queries, secrets, warc
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
@@ -45,6 +46,52 @@ def test_secret_query(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))
 
 
+def test_secret_query_spans(spark, tmp_path):
+    """All spans of the driver's documents and of random strings, the entropy ones from windows counted afresh each."""
+    rnd = random.Random(4)
+    strings = ["".join(rnd.choice(a) for _ in range(rnd.randrange(10, 60))) for a in ("0123456789abcdefABCDEF", "abcxyzABCXYZ019", "aB3+/_-=zQ7kLmN0pR") for _ in range(60)]
+    more = [(10_000 + i, f"é {rnd.choice(['', 'sig=', 'id:', 'a-'])}{t}{rnd.choice(['', '.', '=='])} ß") for i, t in enumerate(strings)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    allow = "(?:[A-Za-z_]{1,15}=)?(?:" + "|".join(f"(?:{a})" for a in secrets.ALLOW) + ")"
+    classes = [(c.alphabet.decode(), c.window, c.bits) for c in secrets.CLASSES]
+    seen = 0
+    for r in queries.op7_secret_scan(spark, str(tmp_path)).collect():
+        base = brute.secrets(texts[r.doc_id])
+        found = brute.entropy_spans(texts[r.doc_id], allow, classes, base)
+        seen += len(found)
+        both = sorted([(a, secrets.KINDS.index(k), z, k) for k, a, z in base] + [(a, 3, z, "entropy") for a, z in found])
+        assert r.spans == ",".join(f"{k}:{a}:{z}" for a, _, z, k in both)
+    assert seen
+
+
+def test_warc_query(spark):
+    """Records of all pages against the standard library's HTML parser and digests."""
+    import base64
+    import hashlib
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    digest = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    rows = queries.op5_warc_derivatives(spark, SF).collect()
+    assert sorted((r.page_id, r.warc_type) for r in rows) == sorted((p, k) for p in pages for k in ("metadata", "conversion"))
+    own = {(r.page_id, r.warc_type): r.record_id for r in rows}
+    for r in rows:
+        p = pages[r.page_id]
+        title, lang, links, lines = brute.page(p.html or "", warc._BREAKS, warc._LINKS)
+        head = dict(x.split(": ", 1) for x in r.headers.split("\n"))
+        source = (p.html or "").encode()
+        assert r.payload_digest == digest(source) and r.block_digest == digest(r.block.encode()) == head["WARC-Block-Digest"]
+        assert head["WARC-Refers-To"] == r.refers_to and head["WARC-Target-URI"] == p.url and head["WARC-Date"] == warc.NO_DATE
+        assert int(head["Content-Length"]) == r.content_length == len(r.block.encode())
+        if r.warc_type == "conversion":
+            assert r.block.split("\n") == (lines or [""]) and head["WARC-Concurrent-To"] == own[r.page_id, "metadata"]
+        else:
+            fields = [x.split(": ", 1) for x in r.block.split("\r\n") if x]
+            assert [v for n, v in fields if n == "outlink"] == links
+            assert dict(fields).get("title") == title and dict(fields).get("language") == lang
+
+
 def test_jaccard_query(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in queries.op8_jaccard_join(spark, SF).collect()), key=str)
     assert got == brute.near_duplicates(documents(spark), 3, 90)

@@ -52,11 +52,13 @@ CLASSES = (
     CharClass("alnum", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20, 3.7),
     CharClass("base64", b"+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 24, 4.0),
 )
-#: Candidates that are not secrets: UUIDs, decimal numbers, dates and times, file and web paths, dotted or dashed words.
+#: Candidates that are not secrets: UUIDs, decimal numbers, dates and times, file and web paths, and words of at most 15
+#: letters, alone or joined by case or marks. A longer run of letters is no word; its entropy decides.
 ALLOW = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"[0-9+/=_-]+",
-    r"[A-Za-z]+(?:[-_/=.][A-Za-z]+)*[0-9]{0,4}",
+    r"[A-Z]?[a-z]{1,15}(?:[-_/=.][A-Z]?[a-z]{1,15}|[A-Z][a-z]{1,15})*[0-9]{0,4}",
+    r"[A-Z]{1,15}(?:[-_/=.][A-Z]{1,15})*[0-9]{0,4}",
     r"(?:/[A-Za-z0-9_-]{0,15}){2,}",
 )
 
