@@ -211,7 +211,7 @@ def test_nearest_neighbours(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [1.0] * 3), (404, [None] * 16), (None, [1.0] * 16), (10, [float(v) for v in x[10]])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
     got: dict = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0, k=10, shard_rows=100, block_queries=7).collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0, k=10, shard_rows=100).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert sorted(got) == list(range(0, 400, 10))
     hits = 0
@@ -243,6 +243,25 @@ def test_every_code_within_the_radius_is_found():
             assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist()
 
 
+def test_probing_prunes_where_neighbours_are_near():
+    """65 536 vectors in clusters: nearly all neighbours, from a hundredth of the shard's floats."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(2048, 64))
+    x = centres[rng.integers(0, 2048, 65536)] + 0.25 * rng.normal(size=(65536, 64))
+    coder = neighbours.learn_rotation(x[:8192], 64)
+    reach = neighbours.learn_reach(coder, x[:8192], 10, neighbours.TARGET)
+    codes = coder.codes(x)
+    index, own, asked = neighbours.MultiIndex(codes, 64), np.arange(len(x)), range(0, len(x), 700)
+    hits = compared = 0
+    for i in asked:
+        best, dist, n = neighbours.nearest_in_shard(index, own, x, x[i], codes[i], 11, reach)
+        compared += n
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        hits += len(set(np.lexsort((own, d))[:11].tolist()) & set(best.tolist()))
+        assert np.allclose(d[best], dist) and best[0] == i
+    assert hits >= 0.9 * 11 * len(asked) and compared <= 0.03 * len(x) * len(asked)
+
+
 def test_quality(spark):
     rnd = random.Random(1)
     good = lambda: " ".join(rnd.choice(WORDS) for _ in range(40))

@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,27 @@ def test_warc_query(spark):
             assert dict(fields).get("title") == title and dict(fields).get("language") == lang
 
 
+def test_neighbour_query(spark):
+    """Recall against all distances, and exact ones."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    rows = sorted((i, v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v))
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = {}
+    for r in queries.op1_multi_index_hashing(spark, SF).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    asked = [i for i in ids.tolist() if i % 100 == 0]
+    assert sorted(got) == asked
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        order = np.lexsort((ids, d))[:10]
+        hits += len(set(ids[order].tolist()) & {v for v, _ in got[q].values()})
+        assert sorted(got[q]) == list(range(1, 11)) and all(abs(d[ids == v][0] - s) < 1e-12 for v, s in got[q].values())
+        assert [v for _, v in sorted(got[q].items())] == sorted(got[q].values(), key=lambda x: (x[1], x[0]))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_jaccard_query(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in queries.op8_jaccard_join(spark, SF).collect()), key=str)
     assert got == brute.near_duplicates(documents(spark), 3, 90)
