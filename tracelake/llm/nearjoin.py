@@ -15,14 +15,18 @@ set of ``n`` at most ``t = n - ceil(percent * n / 100)`` shingles can be missing
    Signatures are made per band of set sizes, where linked sets fall in one band or neighbouring ones.
 4. Holders of one signature form a star; the stars' components are clusters that no link leaves.
 5. Each cluster is verified with whole sets: a search from one document to those not yet reached finds
-   components without visiting all pairs of a dense group. Clusters over ``group_shingles`` are cut into
-   blocks, each two blocks meet in one task, and their links are joined by components again.
+   components without visiting all pairs of a dense group. Candidates can chain up to clusters of any size;
+   those over ``group_shingles`` are not verified as wholes: the holders of each of their signatures are, as
+   every link lies within one. Only a signature whose own holders are too many is cut into blocks, each two
+   of which meet in one task. The true links found so are joined by components again.
 
-Postings move packed in binary columns, sliced by hash so that no task holds more than its slice.
+Postings move packed in binary columns, sliced by hash, a task a slice, so that no task holds more than its
+slice. Classes with more than a ten-thousandth of all rows, of which there can't be ten thousand, meet their
+rows by broadcast, so no class is one task's.
 
 Edge cases: null or empty texts and texts without words have the empty set and link with nothing; with
-fewer words than a shingle the whole sequence is the one shingle; rows with a null doc_id are returned
-without a component; rows that repeat a doc_id with the same text count once (a doc_id names one text:
+fewer words than a shingle the whole sequence is the one shingle; ids are integers, or text that casts to
+them; rows with a null doc_id are returned without a component; rows that repeat a doc_id with the same text count once (a doc_id names one text:
 with other texts under it, each row gets the component of its own text, and both may be joined);
 an empty table gives an empty result.
 """
@@ -46,6 +50,7 @@ GROUP_SHINGLES = 1 << 21
 BROADCAST_ROWS = 2_000_000
 FREQUENT = 32
 SMALL_SET = 20
+HOT_CLASSES = 10_000
 
 
 def missing(n, percent: int):
@@ -182,8 +187,8 @@ def shared_counts(docs: DataFrame, length: int, percent: int, postings: int, n_d
         doc, inverse = np.unique(_joined(table["docs"], np.int64), return_inverse=True)
         return pa.table({"doc_id": doc, "shared": np.bincount(inverse, weights=_joined(table["credit"], np.int64), minlength=len(doc)).astype(np.int64)})
 
-    found = docs.mapInArrow(emit, "slice int, hashes binary, docs binary, credited binary, credit binary").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, credit binary")
-    return found.groupBy("bucket").applyInArrow(add, "doc_id bigint, shared bigint")
+    found = docs.mapInArrow(emit, "slice int, hashes binary, docs binary, credited binary, credit binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, credit binary")
+    return found.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(add, "doc_id bigint, shared bigint")
 
 
 def whole_sets(docs: DataFrame, length: int) -> DataFrame:
@@ -243,7 +248,7 @@ def with_frequencies(sets: DataFrame, shingles: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "docs", "hashes", "counts"])
 
     schema = "slice int, kind int, hashes binary, other binary"
-    known = sets.mapInArrow(count, "slice int, hashes binary, counts binary").groupBy("slice").applyInArrow(add, schema)
+    known = sets.mapInArrow(count, "slice int, hashes binary, counts binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(add, schema)
     return known.union(sets.mapInArrow(postings, schema)).repartition(n_slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, "bucket int, docs binary, hashes binary, counts binary")
 
 
@@ -298,29 +303,53 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0), keys[starts], least
 
 
-def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: int, frequent: int) -> DataFrame:
-    """Edges (a, b) of the stars of all signatures. ``parts`` is what ``with_frequencies`` gave for the sets."""
-    limits, n_buckets = band_limits(percent), slices(shingles, SLICE)
-    n_slices = slices(shingles, 4 * SLICE)
-    names = ["slice", "keys", "docs", "ea", "eb"]
+def _by_bucket(parts: DataFrame, sets: DataFrame, shingles: int):
+    """What ``with_frequencies`` gave and the sets' sizes, grouped by the same buckets of documents."""
+    n_buckets = slices(shingles, SLICE)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield _packed(list(_sliced(d.view(np.uint64), n_buckets, d, n)), ["bucket", "docs", "n"])
 
+    sized = sets.select("doc_id", "n").mapInArrow(sizes, "bucket int, docs binary, n binary").repartition(n_buckets, "bucket").groupBy("bucket")
+    return parts.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(sized)
+
+
+def _bucket_signatures(table: pa.Table, known: pa.Table, percent: int, frequent: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a bucket's documents, and the document of each."""
+    doc, hashes, counts = _joined(table["docs"], np.int64), _joined(table["hashes"], np.uint64), _joined(table["counts"], np.int64)
+    size = dict(zip(_joined(known["docs"], np.int64).tolist(), _joined(known["n"], np.int64).tolist(), strict=True))
+    order = np.argsort(doc, kind="stable")
+    doc, hashes, counts = doc[order], hashes[order], counts[order]
+    starts, _ = _groups(doc)
+    ends = np.append(starts, len(doc))[1:]  # none if the bucket shares nothing
+    held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
+        found = signatures(max(size[int(doc[a])], z - a), hashes[a:z], counts[a:z], percent, frequent, limits)
+        held.append((found, np.full(len(found), doc[a])))
+    keys, docs = zip(*held, strict=True)
+    return np.concatenate(keys), np.concatenate(docs)
+
+
+def signature_holders(parts: DataFrame, sets: DataFrame, shingles: int, percent: int, frequent: int) -> DataFrame:
+    """``doc_id`` and ``label``, a signature of it, for all documents and signatures."""
+    limits = band_limits(percent)
+
+    def emit(table: pa.Table, known: pa.Table) -> pa.Table:
+        keys, docs = _bucket_signatures(table, known, percent, frequent, limits)
+        return pa.table({"doc_id": docs, "label": keys.view(np.int64)})
+
+    return _by_bucket(parts, sets, shingles).applyInArrow(emit, "doc_id bigint, label bigint")
+
+
+def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: int, frequent: int) -> DataFrame:
+    """Edges (a, b) of the stars of all signatures. ``parts`` is what ``with_frequencies`` gave for the sets."""
+    limits, n_slices = band_limits(percent), slices(shingles, 4 * SLICE)
+    names = ["slice", "keys", "docs", "ea", "eb"]
+
     def emit(table: pa.Table, known: pa.Table) -> pa.Table:
-        doc, hashes, counts = _joined(table["docs"], np.int64), _joined(table["hashes"], np.uint64), _joined(table["counts"], np.int64)
-        size = dict(zip(_joined(known["docs"], np.int64).tolist(), _joined(known["n"], np.int64).tolist(), strict=True))
-        order = np.argsort(doc, kind="stable")
-        doc, hashes, counts = doc[order], hashes[order], counts[order]
-        starts, _ = _groups(doc)
-        ends = np.append(starts, len(doc))[1:]  # none if the bucket shares nothing
-        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
-            found = signatures(max(size[int(doc[a])], z - a), hashes[a:z], counts[a:z], percent, frequent, limits)
-            held.append((found, np.full(len(found), doc[a])))
-        edges, keys, least = _stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        edges, keys, least = _stars(*_bucket_signatures(table, known, percent, frequent, limits))
         rows = {k: (x, y, b"", b"") for k, x, y in _sliced(keys, n_slices, keys, least)}
         for k, x, y in _sliced(edges[:, 0].astype(np.uint64), n_slices, edges[:, 0], edges[:, 1]):
             rows[k] = (*rows.get(k, (b"", b""))[:2], x, y)
@@ -332,9 +361,8 @@ def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: i
         edges = np.unique(np.concatenate([edges, old]), axis=0)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    by_bucket = sets.select("doc_id", "n").mapInArrow(sizes, "bucket int, docs binary, n binary").groupBy("bucket")
-    starred = parts.groupBy("bucket").cogroup(by_bucket).applyInArrow(emit, "slice int, keys binary, docs binary, ea binary, eb binary")
-    return starred.groupBy("slice").applyInArrow(merge, "a bigint, b bigint")
+    starred = _by_bucket(parts, sets, shingles).applyInArrow(emit, "slice int, keys binary, docs binary, ea binary, eb binary")
+    return starred.repartition(n_slices, "slice").groupBy("slice").applyInArrow(merge, "a bigint, b bigint")
 
 
 def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -378,12 +406,11 @@ def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     return out
 
 
-def verified_edges(sets: DataFrame, clusters: DataFrame, percent: int, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, bool]:
-    """Edges between linked documents, each to the smallest of its group; and whether clusters had to be cut. ``clusters``: doc_id, label."""
-    sized = saved(sets.join(clusters, "doc_id").select("doc_id", "label", "n", "hashes"), "near-clusters")
-    load = sized.groupBy("label").agg(F.sum("n").alias("load"))
-    total, most = sized.agg(F.sum("n"), F.count(F.lit(1))).first()[0] or 0, load.agg(F.max("load")).first()[0] or 0
-    packs = slices(total, group_shingles // 4)
+def verified_edges(sets: DataFrame, groups: DataFrame, percent: int, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Edges between linked documents of a group (doc_id, label), each to the smallest it reaches there."""
+    sized = saved(sets.join(groups, "doc_id").select("doc_id", "label", "n", "hashes"), "near-groups")
+    load = sized.groupBy("label").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    packs = slices(sized.agg(F.sum("n")).first()[0] or 0, group_shingles // 4)
     blocks = F.ceil(F.col("load") / F.lit(group_shingles // 2)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = sized.join(load, "label").withColumn("blocks", blocks).withColumn("block", mine)
@@ -404,7 +431,7 @@ def verified_edges(sets: DataFrame, clusters: DataFrame, percent: int, group_shi
         edges = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return small.union(large).groupBy("g1", "g2", "g3").applyInArrow(verify, "a bigint, b bigint"), most > group_shingles // 2
+    return small.union(large).groupBy("g1", "g2", "g3").applyInArrow(verify, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -414,7 +441,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, text: s
     known = two.where("doc_id IS NOT NULL")
     described = saved(describe(two, length), "near-described")
     full = described.where("doc_id IS NOT NULL AND n > 0")
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
 
     t = F.col("n") - F.ceil(F.col("n") * percent / 100)
     postings, n_docs = (x or 0 for x in full.agg(F.sum(t + 1 + F.floor(t / 2)), F.count(F.lit(1))).first())
@@ -424,29 +451,44 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, text: s
     left = saved(classes.join(shared, F.col("rep") == F.col("doc_id")).where(F.col("shared") >= 1 + F.floor(t_least / 2)).select("doc_id", "n"), "near-left")
     count, shingles = left.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not count:
-        return _with_components(described, classes, None, 0)
+        return _with_components(described, classes, None, 0, n_docs)
 
     sets = saved(whole_sets(known.join(fitting(left.select("doc_id"), count, BROADCAST_ROWS), "doc_id", "left_semi"), length), "near-sets")
-    edges = candidate_edges(with_frequencies(sets, int(shingles)), sets, int(shingles), percent, frequent)
-    clusters = components(edges).withColumnsRenamed({"node": "doc_id"})
-    links, cut = verified_edges(sets, clusters, percent, group_shingles)
-    links = saved(links.distinct(), "near-links")
+    parts = saved(with_frequencies(sets, int(shingles)), "near-frequencies")
+    clusters = saved(components(candidate_edges(parts, sets, int(shingles), percent, frequent)).withColumnsRenamed({"node": "doc_id"}), "near-clusters")
+    sizes = sets.select("doc_id", "n").join(clusters, "doc_id").groupBy("label").agg(F.sum("n").alias("load"))
+    chained = saved(sizes.where(F.col("load") > group_shingles // 2).select("label"), "near-chained")
+    cut = bool(chained.take(1))
+    if cut:
+        within = clusters.join(chained, "label", "left_semi").select("doc_id")
+        holders = signature_holders(parts, sets, int(shingles), percent, frequent).join(within, "doc_id", "left_semi").distinct()
+        clusters = clusters.join(chained, "label", "left_anti").select("doc_id", "label").union(holders)
+    links = saved(verified_edges(sets, clusters, percent, group_shingles).distinct(), "near-links")
     labels = components(links) if cut or _repeats(sets) else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return _with_components(described, classes, labels, links.count())
+    return _with_components(described, classes, labels, links.count(), n_docs)
 
 
 def _repeats(sets: DataFrame) -> bool:
     return bool(sets.groupBy("doc_id").count().where("count > 1").take(1))
 
 
-def _with_components(described: DataFrame, classes: DataFrame, labels: DataFrame | None, n_labels: int) -> DataFrame:
-    """Each row with the label of its class; documents without a class are their own component."""
+def _with_components(described: DataFrame, classes: DataFrame, labels: DataFrame | None, n_labels: int, n_docs: int) -> DataFrame:
+    """Each row with the label of its class; documents without a class, or alone in it, are their own component."""
     if labels is None:
         named = classes.withColumn("component", F.col("rep"))
     else:
         labels = fitting(labels.withColumnRenamed("node", "rep"), n_labels, BROADCAST_ROWS)
-        named = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("label", "rep")).drop("label")
-    return described.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        named = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("label", "rep"))
+    named = saved(named.where("members > 1 OR component <> rep").select("n", "s1", "s2", "members", "component"), "near-named")
+    # fewer than HOT_CLASSES classes can have more than this share of the rows each
+    share = n_docs // HOT_CLASSES + 1
+    keys = ["n", "s1", "s2"]
+    hot = F.broadcast(named.where(F.col("members") > share).select(*keys, F.col("component").alias("hot")))
+    marked = described.where("n > 0 AND doc_id IS NOT NULL").join(hot, keys, "left")
+    cold = marked.where("hot IS NULL").join(named.where(F.col("members") <= share).select(*keys, "component"), keys, "left")
+    own = described.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
+    out = own.union(marked.where("hot IS NOT NULL").select("doc_id", "n", "hot")).union(cold.select("doc_id", "n", F.coalesce("component", "doc_id")))
+    return out.withColumnsRenamed({"n": "n_shingles", "component": "component_id"})
 
 
 def keep_one(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
