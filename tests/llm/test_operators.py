@@ -375,32 +375,50 @@ def test_pipeline_keeps_what_does_not_decode(spark, monkeypatch):
     assert rows_of(corpus_pipeline.encode_pieces(spark, docs, ""), "doc_id", "round_trip") == [(1, False), (2, True), (3, False)]
 
 
-def test_fold_is_the_best_path():
+def test_fold_is_the_best_path(spark):
+    """Both folds against the best score over all paths, and one another, on words around their limit and long ones."""
     _, model = _model()
     rnd = random.Random(4)
-    for _ in range(50):
-        word = "".join(rnd.choice("abcdefgh▁é") for _ in range(rnd.randrange(1, 9)))
-
-        def best(at, word=word):
-            if at == len(word):
-                return 0.0
-            options = []
-            for z in range(at + 1, min(len(word), at + model.longest) + 1):
-                if word[at:z] in model.pieces:
-                    options.append(model.pieces[word[at:z]][1] + best(z))
-            if word[at] not in model.pieces:
-                options.append(model.unk_score + best(at + 1))
-            return max(options)
-
-        ids, score, k = pieces.viterbi(word, model), 0.0, 0
-        scores = {i: s for i, s in model.pieces.values()}
-        while k < len(ids):
-            if ids[k] in model.byte_ids:
-                n = len(bytes([model.byte_ids.index(ids[k])])) if model.byte_ids.index(ids[k]) < 128 else (2 if model.byte_ids.index(ids[k]) < 0xE0 else 3)
-                score, k = score + model.unk_score, k + n
+    words = ["".join(rnd.choice("abcdefgh▁é") for _ in range(rnd.randrange(1, 9))) for _ in range(50)]
+    words += ["".join(rnd.choice("abcdeh▁漢\U00010348") for _ in range(n)) for n in (63, 64, 65, 130, 600)]
+    scores, bytes_of = {i: s for i, s in model.pieces.values()}, {i: b for b, i in enumerate(model.byte_ids)}
+    rows = spark.createDataFrame([(w, 1) for w in sorted(set(words))], "word string, times bigint")
+    table = pieces.piece_table(spark, model)
+    edges = pieces.lattice(rows, table, model.longest, model.unk_score, 60).select("word", pieces.fold_viterbi(F.col("edges"), model).alias("ids"))
+    blocks = pieces.long_lattice(rows, table, model.longest, model.unk_score).select("word", pieces.fold_long(F.col("word"), F.col("blocks"), model).alias("long"))
+    both = edges.join(blocks, "word").collect()
+    assert len(both) == len(set(words))
+    for r in both:
+        assert r.ids == r.long
+        best = [0.0]
+        for z in range(1, len(r.word) + 1):
+            options = [best[a] + model.pieces[r.word[a:z]][1] for a in range(max(0, z - model.longest), z) if r.word[a:z] in model.pieces]
+            best.append(max([*options, *([best[z - 1] + model.unk_score] if r.word[z - 1] not in model.pieces else [])]))
+        score, k = 0.0, 0
+        while k < len(r.ids):
+            if r.ids[k] in bytes_of:
+                lead = bytes_of[r.ids[k]]
+                score, k = score + model.unk_score, k + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
             else:
-                score, k = score + scores[ids[k]], k + 1
-        assert score == best(0)
+                score, k = score + scores[r.ids[k]], k + 1
+        assert abs(score - best[-1]) < 1e-6
+
+
+def test_very_long_words(spark):
+    """Words of 60 000 characters, one of them without any piece, go through the lattice like all others."""
+    _, model = _model()
+    rows = [(1, "a" * 60_000), (2, "\U00010348" * 20_000), (3, "ab=" * 20_000)]
+    out = {r.doc_id: r for r in pieces.encode(frame(spark, rows), model, extras=("n_pieces", "round_trip")).collect()}
+    assert all(r.round_trip for r in out.values()) and out[2].n_pieces == 80_001
+
+
+def test_models_that_change_texts_are_refused():
+    class Folding:
+        def normalize(self, text):
+            return text.replace("\uff21", "A").replace(" ", "▁")
+
+    with pytest.raises(ValueError):
+        pieces._refuse_normaliser(Folding())
 
 
 HTML = '<!DOCTYPE html><html lang="en"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><h1>A &amp; B</h1><p>One<br>two  three</p><a href="/x?a=1&amp;b=2">link</a></body></html>'

@@ -8,15 +8,19 @@ can be encoded apart and every distinct word only once:
 2. Lattice: substrings of bounded length of every distinct word are exploded and equi-joined to the
    piece table; the edges are grouped by word, which they are already distributed by.
 3. Viterbi: a Spark higher-order ``reduce`` (``aggregate``) folds over a word's edges by end and start,
-   keeping the best score and path to each end. A character that no piece covers costs 10 more than the worst piece and
+   keeping the best score and path to each end. As Spark copies the state at every step, words over ``SHORT``
+   characters are exploded and grouped in blocks and folded in two levels: over a block's edges with the scores
+   of the last ends only, as many as the longest piece reaches back, and one step back from each end of the
+   block; and over the blocks, which alone carries the whole log. A second such fold walks the log from its end.
+   A character that no piece covers costs 10 more than the worst piece and
    becomes its bytes' pieces (or the unknown piece). Ties go to the longer last piece.
 4. The words' ids go back to the texts: from a broadcast, if the distinct words are at most
    ``broadcast_words`` (counted first), else by a join on the word and a regrouping by document.
 
 Scores are those of the model file, as a unigram model uses them. (The public file at hand holds a BPE
 vocabulary; its ids here are those of the best path over its scores, not of its merges, and decode to
-the very text.) Words over ``LATTICE_CHARS`` characters, rare in any text, are folded by the same rules in a
-loop, as the fold's state would be copied at each step.
+the very text.) A model that changes texts before cutting them (a normaliser's map, trimmed spaces) or has
+user-defined pieces is refused.
 
 Edge cases: null gives null ids, empty text none; any character, spaces and control characters
 included, survives a round trip if the model has byte pieces and does not trim spaces, except that a
@@ -41,12 +45,13 @@ from . import textbytes as tb
 from .sparkio import bound_batches, saved, slices, unused
 
 SPACE = "▁"
-LATTICE_CHARS = 64
+SHORT = 64
+BLOCK_CHARS = 128
 BROADCAST_WORDS = 4_000_000
 TASK_WORDS = 50_000
 FLUSH_CHARS = 1 << 22
 DECODED_ROWS = 128
-UNKNOWN = -1
+STEP_BITS = 22
 
 
 class Model(NamedTuple):
@@ -66,6 +71,7 @@ def load_model(path: str) -> Model:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    _refuse_normaliser(sp)
     pieces, outputs, byte_ids = {}, [b""] * sp.get_piece_size(), [0] * 256
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
@@ -80,6 +86,13 @@ def load_model(path: str) -> Model:
     return Model(pieces, outputs, byte_ids if any(byte_ids) else [], sp.unk_id(), min(s for _, s in pieces.values()) - 10, max(map(len, pieces)), not sp.encode("a", out_type=str)[0].startswith("a"))
 
 
+def _refuse_normaliser(sp) -> None:
+    """Texts must reach the pieces as they are, but for spaces: full-width letters, ligatures, double, leading and trailing spaces."""
+    given = " \uff21 \ufb01  x\u00a0 "
+    if sp.normalize(given).lstrip(SPACE) != given.replace(" ", SPACE).lstrip(SPACE):
+        raise ValueError("the model changes texts before cutting them")
+
+
 def hash_words(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each span of code points, the same wherever it stands: a polynomial, from running sums."""
     p, inverse = tb._power(len(cps) + 1)
@@ -131,28 +144,6 @@ class Cutter:
         return hash_words(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), at[:-1], at[1:])
 
 
-def viterbi(word: str, model: Model) -> list[int]:
-    """The fold as a loop: ids of the best path, ``UNKNOWN`` for characters without a piece."""
-    best, back = [0.0] + [-np.inf] * len(word), [(0, UNKNOWN)] * (len(word) + 1)
-    for end in range(1, len(word) + 1):
-        for start in range(max(0, end - model.longest), end):
-            found = model.pieces.get(word[start:end])
-            if found is None and end - start == 1:
-                found = (UNKNOWN, model.unk_score)
-            if found and best[start] + found[1] > best[end]:
-                best[end], back[end] = best[start] + found[1], (start, found[0])
-    out, end = [], len(word)
-    while end:
-        start, i = back[end]
-        out.append(spelled(word[start:end], model) if i == UNKNOWN else [i])
-        end = start
-    return [i for part in reversed(out) for i in part]
-
-
-def spelled(char: str, model: Model) -> list[int]:
-    return [model.byte_ids[b] for b in char.replace(" ", SPACE).encode()] if model.byte_ids else [model.unk_id]
-
-
 def distinct_words(docs: DataFrame, cutter) -> DataFrame:
     """``word`` and ``times`` over all texts."""
 
@@ -189,36 +180,60 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
+def _edge(unk_score: float) -> Column:
+    # a character without a piece is -1 less its code point; a space stands for a text's own U+2581
+    return F.struct("end", "start", F.coalesce("id", -1 - F.ascii(F.translate("piece", " ", SPACE))).alias("id"), F.coalesce("score", F.lit(unk_score)).alias("score"))
+
+
+def _edges(spans: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The spans that are pieces; a character that is none stays as an unknown edge. The piece table is bounded by the vocabulary."""
+    return spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end - start = 1")
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, unk_score: float, n_words: int) -> DataFrame:
     """``word``, ``times`` and ``edges`` (end, start, id, score): every substring of at most ``longest`` characters that is a piece, or one unknown character."""
     # plain generators stay inside generated code; the words are dealt by word, so grouping needs no further shuffle
     starts = words.repartition(slices(n_words, TASK_WORDS), "word").select("word", "times", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     spans = starts.select("word", "times", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size"))
     exploded = spans.select("word", "times", "start", (F.col("start") + F.col("size")).alias("end"), F.substr("word", F.col("start") + 1, F.col("size")).alias("piece"))
-    # the piece table is bounded by the vocabulary; a character that is no piece stays as an unknown edge
-    edges = exploded.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end - start = 1")
-    edge = F.struct("end", "start", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("score", F.lit(unk_score)).alias("score"))
-    return edges.groupBy("word").agg(F.first("times").alias("times"), F.collect_list(edge).alias("edges"))
-
-
-def fold_viterbi(word: Column, edges: Column, model: Model) -> Column:
+    return _edges(exploded, pieces).groupBy("word").agg(F.first("times").alias("times"), F.collect_list(_edge(unk_score)).alias("edges"))
+
+
+def long_lattice(words: DataFrame, pieces: DataFrame, longest: int, unk_score: float) -> DataFrame:
+    """``word``, ``times`` and ``blocks`` (number, edges by end and start) of long words: the same edges, without the word in every row."""
+    keyed = words.withColumn("key", F.sha2("word", 256))
+    parts = keyed.select("key", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(BLOCK_CHARS))).alias("first"))
+    parts = parts.select("key", "first", F.substr("word", F.col("first") + 1, F.lit(BLOCK_CHARS + longest - 1)).alias("part")).repartition("key", "first")
+    starts = parts.select("key", "first", "part", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK_CHARS), F.length("part")) - 1)).alias("at"))
+    spans = starts.select("key", "first", "part", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("at")))).alias("size"))
+    start = F.col("first") + F.col("at")
+    exploded = spans.select("key", start.alias("start"), (start + F.col("size")).alias("end"), F.substr("part", F.col("at") + 1, F.col("size")).alias("piece"))
+    blocks = _edges(exploded, pieces).groupBy("key", F.floor((F.col("end") - 1) / BLOCK_CHARS).cast("int").alias("block")).agg(F.array_sort(F.collect_list(_edge(unk_score))).alias("edges"))
+    whole = blocks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "edges"))).alias("blocks"))
+    return keyed.join(whole, "key").select("word", "times", "blocks")
+
+
+def _ids_of(piece: Column, model: Model) -> Column:
+    """A step's piece as ids: itself, or, for an unknown character, those of its UTF-8 bytes."""
+    if not model.byte_ids:
+        return F.array(F.when(piece < 0, F.lit(model.unk_id)).otherwise(piece))
+    point = -1 - piece
+    tail = lambda shift: F.shiftright(point, shift).bitwiseAND(63) + 128
+    octets = F.when(point < 0x80, F.array(point)).when(point < 0x800, F.array(F.shiftright(point, 6) + 0xC0, tail(0)))
+    octets = octets.when(point < 0x10000, F.array(F.shiftright(point, 12) + 0xE0, tail(6), tail(0))).otherwise(F.array(F.shiftright(point, 18) + 0xF0, tail(12), tail(6), tail(0)))
+    return F.when(piece < 0, F.transform(octets, lambda b: F.element_at(F.lit(model.byte_ids), b + 1))).otherwise(F.array(piece))
+
+
+def fold_viterbi(edges: Column, model: Model) -> Column:
     """The ids of the best path, as a higher-order fold over the edges by end and start.
 
     The state holds, for each end reached, the best score and the ids that lead there. An edge to the
     next end opens it; a better one to the same end replaces it, so among equals the smallest start stays.
     """
-    spell = F.lit(model.byte_ids) if model.byte_ids else None
-
-    def ids_of(e: Column) -> Column:
-        if spell is None:
-            return F.array(F.when(e["id"] == UNKNOWN, F.lit(model.unk_id)).otherwise(e["id"]))
-        octets = F.hex(F.encode(F.translate(F.substr(word, e["start"] + 1, F.lit(1)), " ", SPACE), "UTF-8"))
-        bytes_ = F.transform(F.sequence(F.lit(0), (F.length(octets) / 2).cast("int") - 1), lambda k: F.element_at(spell, F.conv(F.substr(octets, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(e["id"] == UNKNOWN, bytes_).otherwise(F.array(e["id"]))
 
     def step(state: Column, e: Column) -> Column:
         before = F.element_at(state, e["start"] + 1)
-        found = F.array(F.struct((before["score"] + e["score"]).alias("score"), F.concat(before["ids"], ids_of(e)).alias("ids")))
+        found = F.array(F.struct((before["score"] + e["score"]).alias("score"), F.concat(before["ids"], _ids_of(e["id"], model)).alias("ids")))
         opens = F.size(state) == e["end"]
         better = before["score"] + e["score"] > F.element_at(state, -1)["score"]
         return F.when(opens, F.concat(state, found)).when(better, F.concat(F.slice(state, F.lit(1), e["end"]), found)).otherwise(state)
@@ -227,21 +242,58 @@ def fold_viterbi(word: Column, edges: Column, model: Model) -> Column:
     return F.reduce(F.array_sort(edges), first, step, lambda state: F.element_at(state, -1)["ids"])
 
 
-def encoded_words(words: DataFrame, model: Model) -> DataFrame:
-    """``word``, ``times`` and ``ids`` of each distinct word."""
-    spark = words.sparkSession
-    table = spark.sparkContext.broadcast(model)
-    short = words.where(F.length("word") <= LATTICE_CHARS)
-    # the fold copies its state at each step, which only short words can afford
-    edges = lattice(short, piece_table(spark, model), model.longest, model.unk_score, words.count())
-    found = edges.select("word", "times", fold_viterbi(F.col("word"), F.col("edges"), model).alias("ids"))
+def fold_long(word: Column, blocks: Column, model: Model) -> Column:
+    """The same ids as ``fold_viterbi``, by folds whose inner state does not grow with the word.
+
+    ``scores`` are those of the last ends up to ``at``, the last as ``-1``; ``back`` is the best step into ``at``,
+    its start and piece in one number; ``log`` and ``done`` hold the steps into earlier ends, one for each.
+    """
+    inner, outer = "struct<at:int,scores:array<double>,back:bigint,log:array<bigint>>", "struct<at:int,scores:array<double>,back:bigint,done:array<array<bigint>>>"
+    most, half = model.longest + 1, 1 << (STEP_BITS - 1)
+    blank = F.array().cast("array<bigint>")
+
+    def step(s: Column, e: Column) -> Column:
+        score = F.element_at(s["scores"], e["start"] - s["at"] - 1) + e["score"]
+        opens = e["end"] > s["at"]
+        takes = opens | (score > F.element_at(s["scores"], -1))
+        size = F.size(s["scores"])
+        kept = F.when(opens, F.slice(s["scores"], F.greatest(F.lit(1), size + 2 - most), F.lit(most))).otherwise(F.slice(s["scores"], F.lit(1), size - 1))
+        back = F.shiftleft(e["start"].cast("bigint"), STEP_BITS) + e["id"] + half
+        return F.struct(
+            F.greatest(e["end"], s["at"]).alias("at"),
+            F.when(takes, F.concat(kept, F.array(score))).otherwise(s["scores"]).alias("scores"),
+            F.when(takes, back).otherwise(s["back"]).alias("back"),
+            F.when(opens & s["back"].isNotNull(), F.concat(s["log"], F.array(s["back"]))).otherwise(s["log"]).alias("log"),
+        )
+
+    def block(o: Column, b: Column) -> Column:
+        begin = F.struct(o["at"].alias("at"), o["scores"].alias("scores"), o["back"].alias("back"), blank.alias("log")).cast(inner)
+        return F.reduce(b["edges"], begin, step, lambda s: F.struct(s["at"].alias("at"), s["scores"].alias("scores"), s["back"].alias("back"), F.concat(o["done"], F.array(s["log"])).alias("done")))
+
+    first = F.struct(F.lit(0).alias("at"), F.array(F.lit(0.0)).alias("scores"), F.lit(None).alias("back"), F.array().alias("done")).cast(outer)
+    steps = F.reduce(blocks, first, block, lambda o: F.concat(o["done"], F.array(F.array(o["back"]))))
+
+    def walk(s: Column, back: Column) -> Column:
+        reached = s["end"] == s["at"]
+        return F.struct(F.when(reached, F.shiftright(back, STEP_BITS).cast("int")).otherwise(s["at"]).alias("at"), (s["end"] - 1).alias("end"), F.when(reached, F.concat(s["log"], F.array(back))).otherwise(s["log"]).alias("log"))
+
+    def walk_chunk(o: Column, chunk: Column) -> Column:
+        begin = F.struct(o["at"].alias("at"), o["end"].alias("end"), blank.alias("log")).cast("struct<at:int,end:int,log:array<bigint>>")
+        return F.reduce(F.reverse(chunk), begin, walk, lambda s: F.struct(s["at"].alias("at"), s["end"].alias("end"), F.concat(o["done"], F.array(s["log"])).alias("done")))
+
+    last = F.struct(F.length(word).alias("at"), F.length(word).alias("end"), F.array().alias("done")).cast("struct<at:int,end:int,done:array<array<bigint>>>")
+    path = F.reduce(F.reverse(steps), last, walk_chunk, lambda o: F.reverse(F.flatten(o["done"])))
+    return F.flatten(F.transform(path, lambda back: _ids_of((back.bitwiseAND((1 << STEP_BITS) - 1) - half).cast("int"), model)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [viterbi(w, table.value) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "times", "ids"])
 
-    return found.unionByName(words.where(F.length("word") > LATTICE_CHARS).select("word", "times").mapInArrow(run, "word string, times bigint, ids array<int>"))
+def encoded_words(words: DataFrame, model: Model) -> DataFrame:
+    """``word``, ``times`` and ``ids`` of each distinct word."""
+    short, long = words.where(F.length("word") <= SHORT), words.where(F.length("word") > SHORT)
+    table = piece_table(words.sparkSession, model)
+    # one lattice, two ways to keep the fold's state; the short words' is the quicker one
+    found = lattice(short, table, model.longest, model.unk_score, words.count()).select("word", "times", fold_viterbi(F.col("edges"), model).alias("ids"))
+    rest = long_lattice(long, table, model.longest, model.unk_score).select("word", "times", fold_long(F.col("word"), F.col("blocks"), model).alias("ids"))
+    return found.unionByName(rest)
 
 
 class Dictionary(NamedTuple):
