@@ -65,3 +65,9 @@ def preferred_time(attributes: Column, stem: str) -> Column:
     ticks = F.try_element_at(attributes, F.lit(f"{stem}_filetime")).try_cast("bigint")
     unix = F.try_element_at(attributes, F.lit(f"{stem}_unix")).try_cast("bigint")
     return F.coalesce(filetime_iso(ticks), filetime_iso(unix * 10000000 + EPOCH_TICKS))
+
+
+def filetime_seconds(ticks: Column) -> Column:
+    """Unix seconds of ticks, rounded down; null before 1970, where a FILETIME is unset or no time."""
+    wide = ticks.cast("decimal(20,0)")
+    return F.when(wide >= EPOCH_TICKS, F.floor((wide - EPOCH_TICKS) / 10000000).cast("bigint"))

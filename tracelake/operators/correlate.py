@@ -56,22 +56,59 @@ def interval_pairs(traces: DataFrame, group: Sequence[str], first_kind: str, sec
     return a.join(b, test).select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), delta.alias("delta_us"))
 
 
+#: fixed values: the longest time between the two events of each rule, in nanoseconds
+RULE_WINDOWS = (("execution-sources", 2 * 10**9), ("persistence-activity", 86_400 * 10**9), ("process-network", 300 * 10**9))
+
+
+def rule_candidates(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope")) -> DataFrame:
+    """Every ordered pair that the fixed rules compare, by rule: rule, a_id, b_id, delta, and whether it ``matches`` the rule's window.
+
+    Each rule joins only the kinds it is about, on its group and on time buckets as wide as its window: the first
+    event goes to its bucket and the next, the second to its own. So a hot group is cut by time.
+    """
+    t = traces.withColumn("at", F.col("time_ns"))
+    event_time = F.col("semantics") == "event_time"
+    programs = t.where(event_time & (F.col("kind") == "process_start") & F.col("entity_kind").isin("file", "application") & (F.col("role") == "executable"))
+    made = t.where(((F.col("entity_kind") == "service") & (F.col("kind") == "service_installed")) | ((F.col("entity_kind") == "scheduled_task") & (F.col("kind") == "scheduled_task_created")))
+    active = t.where(event_time & (((F.col("entity_kind") == "service") & (F.col("kind") == "service_started")) | ((F.col("entity_kind") == "scheduled_task") & (F.col("kind") == "scheduled_task_executed"))))
+    processes = t.where(event_time & (F.col("entity_kind") == "process") & (F.col("role") == "process"))
+    sides = {"execution-sources": (programs, programs, F.col("a.parser") != F.col("b.parser")), "persistence-activity": (made, active, F.lit(True)), "process-network": (processes.where("kind = 'process_start'"), processes.where("kind IN ('network_connection', 'dns_query', 'http_request')"), F.lit(True))}
+    out = None
+    for rule, window in RULE_WINDOWS:
+        left, right, also = sides[rule]
+        bucket = F.floor(F.col("at") / window)
+        a = left.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).alias("a")
+        b = right.withColumn("bucket", bucket).alias("b")
+        on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.event_id") != F.col("b.event_id")) & (F.col("a.artifact_id") != F.col("b.artifact_id"))
+        for g in group:
+            on = on & (F.col(f"a.{g}") == F.col(f"b.{g}"))
+        delta = F.col("b.at") - F.col("a.at")
+        ordered = (delta > 0) | ((delta == 0) & (F.struct("a.event_id", "a.artifact_id") < F.struct("b.event_id", "b.artifact_id"))) if rule == "execution-sources" else delta >= 0
+        pairs = a.join(b, on & ordered).select(F.lit(rule).alias("rule"), F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), delta.alias("delta"), ((delta <= window) & also).alias("matches"))
+        out = pairs if out is None else out.union(pairs)
+    return out
+
+
 def rule_pairs(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope")) -> DataFrame:
     """The three fixed rules over eligible traces with nanosecond times: rule, a_id, b_id. Equal pairs count once."""
-    t = traces.withColumn("at", F.col("time_ns"))
-    a, b = t.alias("a"), t.alias("b")
-    on = (F.col("a.event_id") != F.col("b.event_id")) & (F.col("a.artifact_id") != F.col("b.artifact_id"))
-    for g in group:
-        on = on & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-    delta = F.col("b.at") - F.col("a.at")
-    ordered = (delta > 0) | ((delta == 0) & (F.struct("a.event_id", "a.artifact_id") < F.struct("b.event_id", "b.artifact_id")))
-    event_times = (F.col("a.semantics") == "event_time") & (F.col("b.semantics") == "event_time")
-    execution = ordered & event_times & (F.col("a.kind") == "process_start") & (F.col("b.kind") == "process_start") & F.col("a.entity_kind").isin("file", "application") & (F.col("a.role") == "executable") & (F.col("b.role") == "executable") & (F.col("a.parser") != F.col("b.parser")) & (delta <= 2_000_000_000)
-    created = ((F.col("a.entity_kind") == "service") & (F.col("a.kind") == "service_installed") & (F.col("b.kind") == "service_started")) | ((F.col("a.entity_kind") == "scheduled_task") & (F.col("a.kind") == "scheduled_task_created") & (F.col("b.kind") == "scheduled_task_executed"))
-    persistence = created & (F.col("b.semantics") == "event_time") & (delta >= 0) & (delta <= 86_400_000_000_000)
-    network = event_times & (F.col("a.entity_kind") == "process") & (F.col("a.role") == "process") & (F.col("b.role") == "process") & (F.col("a.kind") == "process_start") & F.col("b.kind").isin("network_connection", "dns_query", "http_request") & (delta >= 0) & (delta <= 300_000_000_000)
-    rule = F.when(execution, "execution-sources").when(persistence, "persistence-activity").when(network, "process-network")
-    return a.join(b, on & (delta >= 0) & (delta <= 86_400_000_000_000)).select(rule.alias("rule"), F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id")).where("rule IS NOT NULL").distinct()
+    return rule_candidates(traces, group).where("matches").select("rule", "a_id", "b_id").distinct()
+
+
+def limited_rules(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope"), comparisons: int = MOST_COMPARISONS, matches: int = MOST_MATCHES) -> DataFrame:
+    """The matches among the first ``comparisons`` pairs in a fixed order, the first ``matches`` of them, and whether either limit was reached (``limited``).
+
+    The limits are the feature: a run compares and returns no more. Both are sorts with a limit.
+    """
+    pairs = rule_candidates(traces, group).distinct()
+    order = ["rule", "a_id", "b_id", "delta"]
+    compared = pairs.orderBy(*order).limit(comparisons + 1)
+    number = Window.partitionBy().orderBy(*order)  # over at most that many rows
+    seen = compared.withColumn("_n", F.row_number().over(number))
+    found = seen.where((F.col("_n") <= comparisons) & F.col("matches")).select("rule", "a_id", "b_id").distinct()
+    reached = seen.agg(F.max("_n").alias("compared"))
+    total = found.agg(F.count(F.lit(1)).alias("found"))
+    out = found.orderBy("rule", "a_id", "b_id").limit(matches)
+    return out.crossJoin(F.broadcast(reached)).crossJoin(F.broadcast(total)).withColumn("limited", (F.col("compared") > comparisons) | (F.col("found") > matches)).drop("compared", "found")
 
 
 def limited(pairs: DataFrame, order: Sequence[str], most: int) -> DataFrame:
@@ -80,6 +117,28 @@ def limited(pairs: DataFrame, order: Sequence[str], most: int) -> DataFrame:
     return pairs.orderBy(*order).limit(most).join(F.broadcast(total)).withColumn("limited", F.col("n") > most)
 
 
+# Time attributes of findings, in the order that ties keep, and the event each tells of.
+TIME_KEYS = (
+    ("erste_installation_unix", "usb_erste_installation"), ("installation_unix", "usb_installation"), ("letzte_verbindung_unix", "usb_verbunden"), ("letztes_trennen_unix", "usb_getrennt"),
+    ("zuletzt_verwendet_unix", "shellbag_zuletzt_verwendet"), ("aktivitaet_start_unix", "aktivitaet_start"), ("aktivitaet_ende_unix", "aktivitaet_ende"), ("aktivitaet_geaendert_unix", "aktivitaet_geaendert"),
+    ("element_erstellt_unix", "element_erstellt"), ("element_geaendert_unix", "element_geaendert"), ("element_zugriff_unix", "element_zugegriffen"), ("geloescht_unix", "geloescht"),
+    ("letzter_zugriff_unix", "zugegriffen"), ("key_letzte_aenderung_unix", "registry_key_geaendert"), ("ziel_erstellt_unix", "ziel_erstellt"), ("ziel_geaendert_unix", "ziel_geaendert"),
+    ("ziel_zugriff_unix", "ziel_zugegriffen"), ("zeit_unix", "ereignis"), ("besucht_unix", "besucht"), ("letzte_ausfuehrung_unix", "ausgefuehrt"), ("registriert_unix", "registriert"),
+    ("erstellt_unix", "erstellt"), ("letzte_aenderung_unix", "geaendert"),
+)
+TIMELINE_ORDER = ("unix", "domain", "finding_index", "key_index")
+
+
+def whole_timeline(findings: DataFrame) -> DataFrame:
+    """All time attributes of findings (finding_index, finding_id, domain, name, source, offset, attributes) as rows in the timeline's order, with volume and ``place`` in it.
+
+    The order is a range-partitioned sort, ties by finding and then by the keys' order; ``place`` counts from 1 within equal seconds and domains.
+    """
+    rows = super_timeline(findings, TIME_KEYS).withColumn("volume", F.try_element_at("attributes", F.lit("volume")))
+    ties = Window.partitionBy("unix", "domain").orderBy("finding_index", "key_index")
+    return rows.withColumn("place", F.row_number().over(ties)).select("unix", "domain", "event", "name", "source", "finding_index", "finding_id", "key_index", "time_key", "offset", "volume", "place").orderBy(*TIMELINE_ORDER)
+
+
 def super_timeline(findings: DataFrame, time_keys: Sequence[tuple[str, str]]) -> DataFrame:
     """A row for every time attribute that reads as a 64-bit number; ``key_index`` keeps the keys' order for ties."""
     rows = F.array(*(F.struct(F.lit(i).alias("key_index"), F.lit(k).alias("time_key"), F.lit(e).alias("event"), F.try_element_at("attributes", F.lit(k)).try_cast("bigint").alias("unix")) for i, (k, e) in enumerate(time_keys)))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: fixed values
 MASK = "[maskiert]"
 GENESIS = "0" * 64
+ALWAYS_SECRET = ("passwort", "dcc2_hash", "dpapi_machinekey", "dpapi_userkey", "masterkey_hex")
 SECRET_FIELDS = ("geheimnis", "klartext", "lm_hash", "nt_hash", "schluessel", "wert")
 
 
@@ -18,7 +22,7 @@ def mask_fields(fields: Column, sensitive: Column, names: Sequence[str] = SECRET
     return F.when(sensitive, F.transform_values(fields, lambda k, v: F.when(k.isin(*names) & v.isNotNull(), F.lit(MASK)).otherwise(v))).otherwise(fields)
 
 
-def masked_json(value: object, secret: bool = False, always: Sequence[str] = SECRET_FIELDS[:5], scoped: str = "wert") -> object:
+def masked_json(value: object, secret: bool = False, always: Sequence[str] = ALWAYS_SECRET, scoped: str = "wert") -> object:
     """Nested values with secrets masked: always-secret keys anywhere, ``wert`` inside a secret scope, which its children inherit."""
     if isinstance(value, dict):
         inside = secret or value.get("sensibel") in (True, "true")
@@ -28,6 +32,72 @@ def masked_json(value: object, secret: bool = False, always: Sequence[str] = SEC
     return value
 
 
+def masked_documents(rows: DataFrame, document: str, secret: str | None = None, always: Sequence[str] = ALWAYS_SECRET, scoped: str = "wert") -> DataFrame:
+    """The rows with a JSON column masked at any depth; ``secret`` names a flag column that puts a whole row in the secret scope.
+
+    A secret row whose value is no object is masked whole; text that is no JSON is null. Keys come out in order.
+    """
+    at = rows.columns.index(document)
+    flag = rows.columns.index(secret) if secret else None
+
+    def one(text: str | None, inside: bool) -> str | None:
+        try:
+            value = json.loads(text) if text is not None else None
+        except ValueError:
+            return None
+        if text is None:
+            return None
+        value = MASK if inside and not isinstance(value, dict) else masked_json(value, inside, always, scoped)
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = batch.column(flag).to_pylist() if flag is not None else [False] * batch.num_rows
+            columns = list(batch.columns)
+            columns[at] = pa.array([one(t, bool(f)) for t, f in zip(columns[at].to_pylist(), flags, strict=True)], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def audit_row(user: str, action: str, case: str, time: str, searched: str | None = None, **details: object) -> str:
+    """The payload of a read's audit row: canonical JSON, in which a search term stands as its SHA-256 only."""
+    named = dict(details)
+    if searched is not None:
+        named["suche_sha256"] = hashlib.sha256(searched.encode()).hexdigest()
+    return json.dumps({"benutzer": user, "aktion": action, "fall": case, "zeit": time, "details": named}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def audited(result: DataFrame, trail: str, payload: str) -> DataFrame:
+    """Writes a read's audit row to the trail (a Parquet table, one small file a read) before the result is handed out; without the row there is no result."""
+    spark = result.sparkSession
+    spark.range(1).select(F.lit(payload).alias("payload"), F.current_timestamp().alias("written")).write.mode("append").parquet(trail)
+    return result
+
+
+def role_update(held: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("user_id", "role")) -> DataFrame:
+    """What changes roles held into those wanted: rows with ``change`` ``revoke`` or ``grant``. Roles in both stay untouched."""
+    keys = list(keys)
+    gone = held.select(*keys).distinct().join(wanted.select(*keys), keys, "left_anti").withColumn("change", F.lit("revoke"))
+    return gone.union(wanted.select(*keys).distinct().join(held.select(*keys), keys, "left_anti").withColumn("change", F.lit("grant")))
+
+
+def optimistic_update(table: DataFrame, changes: DataFrame, key: str, values: Sequence[str], version: str = "updated_at", expected: str = "expected") -> DataFrame:
+    """Every change with ``outcome``: ``updated`` where the row still has the version expected, ``conflict`` where it has another, ``missing`` where there is none; and the row's values after it."""
+    now = table.select(key, F.col(version).alias("_version"), *(F.col(v).alias(f"_{v}") for v in values))
+    both = changes.join(now, key, "left")
+    fits = F.col("_version").eqNullSafe(F.col(expected))
+    outcome = F.when(F.col("_version").isNull(), "missing").when(fits, "updated").otherwise("conflict")
+    return both.select(key, outcome.alias("outcome"), *(F.when(F.col("_version").isNotNull() & fits, F.col(v)).otherwise(F.col(f"_{v}")).alias(v) for v in values))
+
+
+def bookmarks_after(held: DataFrame, changes: DataFrame, keys: Sequence[str], time: str, deleted: str, values: Sequence[str]) -> DataFrame:
+    """Bookmarks after upserts and soft deletes: the latest change of each key wins, a deleted one stays with its mark, a new upsert revives it; the first time stays as ``created``."""
+    every = held.select(*keys, time, deleted, *values).unionByName(changes.select(*keys, time, deleted, *values))
+    latest = F.max_by(F.struct(deleted, *values), F.struct(F.col(time), ~F.col(deleted)))
+    return every.groupBy(*keys).agg(F.min(time).alias("created"), F.max(time).alias("changed"), latest.alias("_l")).select(*keys, "created", "changed", "_l.*")
+
+
 def chain_hash(previous: Column, sequence: Column, payload: Column) -> Column:
     """SHA-256 over the previous hash, the number and the payload, a line each."""
     return F.sha2(F.encode(F.concat(previous, F.lit("\n"), sequence.cast("string"), F.lit("\n"), payload), "UTF-8"), 256)
@@ -36,12 +106,25 @@ def chain_hash(previous: Column, sequence: Column, payload: Column) -> Column:
 def build_chains(events: DataFrame, chain: str, sequence: str, payload: str) -> DataFrame:
     """Hashes of each chain's events in order: chain, sequence, payload, previous_hash, hash.
 
-    A chain is serial by nature: one fold a chain. Cut long histories into chains (a case, a day).
+    A chain is serial by nature, but no more than its last hash is carried along: rows stream, sorted, through
+    the task that has their chain. Cut long histories into chains (a case, a day), which run in parallel.
     """
-    grouped = events.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("sequence"), F.col(payload).alias("payload")))).alias("rows"))
-    start = F.array(F.struct(F.lit(0).cast("bigint").alias("sequence"), F.lit("").alias("payload"), F.lit("").alias("previous_hash"), F.lit(GENESIS).alias("hash")))
-    folded = F.aggregate("rows", start, lambda acc, r: F.concat(acc, F.array(F.struct(r["sequence"].cast("bigint").alias("sequence"), r["payload"].alias("payload"), F.element_at(acc, -1)["hash"].alias("previous_hash"), chain_hash(F.element_at(acc, -1)["hash"], r["sequence"], r["payload"]).alias("hash")))))
-    return grouped.select(chain, F.inline(F.slice(folded, F.lit(2), F.size("rows"))))
+    kind = events.schema[chain].dataType.simpleString()
+    rows = events.select(chain, F.col(sequence).cast("bigint").alias("sequence"), F.col(payload).cast("string").alias("payload"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            for c, n, p in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (c,) != now:
+                    now, last = (c,), GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{last}\n{n}\n{p}".encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[chain, "sequence", "payload", "previous_hash", "hash"])
+
+    return rows.repartition(chain).sortWithinPartitions(chain, "sequence").mapInArrow(run, f"`{chain}` {kind}, sequence bigint, payload string, previous_hash string, hash string")
 
 
 def verify_chains(rows: DataFrame, chain: str) -> DataFrame:

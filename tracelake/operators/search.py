@@ -29,22 +29,82 @@ def term_table(spark, terms: Sequence[Term]) -> DataFrame:
 
 
 def positions(text: Column, word: Column) -> Column:
-    """Start offsets (0-based code points) of a literal in a text, overlapping ones included. Filter by ``contains`` first, and cut long texts into chunks."""
+    """Start offsets (0-based code points) of a literal in a short text, overlapping ones included; for tables of long texts use ``literal_offsets``."""
     last = F.length(text) - F.length(word)
     found = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substr(text, i + 1, F.length(word)) == word)
     return F.when((F.length(word) > 0) & (last >= 0), found).otherwise(F.array().cast("array<int>"))
 
 
-def _pattern(terms: Sequence[Term]) -> list[tuple[Term, re.Pattern]]:
-    out = []
+def chunks(docs: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
+    """``key``, ``base`` and ``chunk``: texts in pieces of ``size`` characters, each with the ``overlap`` that follows."""
+    base = F.explode(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size)))
+    cut = docs.where(F.col(text).isNotNull()).select(key, text, base.alias("base"))
+    return cut.select(key, F.col("base").cast("bigint").alias("base"), F.substr(text, F.col("base") + 1, F.lit(size + overlap)).alias("chunk"))
+
+
+def literal_offsets(docs: DataFrame, keys: Sequence[str], text: str, word: str, most: int | None = None) -> DataFrame:
+    """``keys``, ``encoding`` and ``start`` of every occurrence of a literal, overlapping ones included, letter case counting.
+
+    A string column is searched in code points, a binary one in bytes, as UTF-8 and as UTF-16LE. With ``most``,
+    of each row only the first so many by offset; the row's ``limited`` tells that there were more.
+    """
+    kind = docs.schema[text].dataType.simpleString()
+    needles = [("utf8", word)] if kind == "string" else [("utf8", word.encode()), ("utf16le", word.encode("utf-16-le"))]
+    if not word:
+        raise ValueError("an empty word is everywhere")
+
+    def offsets(content) -> list[tuple[int, str]]:
+        out = []
+        for encoding, needle in needles:
+            at = content.find(needle)
+            while at >= 0:
+                out.append((at, encoding))
+                at = content.find(needle, at + 1)
+        return sorted(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, content in enumerate(batch.column(len(keys)).to_pylist()):
+                found = offsets(content) if content is not None else []
+                rows += [(k, e, at, most is not None and len(found) > most) for at, e in found[:most]]
+            row, encoding, start, limited = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row, pa.int64())) for i in range(len(keys))), pa.array(encoding, pa.string()), pa.array(start, pa.int64()), pa.array(limited, pa.bool_())], names=[*keys, "encoding", "start", "limited"])
+
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, text).mapInArrow(run, f"{schema}, encoding string, start bigint, limited boolean")
+
+
+def _automaton(terms: Sequence[Term]):
+    """All terms in one automaton, so that a text is read once however many there are."""
+    import ahocorasick
+
+    by_text: dict[str, list[Term]] = {}
     for t in terms:
-        p = re.escape(t.text)
-        if t.whole_word:
-            p = (f"(?<!{WORD})" if re.match(WORD, t.text[:1]) else "") + p + (f"(?!{WORD})" if re.match(WORD, t.text[-1:]) else "")
-        out.append((t, re.compile(f"(?={p})", re.I | re.A)))
+        by_text.setdefault(_ascii_low(t.text), []).append(t)
+    out = ahocorasick.Automaton()
+    for low, own in by_text.items():
+        out.add_word(low, (len(low), own))
+    out.make_automaton()
     return out
 
 
+def _ascii_low(text: str) -> str:
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _is_word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def _edges_fit(t: Term, text: str, start: int, end: int) -> bool:
+    """A whole word's edge must be one where the term itself begins or ends with a word character."""
+    if not t.whole_word:
+        return True
+    before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+    return not (_is_word(t.text[0]) and before and _is_word(before)) and not (_is_word(t.text[-1]) and after and _is_word(after))
+
+
 HITS = "category string, term string, side string, start bigint, end bigint"
 
 
@@ -59,9 +119,12 @@ def keyword_hits(docs: DataFrame, key: str, text: str, terms: Sequence[Term]) ->
     likely = docs.where(F.col(text).rlike(f"(?i){anything}")).select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = _pattern(terms)
+        automaton = _automaton(terms)
         for batch in batches:
-            rows = [(k, t.category, t.text, t.side, m.start(), m.start() + len(t.text)) for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if s for t, p in patterns for m in p.finditer(s)]
+            rows = []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for last, (n, own) in automaton.iter(_ascii_low(s)) if s else ():
+                    rows += [(k, t.category, t.text, t.side, last + 1 - n, last + 1) for t in own if _edges_fit(t, s, last + 1 - n, last + 1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = [batch.column(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "category", "term", "side", "start", "end"])
@@ -69,6 +132,67 @@ def keyword_hits(docs: DataFrame, key: str, text: str, terms: Sequence[Term]) ->
     return likely.mapInArrow(run, f"`{key}` {kind}, {HITS}")
 
 
+TEXT_RUN = 8  #: fixed value: printable characters around a match in a text context
+
+
+def _printable(b: int) -> bool:
+    return 0x20 <= b < 0x7F or b in (9, 10, 13)
+
+
+def in_text(content: bytes, start: int, end: int, width: int) -> bool:
+    """Whether a match lies in a run of at least ``TEXT_RUN`` printable characters of its encoding."""
+    good = lambda at: _printable(content[at]) and (width == 1 or content[at + 1] == 0)
+    lo, hi = start, end
+    while lo >= width and (hi - lo) // width < TEXT_RUN and good(lo - width):
+        lo -= width
+    while hi + width <= len(content) and (hi - lo) // width < TEXT_RUN and good(hi):
+        hi += width
+    return (hi - lo) // width >= TEXT_RUN
+
+
+def byte_hits(files: DataFrame, key: str, content: str, terms: Sequence[Term], text_only: bool = False) -> DataFrame:
+    """Matches of a term table in binary content, each term as ASCII and as UTF-16LE, ASCII case aside: key, category, term, side, encoding, start and end in bytes.
+
+    All terms in both encodings are one automaton, so the content is read once. ``text_only`` keeps matches in a
+    run of printable characters. The term table is configuration of bounded size and travels with the task.
+    """
+    kind = files.schema[key].dataType.simpleString()
+
+    def automaton():
+        import ahocorasick
+
+        own: dict[str, list] = {}
+        for t in terms:
+            for encoding, width, needle in (("ascii", 1, t.text.encode()), ("utf16le", 2, t.text.encode("utf-16-le"))):
+                own.setdefault(needle.lower().decode("latin-1"), []).append((t, encoding, width))
+        out = ahocorasick.Automaton()
+        for needle, found in own.items():
+            out.add_word(needle, (len(needle), found))
+        out.make_automaton()
+        return out
+
+    def edges_fit(t: Term, data: bytes, start: int, end: int, width: int) -> bool:
+        if not t.whole_word:
+            return True
+        word = lambda at: 0 <= at and at + width <= len(data) and _is_word(chr(data[at])) and (width == 1 or data[at + 1] == 0)
+        return not (_is_word(t.text[0]) and word(start - width)) and not (_is_word(t.text[-1]) and word(end))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton()
+        for batch in batches:
+            rows = []
+            for k, data in enumerate(batch.column(1)):
+                data = data.as_py()
+                for last, (n, found) in machine.iter(data.lower().decode("latin-1")) if data else ():
+                    start, end = last + 1 - n, last + 1
+                    rows += [(k, t.category, t.text, t.side, encoding, start, end) for t, encoding, width in found if edges_fit(t, data, start, end, width) and (not text_only or in_text(data, start, end, width))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.string()] * 4 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=[key, "category", "term", "side", "encoding", "start", "end"])
+
+    return files.select(key, content).mapInArrow(run, f"`{key}` {kind}, category string, term string, side string, encoding string, start bigint, end bigint")
+
+
 def scanned_bytes(content: bytes, terms: Sequence[Term], base: int = 0) -> list[tuple[str, str, str, int]]:
     """Matches in bytes, each term as ASCII and as UTF-16LE: category, term, encoding, offset; in the order of their ends."""
     low, out = content.lower(), []
@@ -97,13 +221,13 @@ def scanned_chunks(content: bytes, terms: Sequence[Term], chunk: int) -> list[tu
     return sorted(out, key=lambda m: m[3])
 
 
-def keyword_pairs(hits: DataFrame, key: str, distance: int = DEFAULT_DISTANCE) -> DataFrame:
-    """A left term and the latest right term before it within the distance, or the other way round: one row a pair. Hits are visited by their ends."""
-    w = Window.partitionBy(key, "category").orderBy("end", F.desc(F.length("term")), "term", "start").rowsBetween(Window.unboundedPreceding, -1)
+def keyword_pairs(hits: DataFrame, key: str, distance: int = DEFAULT_DISTANCE, by: Sequence[str] = ()) -> DataFrame:
+    """A left term and the latest right term before it within the distance, or the other way round: one row a pair. Hits are visited by their ends; ``by`` (as the encoding of matches in bytes) keeps apart what is no pair."""
+    w = Window.partitionBy(key, "category", *by).orderBy("end", F.desc(F.length("term")), "term", "start").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda side: F.last(F.when(F.col("side") == side, F.struct("start", "end", "term")), ignorenulls=True).over(w)
     other = F.when(F.col("side") == "L", last("R")).otherwise(last("L"))
     gap = F.greatest(F.col("start") - F.col("other.end"), F.col("other.start") - F.col("end"), F.lit(0))
-    return hits.where("side IN ('L', 'R')").withColumn("other", other).where("other IS NOT NULL").withColumn("gap", gap).where(F.col("gap") <= distance).select(key, "category", F.least("start", "other.start").alias("start"), F.when(F.col("side") == "L", F.col("term")).otherwise(F.col("other.term")).alias("left_term"), F.when(F.col("side") == "L", F.col("other.term")).otherwise(F.col("term")).alias("right_term"), "gap")
+    return hits.where("side IN ('L', 'R')").withColumn("other", other).where("other IS NOT NULL").withColumn("gap", gap).where(F.col("gap") <= distance).select(key, "category", *by, F.least("start", "other.start").alias("start"), F.when(F.col("side") == "L", F.col("term")).otherwise(F.col("other.term")).alias("left_term"), F.when(F.col("side") == "L", F.col("other.term")).otherwise(F.col("term")).alias("right_term"), "gap")
 
 
 def snippet(text: Column, start: Column, length: Column, around: int = 24, most: int = 200) -> Column:
@@ -151,18 +275,86 @@ def ip_literals(data: bytes | str) -> list[str]:
     return out
 
 
+ADDRESSES = "address string, original string, kind string, encoding string, start bigint, bytes bigint"
+
+
+def address_hits(files: DataFrame, key: str, content: str) -> DataFrame:
+    """IPv4 and IPv6 literals of a text or binary column: key, canonical address, its text, kind, encoding, start and length.
+
+    Tokens of ``[A-Za-z0-9.:_%-]`` up to 128 long, final dots aside, that are an address, or an IPv4 address and
+    a port. Binary content is read as ASCII and as both phases of UTF-16LE. Content without a dotted number or
+    a colon pair never reaches Python where it is text.
+    """
+    kind, binary = files.schema[key].dataType.simpleString(), files.schema[content].dataType.simpleString() == "binary"
+    source = files.select(key, content)
+    if not binary:
+        source = source.where(F.col(content).rlike(r"[0-9]\.[0-9]|:[0-9A-Fa-f]*:"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                for text, encoding, base, width in _phases(data):
+                    for m in re.finditer(r"[A-Za-z0-9.:_%-]+", text):
+                        if found := _address(m[0]):
+                            rows.append((k, *found, encoding, base + m.start() * width, len(found[1]) * width))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.string()] * 4 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=[key, "address", "original", "kind", "encoding", "start", "bytes"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, {ADDRESSES}")
+
+
+def _phases(data: bytes | str | None) -> list[tuple[str, str, int, int]]:
+    """The readings of a content: text, encoding, first offset, and bytes a character."""
+    if data is None or isinstance(data, str):
+        return [(data, "text", 0, 1)] if data else []
+    units = lambda phase: "".join(chr(a) if not b else "\0" for a, b in zip(data[phase::2], data[phase + 1 :: 2], strict=False))
+    return [(data.decode("latin-1"), "ascii", 0, 1), (units(0), "utf16le", 0, 2), (units(1), "utf16le", 1, 2)]
+
+
+def _address(token: str) -> tuple[str, str, str] | None:
+    """Canonical address, its text without a port, and its kind."""
+    import ipaddress
+
+    token = token.rstrip(".")
+    if len(token) > 128 or not {".", ":"} & set(token) or "%" in token:
+        return None
+    with_port = re.fullmatch(r"([0-9.]+):([0-9]{1,5})", token)
+    text = with_port[1] if with_port and int(with_port[2]) <= 65535 else token
+    try:
+        found = ipaddress.ip_address(text)
+    except ValueError:
+        return None
+    mapped = found.version == 6 and found.ipv4_mapped
+    return f"::ffff:{mapped}" if mapped else str(found), text, f"IPv{found.version}"
+
+
 def lines_with_offsets(docs: DataFrame, key: str, text: str, most_bytes: int = 65536) -> DataFrame:
     """Physical lines: number from 1, byte offset, length without its end, text, and whether a backtick continues it. Blank and overlong ones are left out.
 
-    Offsets come from a running sum inside each text, so no line is shuffled.
+    One pass over each text where it lies: no line is shuffled, and the work is linear in the text.
     """
-    raw = F.split(F.col(text), "\n", -1)
-    sizes = F.transform(raw, lambda x: F.octet_length(x) + 1)
-    begin = F.slice(F.aggregate(sizes, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), F.lit(1), F.size(raw))
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.arrays_zip(raw.alias("line"), begin.alias("at"))))
-    line = F.regexp_replace(F.col("col.line"), r"\r$", "")
-    out = rows.select(key, (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("col.at").alias("offset"), F.octet_length(line).cast("bigint").alias("bytes"), line.alias("line"), F.endswith(line, F.lit("`")).alias("continued"))
-    return out.where((F.trim("line") != "") & (F.col("bytes") <= most_bytes))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, number, offset, size, lines = [], [], [], [], []
+            for k, content in enumerate(batch.column(1).to_pylist()):
+                at = 0
+                for n, raw in enumerate(content.encode().split(b"\n"), 1):
+                    line = raw.removesuffix(b"\r")
+                    if line.strip(b" ") and len(line) <= most_bytes:
+                        row.append(k)
+                        number.append(n)
+                        offset.append(at)
+                        size.append(len(line))
+                        lines.append(line.decode())
+                    at += len(raw) + 1
+            continued = [x.endswith("`") for x in lines]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int64()), pa.array(offset, pa.int64()), pa.array(size, pa.int64()), pa.array(lines, pa.string()), pa.array(continued, pa.bool_())], names=[key, "line_no", "offset", "bytes", "line", "continued"])
+
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {kind}, line_no bigint, offset bigint, bytes bigint, line string, continued boolean")
 
 
 def search_document(fields: Column) -> Column:

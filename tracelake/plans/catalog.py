@@ -60,9 +60,9 @@ def volume_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") > 2000).alias("n_large"), F.sum("size").alias("bytes"))
 
 
-@query(f"SELECT doc_id, path FROM {_FILES} WHERE lower(right(name, 5)) = '7.txt'")
+@query(f"SELECT doc_id, path FROM {_FILES} WHERE lower(right(name, 4)) = '.txt'")
 def catalog_ext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where(catalog.has_extension("name", "TXT") & F.endswith(F.col("name"), F.lit("7.txt"))).select("doc_id", "path")
+    return files(spark, sf_dir).where(catalog.has_extension("name", "TXT")).select("doc_id", "path")
 
 
 @query(rf"SELECT doc_id, path, count(*) OVER () > 500 AS more FROM (SELECT * FROM {_FILES} WHERE contains(lower(path), '\de\doc') AND (doc_id, path) > (50, '') ORDER BY doc_id, path LIMIT 501) ORDER BY doc_id, path LIMIT 500")
@@ -84,9 +84,9 @@ def path_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT sha256, min(doc_id) AS hashed_from, count(*) AS n_links FROM {_FILES} GROUP BY sha256")
 def hardlink_hash_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal contents are hashed once: they are grouped before the hash is computed."""
-    docs = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("hashed_from"), F.count(F.lit(1)).alias("n_links"))
-    return docs.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "hashed_from", "n_links")
+    """Files of equal content, told by a hash made where they lie: 32 bytes of each are shuffled, and no content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+    return docs.groupBy("sha256").agg(F.min("doc_id").alias("hashed_from"), F.count(F.lit(1)).alias("n_links"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'gzip' WHEN 3 THEN 'registry_hive' WHEN 4 THEN CASE WHEN text = '' THEN 'leer' ELSE 'unbekannt' END ELSE 'png' END AS kind FROM documents""")

@@ -20,9 +20,9 @@ def mask_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("lang="), F.col("m")["lang"], F.lit(";wert="), F.col("m")["wert"]).alias("fields"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[maskiert]' ELSE left(text, 20) END AS value FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[maskiert]' ELSE text END AS value FROM conversations")
 def mask_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = govern.mask_fields(F.create_map(F.lit("klartext"), F.left("text", F.lit(20))), F.col("role") == "system")
+    fields = govern.mask_fields(F.create_map(F.lit("klartext"), F.col("text")), F.col("role") == "system")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fields["klartext"].alias("value"))
 
 
@@ -57,11 +57,13 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains(spark, sf_dir)
 
 
-@query("SELECT user_id, count(*) AS n, 0::BIGINT AS gaps, 0::BIGINT AS predecessors, 0::BIGINT AS contents, true AS head_ok FROM events GROUP BY user_id")
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events)
+SELECT user_id, count(*) AS n, 0::BIGINT AS gaps, 0::BIGINT AS predecessors, count(*) FILTER (sequence = 2 AND user_id % 5 = 0) AS contents, user_id % 7 <> 0 AS head_ok FROM e GROUP BY user_id""")
 def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chain checked, row by row and against its head."""
-    rows = chains(spark, sf_dir)
-    heads = rows.groupBy("user_id").agg(F.max_by("hash", "sequence").alias("head_hash"), F.max("sequence").alias("head_sequence"))
+    """Every chain checked, row by row and against the head kept apart; every fifth chain's second payload and every seventh's head were altered."""
+    rows = chains(spark, sf_dir).withColumn("payload", F.when((F.col("sequence") == 2) & (F.col("user_id") % 5 == 0), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    kept = F.max_by("hash", "sequence")
+    heads = rows.groupBy("user_id").agg(F.when(F.col("user_id") % 7 == 0, F.sha2(kept, 256)).otherwise(kept).alias("head_hash"), F.max("sequence").alias("head_sequence"))
     faults = govern.verify_chains(rows, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("gap").alias("gaps"), F.count_if("predecessor").alias("predecessors"), F.count_if("content").alias("contents"))
     return faults.join(govern.head_matches(rows, heads, "user_id").select("user_id", "head_ok"), "user_id")
 

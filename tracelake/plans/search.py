@@ -74,10 +74,9 @@ def cap_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunked_search_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A literal found in overlapping chunks of 1000 characters; a match belongs to the chunk that it starts in."""
     size, word = 1000, "token"
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit(word)))
-    base = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(size)))
-    chunks = docs.select("doc_id", "text", base.alias("base")).select("doc_id", "base", F.substr("text", F.col("base") + 1, F.lit(size + len(word) - 1)).alias("chunk")).where(F.contains("chunk", F.lit(word)))
-    return chunks.select("doc_id", "base", F.explode(search.positions(F.col("chunk"), F.lit(word))).alias("at")).where(F.col("at") < size).select("doc_id", (F.col("base") + F.col("at")).cast("bigint").alias("start"))
+    chunks = search.chunks(table(spark, sf_dir, "documents").where(F.contains("text", F.lit(word))), "doc_id", "text", size, len(word) - 1).where(F.contains("chunk", F.lit(word)))
+    found = search.literal_offsets(chunks, ["doc_id", "base"], "chunk", word)
+    return found.where(F.col("start") < size).select("doc_id", (F.col("base") + F.col("start")).alias("start"))
 
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -93,7 +92,7 @@ def ip_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, turn, i AS start FROM (SELECT conv_id, turn, text, unnest(range(length(text) - 1)) AS i FROM conversations WHERE contains(text, 'th')) WHERE substr(text, i + 1, 2) = 'th'""")
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").where(F.contains("text", F.lit("th")))
-    return talks.select("conv_id", "turn", F.explode(search.positions(F.col("text"), F.lit("th")).cast("array<bigint>")).alias("start"))
+    return search.literal_offsets(talks, ["conv_id", "turn"], "text", "th").select("conv_id", "turn", "start")
 
 
 @query(r"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM s),
@@ -104,7 +103,7 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", "offset", "bytes", "continued")
 
 
-_FIELDS = "('lang: ' || lang || ' role: ' || source || ' text: ' || left(text, 100))"
+_FIELDS = "('lang: ' || lang || ' role: ' || source || ' text: ' || text)"
 
 
 @query(f"SELECT doc_id, {_FIELDS} AS document FROM documents")
@@ -113,7 +112,7 @@ def search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = F.create_map(F.lit("text"), F.left("text", F.lit(100)), F.lit("role"), F.col("source"), F.lit("lang"), F.col("lang"))
+    fields = F.create_map(F.lit("text"), F.col("text"), F.lit("role"), F.col("source"), F.lit("lang"), F.col("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", "source", "text", search.search_document(fields).alias("document"))
 
 

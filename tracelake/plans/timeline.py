@@ -40,16 +40,17 @@ UNION ALL SELECT event_id, 'host', 'host' || (user_id % 4)::VARCHAR FROM events"
 
 
 def with_participants(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
-    own = participants(spark, sf_dir).join(events.select("event_id"), "event_id", "left_semi")
-    listed = own.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "name"))), lambda p: F.concat(p["role"], F.lit("="), p["name"])), ";").alias("participants"))
-    return events.join(listed, "event_id", "left").withColumn("participants", F.coalesce("participants", F.lit("")))
+    """A page's rows with their participants, which only the page's own rows are looked up for."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("actor="), "c_name").alias("actor"))
+    host = F.concat(F.lit("host=host"), (F.col("user_id") % 4).cast("string"))
+    return events.join(customers, "user_id", "left").withColumn("participants", F.concat_ws(";", "actor", host))
 
 
 def _page(spark: SparkSession, sf_dir: str, key: tuple | None) -> DataFrame:
     events = table(spark, sf_dir, "events")
     chosen = pages.where_given(events, range=pages.in_range(F.col("ts"), moment("2024-01-05"), moment("2024-01-20")), kind=pages.one_of(F.col("event_type"), ["click", "purchase"]))
     one = pages.page(chosen, ["ts", "event_id"], key, 200)
-    return with_participants(spark, sf_dir, one.select("event_id", "ts", "event_type", "more")).select("event_id", micros("ts").alias("ts_us"), "event_type", "more", "participants")
+    return with_participants(spark, sf_dir, one.select("event_id", "user_id", "ts", "event_type", "more")).select("event_id", micros("ts").alias("ts_us"), "event_type", "more", "participants")
 
 
 def _page_sql(key: str) -> str:
@@ -84,7 +85,8 @@ def timeline_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, string_agg(role || '=' || name, ';' ORDER BY role, name) AS participants FROM ({_PARTICIPANTS}) GROUP BY event_id")
 def timeline_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_participants(spark, sf_dir, table(spark, sf_dir, "events").select("event_id"))
+    listed = participants(spark, sf_dir).groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "name"))), lambda p: F.concat(p["role"], F.lit("="), p["name"])), ";").alias("participants"))
+    return table(spark, sf_dir, "events").select("event_id").join(listed, "event_id", "left").withColumn("participants", F.coalesce("participants", F.lit("")))
 
 
 @query("SELECT event_id, event_type, count(*) OVER () > 100 AS more FROM (SELECT event_id, event_type FROM events WHERE event_id < 900 ORDER BY event_id DESC LIMIT 101) ORDER BY event_id DESC LIMIT 100")
