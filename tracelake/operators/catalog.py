@@ -69,3 +69,17 @@ def rebuilt_paths(records: DataFrame, root: int = 5, rounds: int = MOST_DEPTH, c
         if n % checkpoint_every == 0 and records.sparkSession.sparkContext.getCheckpointDir():
             state = state.checkpoint()
     return state.select("record", F.when((F.col("up") == root) & (F.col("depth") < rounds), F.col("path")).alias("path"))
+
+
+def cases_with_evidence(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Every case with the number of its evidence and their ids by time of import, comma-joined; null without any."""
+    order = F.array_sort(F.collect_list(F.struct("imported", "evidence_id")))
+    listed = evidence.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.array_join(F.transform(order, lambda e: e["evidence_id"].cast("string")), ",").alias("evidence"))
+    return cases.join(listed, "case_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
+
+
+def registered(held: DataFrame, offered: DataFrame) -> DataFrame:
+    """Evidence offered (evidence_id, sha256) as ``new``, ``known``, or a ``conflict`` with other bytes held under its id."""
+    known = held.select("evidence_id", F.col("sha256").alias("_held"))
+    outcome = F.when(F.col("_held").isNull(), "new").when(F.col("_held") == F.col("sha256"), "known").otherwise("conflict")
+    return offered.join(known, "evidence_id", "left").select("evidence_id", outcome.alias("outcome"))

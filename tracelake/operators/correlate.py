@@ -167,3 +167,14 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, val
     both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)}).unionByName(right.select(*keys, time, F.lit(0).alias("_side"), F.col(value).alias("_value")), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_value")
+
+
+def numbered(rows: DataFrame, bucket: str, order: Sequence[Column]) -> DataFrame:
+    """The rows with ``place`` in an order that begins with the bucket (whole numbers, rising with it), without one task for all rows.
+
+    Rows are numbered in their bucket; the sizes of the earlier buckets, one number each, are added.
+    """
+    sizes = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy().orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(bucket, "_before")
+    own = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
+    return rows.withColumn("_own", own).join(before, bucket).withColumn("place", F.col("_own") + F.col("_before")).drop("_own", "_before")
