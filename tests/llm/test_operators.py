@@ -135,17 +135,25 @@ def test_entropy_windows_by_hand():
     assert secrets.redact("a secret b", [(2, 8), (4, 6)]) == "a [secret] b"
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 8])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(decontaminate.BLOCK_WORDS, 4), (8, 100), (8, 2)])
+def test_decontamination(spark, block, most):
+    """In one block, in many at once, and in passes of two blocks each."""
     rows = fixture(4)
     items = [(1, " ".join(rows[3][1].split()[2:30])), (2, "Gamma DELTA"), (3, None), (4, "..."), (5, rows[8][1]), (6, rows[8][1]), (None, "alpha")]
-    found = decontaminate.find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), window=4, block_words=block)
+    found = decontaminate.find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), window=4, block_words=block, most_blocks=most)
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in found.collect()), key=str)
     assert got == sorted(brute.contamination(rows, items, 4), key=str)
     clean = decontaminate.remove_contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), 4)
     assert clean.columns == ["doc_id", "text"] and clean.count() == sum(not r[4] for r in got)
 
 
+def test_item_ids_of_text(spark):
+    docs = frame(spark, [(1, "a b c d"), (2, "x")])
+    items = spark.createDataFrame([("q-10", "a b c"), ("q-9", "b c d"), (None, "x")], "item_id string, text string")
+    got = {r.doc_id: (r.item_ids, r.n_hit) for r in decontaminate.find_contamination(docs, items, window=3, unnamed=True).collect()}
+    assert got == {1: (["q-10", "q-9"], 4), 2: ([None], 1)}
+
+
 def test_longest_match(spark):
     item = [(1, "a b c d e f g h")]
     docs = [(1, "x a b c d e f z"), (2, "b c d e"), (3, "a b c x")]

@@ -9,13 +9,14 @@ the array before sorting; this loses no match and keeps the array small.
 Words: A-Z lowered, then maximal runs of bytes outside ``\\x00-\\x2F \\x3A-\\x60 \\x7B-\\x7F``. A window is
 ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-Test items go to the executors in blocks of at most ``block_words`` words each, however many there
-are; a shard is searched for one block after another. No shuffle is needed: every decision about a
-document is made where its row is.
+Test items go to the executors in blocks of at most ``block_words`` words each; a shard is searched for
+one block after another. At most ``most_blocks`` blocks are broadcast at once: a benchmark of more is
+searched in several passes, each of which adds to what the rows carry of the passes before. No shuffle is
+needed: every decision about a document is made where its row is.
 
 Edge cases: null and empty texts have no words and are clean; items without words match nothing;
 an empty benchmark or an empty corpus gives clean rows or none; repeated rows are decided each alone;
-equal items all count; items without an id are left out, or with ``unnamed`` searched like the others, a null in
+equal items all count; item ids are whole numbers, or anything else as text; items without an id are left out, or with ``unnamed`` searched like the others, a null in
 ``item_ids`` standing for all of them. Columns of the same names are replaced.
 """
 
@@ -28,24 +29,26 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import bound_batches, unused
+from .sparkio import bound_batches, saved, unused
 
 SHARD_BYTES = 1 << 22
 BLOCK_WORDS = 1 << 20
+MOST_BLOCKS = 4
 _BITS = 20
 
 
 class Block(NamedTuple):
-    """Test windows, distinct and padded with 0 to ``width`` words, their item ids (where ``named``), and what can start a match."""
+    """Test windows, distinct and padded with 0 to ``width`` words, the number of each one's item among ``ids``, and what can start a match."""
 
     windows: np.ndarray
     lengths: np.ndarray
     owner_at: np.ndarray
     owners: np.ndarray
-    named: np.ndarray
+    ids: list
     rest: np.ndarray
     rest_at: np.ndarray
     first: np.ndarray
@@ -64,9 +67,9 @@ def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.uint64(3) + b) >> np.uint64(64 - _BITS)
 
 
-def make_block(ids: list[int | None], texts: list[str], window: int) -> Block:
+def make_block(ids: list, texts: list[str], window: int) -> Block:
     """Every window of the items, by its suffix: the words after it are kept for extending matches."""
-    starts, lengths, owners, named, all_words, ends, base = [], [], [], [], [], [], 0
+    starts, lengths, owners, all_words, ends, base = [], [], [], [], [], 0
     for piece in tb.pieces(pa.array(texts, pa.large_string())):
         h, row = _word_hashes(piece)
         at = tb.bounds(row, piece.last - piece.first)
@@ -78,13 +81,10 @@ def make_block(ids: list[int | None], texts: list[str], window: int) -> Block:
                 starts.append(base + at[k] + np.arange(m))
                 lengths.append(np.full(m, min(n, window)))
                 ends.append(np.full(m, base + at[k + 1]))
-                i = ids[piece.first + k]
-                owners.append(np.full(m, i or 0, np.int64))
-                named.append(np.full(m, i is not None))
+                owners.append(np.full(m, piece.first + k, np.int64))
         base += len(h)
     none = [np.zeros(0, np.int64)]
     start, length, owner, end = (np.concatenate(x or none) for x in (starts, lengths, owners, ends))
-    has_id = np.concatenate(named or [np.zeros(0, bool)])
     words = np.concatenate(all_words) if all_words else np.zeros(0, np.uint64)
     columns = np.arange(window)
     windows = np.where(columns < length[:, None], words[np.minimum(start[:, None] + columns, max(len(words) - 1, 0))], np.uint64(0)) if len(start) else np.zeros((0, window), np.uint64)
@@ -100,7 +100,7 @@ def make_block(ids: list[int | None], texts: list[str], window: int) -> Block:
         pair[_pair_key(windows[:, 0], windows[:, 1]).astype(np.int64)] = True
     rest_len = (end - start - length)[order]
     rest = words[tb.ranges((start + length)[order], rest_len)]
-    return Block(windows, lengths, owner_at, owner[order], has_id[order], rest, np.concatenate([[0], np.cumsum(rest_len)]), first, pair)
+    return Block(windows, lengths, owner_at, owner[order], list(ids), rest, np.concatenate([[0], np.cumsum(rest_len)]), first, pair)
 
 
 class SuffixArray:
@@ -169,21 +169,38 @@ def _search_shard(words: np.ndarray, row: np.ndarray, n_rows: int, block: Block)
     return at, length, which, longest
 
 
-FIELDS = [
-    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType())),
-    T.StructField("longest_words", T.LongType()), T.StructField("longest_at", T.LongType()), T.StructField("contaminated", T.BooleanType()),
-]
+def _fields(item: T.DataType) -> list[T.StructField]:
+    return [
+        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(item)),
+        T.StructField("longest_words", T.LongType()), T.StructField("longest_at", T.LongType()), T.StructField("contaminated", T.BooleanType()),
+    ]
 
 
-def _scan(column: pa.Array, blocks: list, shard_bytes: int) -> tuple[list, ...]:
-    n_words, n_hit, items, longest, where = [], [], [], [], []
+class Found(NamedTuple):
+    """What a row's passes have found: words, hit runs as packed (start, past), items, longest match and its place (-1: none)."""
+
+    n_words: int
+    hits: bytes
+    items: set
+    longest: int
+    at: int
+
+
+def _scan(column: pa.Array, blocks: list, shard_bytes: int, before: list[Found] | None) -> list[Found]:
+    out: list[Found] = []
     for piece in tb.pieces(column, shard_bytes):
         n = piece.last - piece.first
         h, row = _word_hashes(piece)
         at_row = tb.bounds(row, n)
         marks = np.zeros(len(h) + 1, np.int64)
-        found: list[set] = [set() for _ in range(n)]
-        best, best_at = np.zeros(n, np.int64), np.full(n, -1)
+        earlier = before[piece.first : piece.last] if before else [Found(0, b"", set(), 0, -1)] * n
+        found: list[set] = [set(f.items) for f in earlier]
+        best, best_at = np.array([f.longest for f in earlier], np.int64), np.array([f.at for f in earlier], np.int64)
+        for r, f in enumerate(earlier):
+            if f.hits:
+                runs = np.frombuffer(f.hits, np.int32).reshape(-1, 2)
+                np.add.at(marks, at_row[r] + runs[:, 0], 1)
+                np.add.at(marks, at_row[r] + runs[:, 1], -1)
         for b in blocks:
             block = b.value
             at, length, which, full = _search_shard(h, row, n, block)
@@ -193,56 +210,87 @@ def _scan(column: pa.Array, blocks: list, shard_bytes: int) -> tuple[list, ...]:
                 order = np.lexsort((at, -full))
                 rows, firsts = np.unique(row[at[order]], return_index=True)
                 o = order[firsts]
-                better = full[o] > best[rows]
-                best[rows[better]], best_at[rows[better]] = full[o][better], (at[o] - at_row[rows])[better]
+                place = (at[o] - at_row[rows]).astype(np.int64)
+                better = (full[o] > best[rows]) | ((full[o] == best[rows]) & (place < best_at[rows]))
+                best[rows[better]], best_at[rows[better]] = full[o][better], place[better]
                 pairs = np.unique(np.column_stack([row[at], which]), axis=0)
                 for r, w in pairs.tolist():
-                    own = slice(block.owner_at[w], block.owner_at[w + 1])
-                    found[r].update(i if ok else None for i, ok in zip(block.owners[own].tolist(), block.named[own].tolist(), strict=True))
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
-        n_words += np.diff(at_row).tolist()
-        n_hit += (hit[at_row[1:]] - hit[at_row[:-1]]).tolist()
-        items += [sorted(x - {None}) + [None] * (None in x) for x in found]
-        longest += best.tolist()
-        where += [None if x < 0 else x for x in best_at.tolist()]
-    return n_words, n_hit, items, longest, where
-
-
-def benchmark_blocks(benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, item: str = "item_id", text: str = "text", unnamed: bool = False) -> list:
-    """Broadcasts of the test items, at most ``block_words`` words each (or one longer item), read through the driver one at a time."""
-    context, out, ids, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
-    rows = benchmark.selectExpr(f"cast(`{item}` AS bigint)", f"`{text}`").where(f"`{text}` IS NOT NULL" + ("" if unnamed else f" AND `{item}` IS NOT NULL"))
+                    found[r].update(block.ids[i] for i in block.owners[block.owner_at[w] : block.owner_at[w + 1]].tolist())
+        inside = np.cumsum(marks[:-1]) > 0
+        for r in range(n):
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], inside[at_row[r] : at_row[r + 1]], [False]]).astype(np.int8)))
+            out.append(Found(int(at_row[r + 1] - at_row[r]), edge.astype(np.int32).tobytes(), found[r], int(best[r]), int(best_at[r])))
+    return out
+
+
+def benchmark_blocks(benchmark: DataFrame, item_type: T.DataType, window: int = 10, block_words: int = BLOCK_WORDS, item: str = "item_id", text: str = "text", unnamed: bool = False) -> Iterator:
+    """Blocks of the test items, at most ``block_words`` words each (or one longer item), read through the driver one at a time."""
+    ids, texts, size = [], [], 0
+    rows = benchmark.select(F.col(f"`{item}`").cast(item_type), F.col(f"`{text}`").cast("string")).where(f"`{text}` IS NOT NULL" + ("" if unnamed else f" AND `{item}` IS NOT NULL"))
     for i, t in rows.toLocalIterator():
         if ids and size + len(t) // 2 + 1 > block_words:
-            out.append(context.broadcast(make_block(ids, texts, window)))
+            yield make_block(ids, texts, window)
             ids, texts, size = [], [], 0
         ids.append(i)
         texts.append(t)
         size += len(t) // 2 + 1
     if ids:
-        out.append(context.broadcast(make_block(ids, texts, window)))
-    return out
+        yield make_block(ids, texts, window)
+
+
+def _passes(blocks: Iterator, most: int) -> Iterator[tuple[list, bool]]:
+    """Groups of at most ``most`` blocks, and whether each is the last; one empty group if there are no blocks."""
+    group: list = []
+    for block in blocks:
+        if len(group) == most:
+            yield group, False
+            group = []
+        group.append(block)
+    yield group, True
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, text: str = "text", shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, text: str = "text", shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS, unnamed: bool = False) -> DataFrame:
     """The columns ``keep`` of each document (all, if None), and its words, hit words, items with a window in it, longest verbatim match and where that begins (in words). ``unnamed``: items without an id count too."""
     if window < 1:
         raise ValueError("window must be at least 1")
-    names = {f.name.lower() for f in FIELDS}
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    bound_batches(docs.sparkSession)
-    blocks = benchmark_blocks(benchmark, window, block_words, text=text, unnamed=unnamed)
-    scanned = unused(docs, "scanned")
+    spark = docs.sparkSession
+    item_type = T.LongType() if isinstance(benchmark.schema["item_id"].dataType, T.IntegralType) else T.StringType()
+    fields = _fields(item_type)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in fields}]
+    bound_batches(spark)
+    scanned, state = unused(docs, "scanned"), ("hits", "items", "longest", "at")
     source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias(scanned))
-    schema = T.StructType(source.drop(scanned).schema.fields + FIELDS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_hit, items, longest, where = _scan(batch.column(len(keep)), blocks, shard_bytes)
-            arrays = [*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(longest, pa.int64()), pa.array(where, pa.int64()), pa.array([x > 0 for x in n_hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in FIELDS)])
-
-    return source.mapInArrow(run, schema)
+    carried = T.StructType([*source.schema.fields, *(T.StructField(unused(docs, f"found_{n}"), t) for n, t in zip(state, (T.BinaryType(), T.ArrayType(item_type), T.LongType(), T.LongType()), strict=True))])
+    final = T.StructType(source.drop(scanned).schema.fields + fields)
+    arrow_item = pa.int64() if item_type == T.LongType() else pa.string()
+    ordered = lambda items: sorted(items - {None}) + [None] * (None in items)
+
+    def pass_over(rows: DataFrame, group: list, first: bool, last: bool) -> DataFrame:
+        blocks = [spark.sparkContext.broadcast(b) for b in group]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before = None
+                if not first:
+                    before = [Found(0, h, set(i), n, a) for h, i, n, a in zip(*(batch.column(len(keep) + 1 + k).to_pylist() for k in range(4)), strict=True)]
+                found = _scan(batch.column(len(keep)), blocks, shard_bytes, before)
+                items = pa.array([ordered(f.items) for f in found], pa.list_(arrow_item))
+                if last:
+                    n_hit = [int((np.frombuffer(f.hits, np.int32).reshape(-1, 2) @ np.array([-1, 1])).sum()) for f in found]
+                    arrays = [pa.array([f.n_words for f in found], pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array([f.longest for f in found], pa.int64()), pa.array([None if f.at < 0 else f.at for f in found], pa.int64()), pa.array([bool(f.hits) for f in found], pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=final.names)
+                else:
+                    arrays = [pa.array([f.hits for f in found], pa.binary()), items, pa.array([f.longest for f in found], pa.int64()), pa.array([f.at for f in found], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], *arrays], names=carried.names)
+
+        return rows.mapInArrow(run, final if last else carried)
+
+    first = True
+    for group, last in _passes(benchmark_blocks(benchmark, item_type, window, block_words, text=text, unnamed=unnamed), most_blocks):
+        source = pass_over(source, group, first, last)
+        if not last:
+            source, first = saved(source, "contamination"), False
+    return source
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, unnamed: bool = False) -> DataFrame:

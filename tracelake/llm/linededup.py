@@ -4,7 +4,9 @@
    keys it met at least twice itself. Only these sparse bits, 8 bytes a distinct key, meet in the tasks
    that own a block of the filters: ``twice |= twice' | (once & once')``, ``once |= once'``. A key in two
    tasks has all its bits in the twice-seen filter, so no repeat is missed.
-2. The twice-seen filter, folded (OR of blocks) to at most ``filter_bits`` whatever the corpus, goes to
+2. The bits set in the twice-seen filter are counted, and its blocks folded (ORed) to the size at which a
+   ``FILL`` of them is set, so that about ``FILL ** 2`` of the unique lines pass as suspects, however large the corpus;
+   only beyond ``filter_bits`` (256 MB, some hundred million repeated lines) does that share grow. It goes to
    all tasks. A line whose key is not in it is unique. Of suspected repeats, a 128-bit digest and the
    document's id are shuffled: exact counts of documents and the largest document decide.
 3. The confirmed keys are applied to the texts: from a broadcast if they are at most
@@ -15,7 +17,7 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends, A-Z lowered
 largest doc_id holding them.
 
 Edge cases: null and empty texts are one empty line and stay as they are; rows with a null doc_id
-are neither counted nor changed; rows that repeat a doc_id count as one document and share its fate;
+(an integer, or text that casts to one) are neither counted nor changed; rows that repeat a doc_id count as one document and share its fate;
 a line repeated in one document counts once and stays or goes as a whole; an empty table gives an
 empty result; other columns pass through.
 """
@@ -37,7 +39,8 @@ from . import textbytes as tb
 from .sparkio import bound_batches, saved, slices
 
 BLOCK_BITS = 1 << 20
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 31
+FILL = 0.1
 FLUSH_KEYS = 1 << 19
 BROADCAST_KEYS = 500_000
 
@@ -69,8 +72,8 @@ def _sparse(h: np.ndarray, n_blocks: int) -> dict[int, bytes]:
     return {k: np.concatenate([a[at[k] : at[k + 1]], b[at[k] : at[k + 1]]]).tobytes() for k in np.unique(block).tolist()}
 
 
-def twice_filter(texts: DataFrame, min_chars: int, n_blocks: int, n_out: int) -> np.ndarray:
-    """The bytes of the twice-seen filter of ``n_blocks`` over the column ``text``, folded to ``n_out``."""
+def twice_filter(texts: DataFrame, min_chars: int, n_blocks: int, filter_bits: int) -> tuple[np.ndarray, int]:
+    """The bytes of the twice-seen filter of ``n_blocks`` over the column ``text``, folded, and the number of blocks left."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -104,24 +107,28 @@ def twice_filter(texts: DataFrame, min_chars: int, n_blocks: int, n_out: int) ->
                     seen[again] = True
                     seen[own] = True
         for k, seen in twice.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k % n_out], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["block", "bits"])
+            at = np.flatnonzero(seen).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([at.tobytes()], pa.binary())], names=["block", "n_set", "bits"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for batch in batches:
             for k, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bits = np.frombuffer(b, np.uint8)
-                seen[k] = seen[k] | bits if k in seen else bits
+                if k not in seen:
+                    seen[k] = np.zeros(BLOCK_BITS, bool)
+                seen[k][np.frombuffer(b, np.uint32)] = True
         for k, bits in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
 
-    out = texts.select("text").mapInArrow(partial, "block int, once binary, twice binary").repartition(slices(n_blocks, 32), "block").mapInArrow(merge, "block int, bits binary")
-    if n_out < n_blocks:
-        out = out.repartition(slices(n_out, 32), "block").mapInArrow(fold, "block int, bits binary")
+    sparse = texts.select("text").mapInArrow(partial, "block int, once binary, twice binary").repartition(slices(n_blocks, 32), "block").mapInArrow(merge, "block int, n_set bigint, bits binary")
+    sparse = saved(sparse, "twice-seen")
+    n_set = sparse.agg(F.sum("n_set")).first()[0] or 0
+    n_out = min(n_blocks, slices(int(n_set / FILL), BLOCK_BITS), max(1, filter_bits // BLOCK_BITS))
+    out = sparse.select((F.col("block") % n_out).alias("block"), "bits").repartition(slices(n_out, 32), "block").mapInArrow(fold, "block int, bits binary")
     bits = np.zeros((n_out, BLOCK_BITS // 8), np.uint8)
     for k, b in out.toLocalIterator():
-        bits[k] |= np.frombuffer(b, np.uint8)
-    return bits.ravel()
+        bits[k] = np.frombuffer(b, np.uint8)
+    return bits.ravel(), n_out
 
 
 def _suspected(h: np.ndarray, bits: np.ndarray, n_blocks: int, n_out: int) -> np.ndarray:
@@ -193,8 +200,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     two = docs.select(F.col(f"c{at_id}").cast("bigint").alias("doc_id"), F.col(f"c{at_text}").alias("text"))
     octets = two.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = slices(octets * 8 // max(min_chars, 8), BLOCK_BITS)
-    n_out = min(n_blocks, max(1, filter_bits // BLOCK_BITS))
-    bits = spark.sparkContext.broadcast(twice_filter(two.where("doc_id IS NOT NULL"), min_chars, n_blocks, n_out))
+    found, n_out = twice_filter(two.where("doc_id IS NOT NULL"), min_chars, n_blocks, filter_bits)
+    bits = spark.sparkContext.broadcast(found)
     confirmed = saved(repeated_keys(two, bits, n_blocks, n_out, min_chars, min_docs), "repeated-lines")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 

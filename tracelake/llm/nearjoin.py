@@ -20,8 +20,9 @@ set of ``n`` at most ``t = n - ceil(percent * n / 100)`` shingles can be missing
    every link lies within one. Only a signature whose own holders are too many is cut into blocks, each two
    of which meet in one task. The true links found so are joined by components again.
 
-Postings move packed in binary columns, sliced by hash, a task a slice, so that no task holds more than its
-slice. Classes with more than a ten-thousandth of all rows, of which there can't be ten thousand, meet their
+Postings move packed in binary columns, sliced by hash, some slices a task, so that tasks are alike and no
+group is larger than its slice. Shingles that hold more than a ten-thousandth of all postings, which are fewer than
+ten thousand, are counted with the others, but their postings need no look-up by slice: their counts are broadcast. Classes with more than a ten-thousandth of all rows, of which there can't be ten thousand, meet their
 rows by broadcast, so no class is one task's.
 
 Edge cases: null or empty texts and texts without words have the empty set and link with nothing; with
@@ -45,12 +46,14 @@ from .components import components
 from .sparkio import bound_batches, fitting, saved, slices, unused
 
 FLUSH = 1 << 18
-SLICE = 1 << 19
+SLICE = 1 << 16
+SLICES_A_TASK = 4
 GROUP_SHINGLES = 1 << 21
 BROADCAST_ROWS = 2_000_000
 FREQUENT = 32
 SMALL_SET = 20
 HOT_CLASSES = 10_000
+HOT_SHINGLES = 10_000
 
 
 def missing(n, percent: int):
@@ -116,6 +119,11 @@ def _sliced(key: np.ndarray, n_slices: int, *columns: np.ndarray) -> Iterator[tu
         yield k, *(c[at[k] : at[k + 1]].tobytes() for c in columns)
 
 
+def tasks(n_slices: int) -> int:
+    """Several slices a task even out what hashing deals to each."""
+    return slices(n_slices, SLICES_A_TASK)
+
+
 def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
@@ -134,7 +142,7 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shared_counts(docs: DataFrame, length: int, percent: int, postings: int, n_docs: int) -> DataFrame:
     """``doc_id`` and in how many hashes ``shared`` of its extended prefix it is not alone."""
-    n_slices, n_buckets = slices(postings, SLICE), slices(n_docs, SLICE // 4)
+    n_slices, n_buckets = slices(postings, SLICE), slices(n_docs, SLICE // 2)
     names = ["slice", "hashes", "docs", "credited", "credit"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +195,8 @@ def shared_counts(docs: DataFrame, length: int, percent: int, postings: int, n_d
         doc, inverse = np.unique(_joined(table["docs"], np.int64), return_inverse=True)
         return pa.table({"doc_id": doc, "shared": np.bincount(inverse, weights=_joined(table["credit"], np.int64), minlength=len(doc)).astype(np.int64)})
 
-    found = docs.mapInArrow(emit, "slice int, hashes binary, docs binary, credited binary, credit binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, credit binary")
-    return found.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(add, "doc_id bigint, shared bigint")
+    found = docs.mapInArrow(emit, "slice int, hashes binary, docs binary, credited binary, credit binary").repartition(tasks(n_slices), "slice").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, credit binary")
+    return found.repartition(tasks(n_buckets), "bucket").groupBy("bucket").applyInArrow(add, "doc_id bigint, shared bigint")
 
 
 def whole_sets(docs: DataFrame, length: int) -> DataFrame:
@@ -210,6 +218,21 @@ def _flat_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64), np.repeat(batch.column("doc_id").to_numpy(), sizes)
 
 
+def hot_shingles(known: DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles with more than ``share`` postings of ``HOT_SHINGLES * share``: fewer than ``HOT_SHINGLES``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = (np.concatenate([np.frombuffer(x, t) for x in batch.column(k).to_pylist()] or [np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.int64)))
+            hot = n > share
+            yield pa.RecordBatch.from_arrays([pa.array(h[hot].view(np.int64)), pa.array(n[hot])], names=["hash", "count"])
+
+    found = known.select("hashes", "other").mapInArrow(run, "hash bigint, count bigint").toArrow()
+    h, n = found["hash"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def with_frequencies(sets: DataFrame, shingles: int) -> DataFrame:
     """``bucket`` (of documents) with packed ``docs``, ``hashes`` and ``counts``: of each document those shingles that others hold too."""
     n_slices = slices(shingles, SLICE)
@@ -223,23 +246,31 @@ def with_frequencies(sets: DataFrame, shingles: int) -> DataFrame:
         h, inverse = np.unique(_joined(table["hashes"], np.uint64), return_inverse=True)
         n = np.bincount(inverse, weights=_joined(table["counts"], np.int64), minlength=len(h)).astype(np.int64)
         several = n > 1
-        return pa.table({"slice": pa.array(table["slice"].to_pylist()[:1], pa.int32()), "kind": pa.array([0], pa.int32()), "hashes": pa.array([h[several].tobytes()], pa.binary()), "other": pa.array([n[several].tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array(table["slice"].to_pylist()[:1], pa.int32()), "kind": pa.array([0], pa.int32()), "hashes": pa.array([h[several].tobytes()], pa.binary()), "other": pa.array([n[several].tobytes()], pa.binary()), "counts": pa.array([b""], pa.binary())})
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, d = _flat_sets(batch)
-            rows = [(k, a, b) for k, a, b in _sliced(h, n_slices, h, d)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "kind", "hashes", "other"])
+            own, times = hot.value
+            at = np.minimum(np.searchsorted(own, h), max(len(own) - 1, 0))
+            known_here = own[at] == h if len(own) else np.zeros(len(h), bool)
+            rows = [(k, 1, a, b, b"") for k, a, b in _sliced(h[~known_here], n_slices, h[~known_here], d[~known_here])]
+            rows += [(k, 2, a, b, c) for k, a, b, c in _sliced(d[known_here].view(np.uint64), n_slices, h[known_here], d[known_here], times[at[known_here]])]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["slice", "kind", "hashes", "other", "counts"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             out = []
-            for _, kind, hashes, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, kind, hashes, other, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not kind:  # the slice's counts come before its postings
                     known, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(other, np.int64)
                     continue
                 h, d = np.frombuffer(hashes, np.uint64), np.frombuffer(other, np.int64)
+                if kind == 2:
+                    out += list(_sliced(d.view(np.uint64), n_slices, d, h, np.frombuffer(own, np.int64)))
+                    continue
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 ok = known[at] == h if len(known) else np.zeros(len(h), bool)
                 h, d, n = h[ok], d[ok], counts[at[ok]]
@@ -247,9 +278,12 @@ def with_frequencies(sets: DataFrame, shingles: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "docs", "hashes", "counts"])
 
-    schema = "slice int, kind int, hashes binary, other binary"
-    known = sets.mapInArrow(count, "slice int, hashes binary, counts binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(add, schema)
-    return known.union(sets.mapInArrow(postings, schema)).repartition(n_slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, "bucket int, docs binary, hashes binary, counts binary")
+    schema = "slice int, kind int, hashes binary, other binary, counts binary"
+    known = sets.mapInArrow(count, "slice int, hashes binary, counts binary").repartition(tasks(n_slices), "slice").groupBy("slice").applyInArrow(add, schema)
+    known = saved(known, "near-counts")
+    # those with more than this share of all postings are fewer than HOT_SHINGLES
+    hot = sets.sparkSession.sparkContext.broadcast(hot_shingles(known, shingles // HOT_SHINGLES + 1))
+    return known.union(sets.mapInArrow(postings, schema)).repartition(tasks(n_slices), "slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, "bucket int, docs binary, hashes binary, counts binary")
 
 
 def band_limits(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -312,8 +346,8 @@ def _by_bucket(parts: DataFrame, sets: DataFrame, shingles: int):
             d, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield _packed(list(_sliced(d.view(np.uint64), n_buckets, d, n)), ["bucket", "docs", "n"])
 
-    sized = sets.select("doc_id", "n").mapInArrow(sizes, "bucket int, docs binary, n binary").repartition(n_buckets, "bucket").groupBy("bucket")
-    return parts.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(sized)
+    sized = sets.select("doc_id", "n").mapInArrow(sizes, "bucket int, docs binary, n binary").repartition(tasks(n_buckets), "bucket").groupBy("bucket")
+    return parts.repartition(tasks(n_buckets), "bucket").groupBy("bucket").cogroup(sized)
 
 
 def _bucket_signatures(table: pa.Table, known: pa.Table, percent: int, frequent: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +379,7 @@ def signature_holders(parts: DataFrame, sets: DataFrame, shingles: int, percent:
 
 def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: int, frequent: int) -> DataFrame:
     """Edges (a, b) of the stars of all signatures. ``parts`` is what ``with_frequencies`` gave for the sets."""
-    limits, n_slices = band_limits(percent), slices(shingles, 4 * SLICE)
+    limits, n_slices = band_limits(percent), slices(shingles, SLICE)
     names = ["slice", "keys", "docs", "ea", "eb"]
 
     def emit(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -362,7 +396,7 @@ def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: i
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
     starred = _by_bucket(parts, sets, shingles).applyInArrow(emit, "slice int, keys binary, docs binary, ea binary, eb binary")
-    return starred.repartition(n_slices, "slice").groupBy("slice").applyInArrow(merge, "a bigint, b bigint")
+    return starred.repartition(tasks(n_slices), "slice").groupBy("slice").applyInArrow(merge, "a bigint, b bigint")
 
 
 def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
