@@ -60,11 +60,16 @@ def firefox_unix(micros: Column) -> Column:
     return F.when(micros > 0, F.floor(micros / 1000000).cast("bigint"))
 
 
-def preferred_time(attributes: Column, stem: str) -> Column:
-    """The attribute ``stem_filetime`` as ISO text, else ``stem_unix`` as ISO text."""
+def preferred_ticks(attributes: Column, stem: str) -> Column:
+    """Ticks of the attribute ``stem_filetime``, if it is set, else of ``stem_unix``."""
     ticks = F.try_element_at(attributes, F.lit(f"{stem}_filetime")).try_cast("bigint")
     unix = F.try_element_at(attributes, F.lit(f"{stem}_unix")).try_cast("bigint")
-    return F.coalesce(filetime_iso(ticks), filetime_iso(unix * 10000000 + EPOCH_TICKS))
+    return F.coalesce(F.nullif(ticks, F.lit(0)), unix * 10000000 + EPOCH_TICKS)
+
+
+def preferred_time(attributes: Column, stem: str) -> Column:
+    """The attribute ``stem_filetime`` as ISO text, else ``stem_unix`` as ISO text."""
+    return filetime_iso(preferred_ticks(attributes, stem))
 
 
 def filetime_seconds(ticks: Column) -> Column:

@@ -84,6 +84,8 @@ def file_key(path: Column) -> Column:
 
 
 def _mapped() -> dict[str, dict[str, Column]]:
+    from tracelake.operators import mappers  # which builds on this module
+
     n = attribute("event_id")
     host = _participant("host", "host", F.concat(F.lit("host:"), F.lower("host")), F.col("host"))
     place = F.concat(F.coalesce(attribute("volume_offset"), F.lit("?")), F.lit(":"), F.coalesce(attribute("mft_record"), F.lit("?")))
@@ -99,7 +101,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
         "eventlog": {
             "kind": F.coalesce(_by_number(LOGON_KINDS, n), _by_number(CUSTOM_KINDS, n), F.lit("unbekannt")),
             "key": F.concat(F.lit("evtx:"), place, F.lit(":"), F.coalesce(attribute("event_record_id"), F.lit("0")), _origin()),
-            "time": timefn.filetime_iso(number("filetime")),
+            "ticks": number("filetime"),
             "derivation": F.when(n.isin(*DERIVED_NUMBERS), "derived").otherwise("parsed"),
             "located": attribute("mft_record").isNotNull() & number("datei_offset").isNotNull(),
             "participants": F.array(host, _person(F.when(F.coalesce(attribute("gruppe_sid"), attribute("gruppe")).isNotNull(), "subject").otherwise("user"), "benutzer", "benutzer_sid", "benutzer_domaene"), _person("actor", "ausfuehrender", "ausfuehrender_sid", "ausfuehrender_domaene"), _participant("object", "user_group", textfn.user_canonical(attribute("gruppe_sid"), F.lit(None).cast("string"), F.coalesce(attribute("gruppe"), attribute("gruppe_sid"))), F.coalesce(attribute("gruppe"), attribute("gruppe_sid"))), _participant("source", "ip_address", F.when(textfn.is_ipv4(ip), F.concat(F.lit("ip:"), ip)), ip)),
@@ -107,7 +109,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
         "prefetch": {
             "kind": F.lit("process_start"),
             "key": F.concat(F.lit("prefetch:"), F.coalesce(attribute("volume_offset"), F.lit("?")), F.lit(":"), F.coalesce(attribute("mft_record"), F.lower(F.coalesce(attribute("prefetch_datei"), F.col("source")))), _origin()),
-            "time": timefn.preferred_time(F.col("attributes"), "letzte_ausfuehrung"),
+            "ticks": timefn.preferred_ticks(F.col("attributes"), "letzte_ausfuehrung"),
             "derivation": F.lit("parsed"),
             "located": attribute("mft_record").isNotNull(),
             "participants": F.array(_participant("executable", "application", F.concat(F.lit("programm:"), F.lower(program)), program), host),
@@ -115,7 +117,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
         "programmausfuehrung": {
             "kind": F.when(source == "amcache", "amcache_recorded").when(source == "shimcache", "file_modified").when(is_bam, "process_start"),
             "key": F.when(source == "amcache", F.concat(registry, _origin())).when(source == "shimcache", F.concat(registry, F.lit(":"), F.coalesce(attribute("eintrag"), F.lit("?")), _origin())).otherwise(F.concat(registry, F.lit(":"), F.col("name"), _origin())),
-            "time": F.when(source == "amcache", timefn.preferred_time(F.col("attributes"), "registriert")).when(source == "shimcache", timefn.preferred_time(F.col("attributes"), "letzte_aenderung")).otherwise(timefn.preferred_time(F.col("attributes"), "letzte_ausfuehrung")),
+            "ticks": F.when(source == "amcache", timefn.preferred_ticks(F.col("attributes"), "registriert")).when(source == "shimcache", timefn.preferred_ticks(F.col("attributes"), "letzte_aenderung")).otherwise(timefn.preferred_ticks(F.col("attributes"), "letzte_ausfuehrung")),
             "derivation": F.when(source == "shimcache", "derived").otherwise("parsed"),
             "located": number("hive_offset").isNotNull(),
             "participants": F.array(_participant(F.when(is_bam, "executable").otherwise("file"), "file", file_key(path), path), F.when(is_bam, _person("user", "benutzer", "sid", "benutzer_domaene")), host),
@@ -123,7 +125,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
         "browser": {
             "kind": F.lit("web_visit"),
             "key": F.concat(F.lit("verlauf:"), F.col("source"), F.lit(":"), F.coalesce(attribute("eintrag_id"), url), _origin()),
-            "time": timefn.preferred_time(F.col("attributes"), "besucht"),
+            "ticks": timefn.preferred_ticks(F.col("attributes"), "besucht"),
             "derivation": F.lit("parsed"),
             "located": attribute("mft_record").isNotNull(),
             "participants": F.array(_participant("target", "url", textfn.url_canonical(url), url), _participant("user", "windows_user", textfn.user_canonical(F.lit(None).cast("string"), F.lit(None).cast("string"), textfn.user_from_path(F.col("source"))), textfn.user_from_path(F.col("source"))), host),
@@ -131,7 +133,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
         "usb": {
             "kind": F.lit("device_connected"),
             "key": F.concat(registry, _origin()),
-            "time": timefn.preferred_time(F.col("attributes"), "letzte_verbindung"),
+            "ticks": timefn.preferred_ticks(F.col("attributes"), "letzte_verbindung"),
             "derivation": F.lit("parsed"),
             "located": number("hive_offset").isNotNull(),
             "participants": F.array(_participant("device", "usb_device", F.concat(F.lit("usb:"), serial), F.col("name")), host),
@@ -139,26 +141,32 @@ def _mapped() -> dict[str, dict[str, Column]]:
         "srum": {
             "kind": F.lit("application_usage"),
             "key": F.concat(F.lit("srum:"), F.col("source"), F.lit(":"), F.coalesce(attribute("eintrag_id"), F.lit("?")), _origin()),
-            "time": timefn.preferred_time(F.col("attributes"), "zeit"),
+            "ticks": timefn.preferred_ticks(F.col("attributes"), "zeit"),
             "derivation": F.lit("parsed"),
             "located": attribute("mft_record").isNotNull(),
             "participants": F.array(_participant("executable", "application", F.concat(F.lit("programm:"), F.lower(F.col("name"))), F.col("name")), _person("user", "benutzer", "sid", "benutzer_domaene"), host),
         },
+        "useraktivitaet": mappers.activity(host),
+        "persistence": mappers.persistence(host),
+        "lsa": mappers.credentials(host),
+        "dpapi": mappers.credentials(host),
     }
 
 
 def map_findings(findings: DataFrame, case_hex: str) -> DataFrame:
-    """Findings (ordinal, domain, name, source, attributes, host) with kind, key, time, derivation, participants and event id; ``kind`` is null without a mapper."""
+    """Findings (ordinal, domain, name, source, attributes, host) with kind, key, time, derivation, participants and event id; ``mapped`` tells whether its domain has a mapper, ``kind`` is null without an event, and ``told`` whether there is one with a time (a short test, which filters can push down)."""
     mappers = _mapped()
     out = findings
-    for field in ("kind", "key", "time", "derivation", "located", "participants"):
+    for field in ("kind", "key", "ticks", "derivation", "located", "participants"):
         value = F.lit(None)
         for domain, mapper in mappers.items():
             value = F.when(F.col("domain") == domain, mapper[field]).otherwise(value)
         out = out.withColumn(f"m_{field}", F.array_compact(value) if field == "participants" else value)
+    # one conversion for all mappers, over a column, so that its expression is not repeated for each
+    out = out.withColumns({"mapped": F.col("domain").isin(*mappers), "told": F.col("m_kind").isNotNull() & F.coalesce(F.col("m_ticks") != 0, F.lit(False)), "m_time": timefn.filetime_iso(F.col("m_ticks"))}).drop("m_ticks")
     case = F.unhex(F.lit(case_hex))
     event = ids.derived_uuid("event", case, ids.text_part(F.col("m_kind")), ids.text_part(F.col("m_key")))
-    return out.withColumn("event_id", F.when(F.col("m_kind").isNotNull() & F.col("m_time").isNotNull(), event)).withColumnsRenamed({"m_kind": "kind", "m_key": "key", "m_time": "time", "m_derivation": "derivation", "m_located": "located", "m_participants": "participants"})
+    return out.withColumn("event_id", F.when(F.col("told"), event)).withColumnsRenamed({"m_kind": "kind", "m_key": "key", "m_time": "time", "m_derivation": "derivation", "m_located": "located", "m_participants": "participants"})
 
 
 def entity_id(case_hex: str, kind: Column, key: Column) -> Column:
@@ -167,13 +175,13 @@ def entity_id(case_hex: str, kind: Column, key: Column) -> Column:
 
 def events(mapped: DataFrame) -> DataFrame:
     """Each event once, as its first finding tells it."""
-    known = mapped.where("event_id IS NOT NULL").select("event_id", "kind", "time", "derivation", "ordinal")
+    known = mapped.where("told").select("event_id", "kind", "time", "derivation", "ordinal")
     return known.groupBy("event_id").agg(*(F.min_by(c, "ordinal").alias(c) for c in ("kind", "time", "derivation")))
 
 
 def participants(mapped: DataFrame, case_hex: str) -> DataFrame:
     """Distinct (event_id, entity_id, role)."""
-    rows = mapped.where("event_id IS NOT NULL").select("event_id", F.explode("participants").alias("p"))
+    rows = mapped.where("told").select("event_id", F.explode("participants").alias("p"))
     return rows.select("event_id", entity_id(case_hex, F.col("p.entity_kind"), F.col("p.canonical_key")).alias("entity_id"), F.col("p.role").alias("role")).distinct()
 
 
@@ -187,11 +195,11 @@ def entities(mapped: DataFrame, case_hex: str) -> DataFrame:
 
 def provenance(mapped: DataFrame) -> DataFrame:
     """The source of every event: its first finding is primary, later ones support it."""
-    return model.provenance_roles(mapped.where("event_id IS NOT NULL"), ["event_id"], ["ordinal"]).select("event_id", "ordinal", "role")
+    return model.provenance_roles(mapped.where("told"), ["event_id"], ["ordinal"]).select("event_id", "ordinal", "role")
 
 
 def relationships(mapped: DataFrame, case_hex: str) -> DataFrame:
-    """Edges that findings state: a user's account on a host, membership in a group, a program's file hash."""
+    """Edges that findings state: a user's account on a host, membership in a group, a program's file hash, and those of ``mappers.stated_edges``."""
     p = lambda role: F.try_element_at(F.filter("participants", lambda x: x["role"] == role), F.lit(1))
     eid = lambda x: entity_id(case_hex, x["entity_kind"], x["canonical_key"])
     sha1 = textfn.hash_canonical(F.lit("sha1"), attribute("sha1"))
@@ -200,6 +208,10 @@ def relationships(mapped: DataFrame, case_hex: str) -> DataFrame:
         mapped.select("ordinal", F.lit("MEMBER_OF"), F.when(p("subject").isNotNull() & p("object").isNotNull(), eid(p("subject"))), eid(p("object"))),
         mapped.select("ordinal", F.lit("HAS_HASH"), F.when(p("file").isNotNull() & sha1.isNotNull(), eid(p("file"))), entity_id(case_hex, F.lit("hash"), sha1)),
     ]
+    from tracelake.operators import mappers
+
+    stated = mapped.select("ordinal", F.inline(mappers.stated_edges()))
+    edges.append(stated.select("ordinal", "kind", entity_id(case_hex, F.col("source_kind"), F.col("source_key")), entity_id(case_hex, F.col("target_kind"), F.col("target_key"))))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -208,5 +220,5 @@ def relationships(mapped: DataFrame, case_hex: str) -> DataFrame:
 
 def statistics(mapped: DataFrame) -> DataFrame:
     """Findings by domain: mapped, without a mapper, and with an incomplete locator."""
-    known = F.col("kind").isNotNull()
+    known = F.col("mapped")
     return mapped.groupBy("domain").agg(F.count_if(known).alias("mapped"), F.count_if(~known).alias("no_mapper"), F.count_if(known & ~F.coalesce("located", F.lit(False))).alias("incomplete_locator"))
