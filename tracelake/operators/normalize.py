@@ -201,12 +201,13 @@ def provenance(mapped: DataFrame) -> DataFrame:
 def relationships(mapped: DataFrame, case_hex: str) -> DataFrame:
     """Edges that findings state: a user's account on a host, membership in a group, a program's file hash, and those of ``mappers.stated_edges``."""
     p = lambda role: F.try_element_at(F.filter("participants", lambda x: x["role"] == role), F.lit(1))
-    eid = lambda x: entity_id(case_hex, x["entity_kind"], x["canonical_key"])
-    sha1 = textfn.hash_canonical(F.lit("sha1"), attribute("sha1"))
+    # a generator of one row: the participants' expressions are evaluated once, and not once for each use of an end
+    ends = mapped.select("ordinal", F.inline(F.array(F.struct(*(p(r).alias(r) for r in ("user", "host", "subject", "object", "file")), textfn.hash_canonical(F.lit("sha1"), attribute("sha1")).alias("sha1")))))
+    eid = lambda role: F.when(F.col(role).isNotNull(), entity_id(case_hex, F.col(f"{role}.entity_kind"), F.col(f"{role}.canonical_key")))
     edges = [
-        mapped.select("ordinal", F.lit("ACCOUNT_ON").alias("kind"), F.when(p("user").isNotNull() & p("host").isNotNull(), eid(p("user"))).alias("source"), eid(p("host")).alias("target")),
-        mapped.select("ordinal", F.lit("MEMBER_OF"), F.when(p("subject").isNotNull() & p("object").isNotNull(), eid(p("subject"))), eid(p("object"))),
-        mapped.select("ordinal", F.lit("HAS_HASH"), F.when(p("file").isNotNull() & sha1.isNotNull(), eid(p("file"))), entity_id(case_hex, F.lit("hash"), sha1)),
+        ends.select("ordinal", F.lit("ACCOUNT_ON").alias("kind"), eid("user").alias("source"), eid("host").alias("target")),
+        ends.select("ordinal", F.lit("MEMBER_OF"), eid("subject"), eid("object")),
+        ends.select("ordinal", F.lit("HAS_HASH"), eid("file"), F.when(F.col("sha1").isNotNull(), entity_id(case_hex, F.lit("hash"), F.col("sha1")))),
     ]
     from tracelake.operators import mappers
 
