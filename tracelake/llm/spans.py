@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .nearjoin import _joined, _packed, _sliced, tasks
+from .nearjoin import _joined, _packed, _sliced
 from .sparkio import bound_batches, saved, slices
 
 FLUSH = 1 << 18
-SLICE = 1 << 16
+SLICE = 1 << 19
 LONG_WORDS = 60
 CUT_ONE_IN = 4
 _END = np.zeros(256, bool)
@@ -159,8 +159,8 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int, long_words: int, s
 
     schema = "slice int, " + ", ".join(f"{n} binary" for n in NAMES[1:])
     # by the number of slices, whatever the session's number of shuffle partitions
-    lost = docs.mapInArrow(emit, schema).repartition(tasks(n_slices), "slice").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, texts binary, places binary, pasts binary")
-    return lost.repartition(tasks(n_slices), "bucket").groupBy("bucket").applyInArrow(by_document, "doc_id bigint, text_hash bigint, spans binary")
+    lost = docs.mapInArrow(emit, schema).repartition(n_slices, "slice").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, texts binary, places binary, pasts binary")
+    return lost.repartition(n_slices, "bucket").groupBy("bucket").applyInArrow(by_document, "doc_id bigint, text_hash bigint, spans binary")
 
 
 def remove_repeated_spans(docs: DataFrame, run: int = 2, min_words: int = 20, long_words: int = LONG_WORDS) -> DataFrame:
