@@ -49,7 +49,7 @@ SHORT = 64
 BLOCK_CHARS = 128
 BROADCAST_WORDS = 4_000_000
 TASK_WORDS = 50_000
-FLUSH_CHARS = 1 << 22
+FLUSH_CHARS = 1 << 20
 DECODED_ROWS = 128
 STEP_BITS = 22
 
