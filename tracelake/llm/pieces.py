@@ -293,7 +293,8 @@ def encoded_words(words: DataFrame, model: Model) -> DataFrame:
     # one lattice, two ways to keep the fold's state; the short words' is the quicker one
     found = lattice(short, table, model.longest, model.unk_score, words.count()).select("word", "times", fold_viterbi(F.col("edges"), model).alias("ids"))
     rest = long_lattice(long, table, model.longest, model.unk_score).select("word", "times", fold_long(F.col("word"), F.col("blocks"), model).alias("ids"))
-    return found.unionByName(rest)
+    # most corpora have no long words; then their branch, and its second copy of the piece table, is left out of the plan
+    return found.unionByName(rest) if long.take(1) else found
 
 
 class Dictionary(NamedTuple):
