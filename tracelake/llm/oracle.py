@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _STRIP = r"regexp_replace(regexp_replace({}, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -54,5 +55,31 @@ best AS (SELECT doc_id, max(longest) AS longest_words, arg_min(begins, (-longest
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_words, 0) AS longest_words, longest_at
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN best USING (doc_id)
+""",
+    "op12_source_divergence": f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_ASCII_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+found AS (SELECT d, lang, source, unnest(regexp_extract_all(t, '{_LETTERS}')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+counted AS (SELECT lang, source, term, count(*) AS n FROM found JOIN (SELECT lang, term FROM kept) USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, coalesce(any_value(k.v), 0) AS v, coalesce(any_value(k.total), 0) AS total FROM docs LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang) k USING (lang) GROUP BY lang),
+parts AS (SELECT lang, source, coalesce(any_value(c.total), 0) AS total FROM docs LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counted GROUP BY ALL) c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS p
+  FROM parts g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM parts a JOIN parts b ON a.lang = b.lang AND a.source <> b.source),
+pair_values AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+term_values AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value
+  FROM p JOIN (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (total + v) AS q FROM kept JOIN langs USING (lang)) USING (lang, term)
+  WHERE n > 0 AND p > q),
+every AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN pair_values USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', item, value FROM term_values),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }

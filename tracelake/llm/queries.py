@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, nearjoin, neighbours, pieces, quality, secrets, spans, warc
+from . import decontaminate, divergence, langid, linededup, nearjoin, neighbours, packing, pieces, quality, secrets, spans, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,5 +84,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("items_sha256"), "contaminated", "longest_words", "longest_at")
 
 
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), bpe_tokenizer(), capacity=2048, keep=["doc_id"])
+
+
+def bpe_tokenizer() -> str:
+    """The public byte-level BPE tokenizer's JSON; its file can be set by ``TRACELAKE_BPE``."""
+    import public_tokenizers
+
+    with open(os.environ.get("TRACELAKE_BPE") or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_read(spark, sf_dir, "embeddings"), components=16, keep=["vec_id"])
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op4_sentencepiece, op5_warc_derivatives, op6_sentence_spans, op7_secret_scan, op8_jaccard_join, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op2_quality, op3_line_dedup, op4_sentencepiece, op5_warc_derivatives, op6_sentence_spans, op7_secret_scan, op8_jaccard_join, op9_language_id, op10_decontamination, op11_best_two_fit, op12_source_divergence, op13_whitening)}
