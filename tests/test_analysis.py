@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.functions import bytesfn
+from tracelake.functions import bytesfn, netfn, textfn
 from tracelake.operators import artifacts, correlate, dimensions, govern, registry, search, tokens
 from tracelake.operators.search import Term
 from tracelake.sources import sinks
@@ -128,3 +128,66 @@ def test_empty_inputs(spark):
     files = spark.createDataFrame([(1, "Windows\\System32\\Tasks\\x", None), (2, None, None)], "file_id bigint, path string, text string")
     assert artifacts.task_findings(files).count() == artifacts.hidden_service_findings(files).count() == artifacts.startup_findings(files).count() == 0
     assert [r.limited for r in dimensions.capped(spark.range(3).withColumn("g", F.lit(1)), ["g"], ["id"], 2).collect()] == [True, True]
+
+
+def test_addresses_by_the_standard_library(spark):
+    """Canonical forms of random literals, and addresses at any place of contents in both encodings, with their limit."""
+    import ipaddress
+    import random
+
+    rnd = random.Random(3)
+    rows = ["::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "::1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", ":::", "12345::", "::1%eth0", "01.2.3.4", "256.1.1.1", "1:0:0:2:0:0:0:3", "1:0:0:2:0:0:3:4", "1::2::3", "", "x"]
+    for _ in range(800):
+        t = ":".join(rnd.choice(["0", "0", "0", "1", "ffff", "0a", "00b0", "FE80", ""]) for _ in range(rnd.randrange(1, 10)))
+        rows.append(t + rnd.choice(["", "", "", ":1.2.3.4", ":01.2.3.4"]))
+
+    def canonical(t):
+        try:
+            a = ipaddress.ip_address(t.partition("%")[0] if "%" not in t else "no")
+        except ValueError:
+            return None
+        return f"::ffff:{a.ipv4_mapped}" if a.version == 6 and a.ipv4_mapped else str(a)
+
+    frame = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert {(r.t, r.a) for r in frame.select("t", netfn.ip_canonical(F.col("t")).alias("a")).collect()} == {(t, canonical(t)) for t in rows}
+
+    words = ["192.0.2.1", "10.0.0.1:443", "10.0.0.1:99999", "fe80::1.", "host192.0.2.2", "1.2.3", "a.b", "::ffff:1.2.3.4", "x" * 140, "é", "\0", ":", "12:30", "2001:db8::5", "1" * 126 + "::"]
+    contents = [rnd.choice([" ", "\n", "é"]).join(rnd.choice(words) for _ in range(rnd.randrange(12))) for _ in range(300)]
+    raw = [(i, bytearray(rnd.choice([b"", b"\x01"]) + c.encode(rnd.choice(["utf-8", "utf-16-le"])) + rnd.choice([b"", b"\n"]))) for i, c in enumerate(contents)]
+    found = sorted((r.id, r.start, r.encoding, r.address, r.original, r.bytes) for r in search.address_hits(spark.createDataFrame(raw, "id bigint, content binary"), "id", "content").collect())
+    assert found == sorted(x for i, data in raw for x in plain_hits(i, bytes(data), canonical))
+    many = spark.createDataFrame([(1, " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(600))), (2, "10.0.0.1")], "id bigint, t string")
+    counted = {r.id: (r.n, r.limited) for r in search.address_hits(many, "id", "t").groupBy("id").agg(F.count("*").alias("n"), F.max("limited").alias("limited")).collect()}
+    assert counted == {1: (500, True), 2: (1, False)}
+    assert search.address_hits(many, "id", "t", most=3).where("id = 1").count() == 3
+    with pytest.raises(ValueError):
+        search.address_hits(many, "id", "t", most=501)
+
+
+def plain_hits(i, data, canonical):
+    """Tokens of the three readings of bytes, one byte after the other."""
+    good = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.:_%-")
+    for first, step in ((0, 1), (0, 2), (1, 2)):
+        units = [data[k] if step == 1 or data[k + 1] == 0 else 0 for k in range(first, len(data) - step + 1, step)]
+        dangling = (len(data) - first) % step
+        start = None
+        for k, u in enumerate([*units, *([] if dangling else [0])]):
+            if u in good:
+                start = k if start is None else start
+                continue
+            if start is not None:
+                token = bytes(units[start:k]).decode()
+                original = token.rstrip(".")
+                host, _, port = original.partition(":")
+                if port.isdigit() and len(port) <= 5 and int(port) <= 65535 and canonical(host) and ":" not in canonical(host):
+                    original = host
+                if len(token) <= 128 and ("." in original or ":" in original) and canonical(original):
+                    yield i, first + start * step, "ascii" if step == 1 else "utf16le", canonical(original), original, len(original) * step
+            start = None
+
+
+def test_hosts_with_ipv6(spark):
+    texts = ["http://[2001:DB8:0::1]:80/x", "2001:0db8::1", "[::1]", "http://[::1", "::ffff:1.2.3.4.", "example.org:80", "http://[1.2.3.4]/"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {r.t: r.h for r in frame.select("t", textfn.host_normalize(F.col("t")).alias("h")).collect()}
+    assert [found[t] for t in texts] == ["2001:db8::1", "2001:db8::1", None, None, "::ffff:1.2.3.4", "example.org", None]

@@ -185,8 +185,9 @@ def test_masking(spark):
     fields = F.create_map(F.lit("wert"), F.lit("x"), F.lit("klartext"), F.lit(None).cast("string"), F.lit("name"), F.lit("n"))
     r = one(spark, a=govern.mask_fields(fields, F.lit(True)), b=govern.mask_fields(fields, F.lit(False)))
     assert r.a == {"wert": "[maskiert]", "klartext": None, "name": "n"} and r.b["wert"] == "x"
-    nested = {"klartext": "s", "wert": "open", "in": {"sensibel": True, "wert": "w", "list": [{"wert": "v"}]}}
-    assert govern.masked_json(nested) == {"klartext": "[maskiert]", "wert": "open", "in": {"sensibel": True, "wert": "[maskiert]", "list": [{"wert": "[maskiert]"}]}}
+    nested = {"klartext": "s", "passwort": "p", "wert": "open", "in": {"sensibel": True, "wert": "w", "list": [{"wert": "v"}]}}
+    # plain text is secret in findings' fields, not at any depth of a document
+    assert govern.masked_json(nested) == {"klartext": "s", "passwort": "[maskiert]", "wert": "open", "in": {"sensibel": True, "wert": "[maskiert]", "list": [{"wert": "[maskiert]"}]}}
 
 
 TERMS = (Term("c", "Token"), Term("c", "ok", True), Term("p", "left", False, "L"), Term("p", "right", False, "R"))

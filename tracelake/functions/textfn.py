@@ -8,6 +8,9 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions import netfn
+from tracelake.functions.netfn import is_ipv4  # noqa: F401
+
 # Bits of change reasons and file attributes, and their names.
 USN_REASONS = (
     (0x00000001, "DATA_OVERWRITE"), (0x00000002, "DATA_EXTEND"), (0x00000004, "DATA_TRUNCATION"), (0x00000010, "NAMED_DATA_OVERWRITE"),
@@ -128,19 +131,15 @@ def user_canonical(sid: Column, domain: Column, name: Column) -> Column:
     return F.when(sid.rlike(r"(?i)^S-1-[0-9]+(-[0-9]+)+$"), F.concat(F.lit("sid:"), F.upper(sid))).when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("name:"), with_domain))
 
 
-def is_ipv4(text: Column) -> Column:
-    """Four decimal numbers to 255 without leading zeros."""
-    number = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    return text.rlike(rf"^{number}(?:\.{number}){{3}}$")
-
-
 def host_normalize(text: Column) -> Column:
-    """The host of an address or plain name, lowered; null unless it is an IPv4 literal or a name with sound labels."""
+    """The host of an address or plain name, lowered; null unless it is an IP literal (in its canonical form) or a name with sound labels."""
     plain = F.trim(text)
-    of_url = F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    of_url = F.regexp_extract(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]*)", 1)
     host = F.lower(F.regexp_replace(F.when(plain.contains("://"), of_url).otherwise(F.regexp_replace(plain, r"[:/?#].*$", "")), r"\.+$", ""))
+    v6 = netfn.ipv6_canonical(F.when(plain.contains("://"), F.regexp_extract(of_url, r"^\[(.*)\]$", 1)).otherwise(F.regexp_replace(plain, r"\.+$", "")))
     label = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
-    return F.when(is_ipv4(host) | (host.rlike(rf"^{label}(?:\.{label})+$") & ~host.rlike(r"\.[0-9]+$") & (F.length(host) <= 253)), host)
+    sound = netfn.is_ipv4(host) | (host.rlike(rf"^{label}(?:\.{label})+$") & ~host.rlike(r"\.[0-9]+$") & (F.length(host) <= 253))
+    return F.coalesce(F.when(F.instr(plain, ":") > 0, v6), F.when(sound, host))
 
 
 def file_url_path(url: Column) -> Column:

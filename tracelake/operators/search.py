@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import netfn
+
 WORD = "[A-Za-z0-9_]"
 #: fixed values
 DEFAULT_DISTANCE, MOST_HITS, MOST_PER_CATEGORY, MOST_PER_DOMAIN = 128, 100_000, 20_000, 20_000
@@ -275,59 +277,14 @@ def ip_literals(data: bytes | str) -> list[str]:
     return out
 
 
-ADDRESSES = "address string, original string, kind string, encoding string, start bigint, bytes bigint"
-
-
-def address_hits(files: DataFrame, key: str, content: str) -> DataFrame:
-    """IPv4 and IPv6 literals of a text or binary column: key, canonical address, its text, kind, encoding, start and length.
+def address_hits(files: DataFrame, key: str, content: str, most: int = netfn.MOST_HITS) -> DataFrame:
+    """IPv4 and IPv6 literals of a text or binary column: key, canonical address, its text, kind, encoding, start and length, and whether the content has more than ``most``.
 
     Tokens of ``[A-Za-z0-9.:_%-]`` up to 128 long, final dots aside, that are an address, or an IPv4 address and
-    a port. Binary content is read as ASCII and as both phases of UTF-16LE. Content without a dotted number or
-    a colon pair never reaches Python where it is text.
+    a port. Binary content is read as ASCII and as both phases of UTF-16LE. All of it are Column functions.
     """
-    kind, binary = files.schema[key].dataType.simpleString(), files.schema[content].dataType.simpleString() == "binary"
-    source = files.select(key, content)
-    if not binary:
-        source = source.where(F.col(content).rlike(r"[0-9]\.[0-9]|:[0-9A-Fa-f]*:"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, data in enumerate(batch.column(1).to_pylist()):
-                for text, encoding, base, width in _phases(data):
-                    for m in re.finditer(r"[A-Za-z0-9.:_%-]+", text):
-                        if found := _address(m[0]):
-                            rows.append((k, *found, encoding, base + m.start() * width, len(found[1]) * width))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = [pa.string()] * 4 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=[key, "address", "original", "kind", "encoding", "start", "bytes"])
-
-    return source.mapInArrow(run, f"`{key}` {kind}, {ADDRESSES}")
-
-
-def _phases(data: bytes | str | None) -> list[tuple[str, str, int, int]]:
-    """The readings of a content: text, encoding, first offset, and bytes a character."""
-    if data is None or isinstance(data, str):
-        return [(data, "text", 0, 1)] if data else []
-    units = lambda phase: "".join(chr(a) if not b else "\0" for a, b in zip(data[phase::2], data[phase + 1 :: 2], strict=False))
-    return [(data.decode("latin-1"), "ascii", 0, 1), (units(0), "utf16le", 0, 2), (units(1), "utf16le", 1, 2)]
-
-
-def _address(token: str) -> tuple[str, str, str] | None:
-    """Canonical address, its text without a port, and its kind."""
-    import ipaddress
-
-    token = token.rstrip(".")
-    if len(token) > 128 or not {".", ":"} & set(token) or "%" in token:
-        return None
-    with_port = re.fullmatch(r"([0-9.]+):([0-9]{1,5})", token)
-    text = with_port[1] if with_port and int(with_port[2]) <= 65535 else token
-    try:
-        found = ipaddress.ip_address(text)
-    except ValueError:
-        return None
-    mapped = found.version == 6 and found.ipv4_mapped
-    return f"::ffff:{mapped}" if mapped else str(found), text, f"IPv{found.version}"
+    binary = files.schema[content].dataType.simpleString() == "binary"
+    return files.select(key, F.inline(netfn.addresses(F.col(content), binary, most)))
 
 
 def lines_with_offsets(docs: DataFrame, key: str, text: str, most_bytes: int = 65536) -> DataFrame:

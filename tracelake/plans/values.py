@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions import textfn, timefn
+from tracelake.functions import netfn, textfn, timefn
 from tracelake.session import table
 
 from .registry import query
@@ -32,6 +32,20 @@ def host_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", textfn.host_normalize(text).alias("host"))
 
 
+@query(r"""WITH g AS (SELECT p_partkey, p_partkey % 4 AS form, p_size AS a, p_partkey % 3 AS b FROM part)
+SELECT p_partkey, CASE form WHEN 0 THEN '2001:db8:' || CASE WHEN b = 0 THEN ':' ELSE '0:' || lower(to_hex(b)) || ':' END || lower(to_hex(a)) || CASE WHEN b = 0 THEN '' ELSE '::' END
+ WHEN 1 THEN '::ffff:10.0.' || b || '.' || a WHEN 2 THEN CASE WHEN b > 0 THEN 'fe80::' || lower(to_hex(a)) || ':0:0:' || b END ELSE '10.' || b || '.0.' || a END AS address FROM g""")
+def ip_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses spelt at length, with capitals and leading zeros, with IPv4 behind, and with too many groups."""
+    a, b = F.hex("p_size"), (F.col("p_partkey") % 3).cast("string")
+    long = F.concat(F.lit("2001:0DB8:"), F.when(b == "0", F.concat(F.lit("0:0:0:0:0:"), F.lpad(a, 4, "0"))).otherwise(F.concat(F.lit("0:000"), b, F.lit(":"), a, F.lit(":0:0:0"))))
+    mapped = F.concat(F.lit("0:0:0:0:0:FFFF:10.0."), b, F.lit("."), F.col("p_size").cast("string"))
+    links = F.when(b == "0", F.concat(F.lit("fe80:0:0:0:0:0:"), a, F.lit(":0:0"))).otherwise(F.concat(F.lit("FE80:0:0:0:"), a, F.lit(":0:0:"), b))
+    plain = F.concat(F.lit("10."), b, F.lit(".0."), F.col("p_size").cast("string"))
+    form = F.col("p_partkey") % 4
+    return table(spark, sf_dir, "part").select("p_partkey", netfn.ip_canonical(F.when(form == 0, long).when(form == 1, mapped).when(form == 2, links).otherwise(plain)).alias("address"))
+
+
 @query(r"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'C:\Program Files\' || replace(p_name, '/', '\') || '\%zz ä.txt' END AS path FROM part")
 def file_url_to_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.replace(F.col("p_name"), F.lit(" "), F.lit("%20"))
