@@ -35,11 +35,15 @@ CHUNK = 1 << 20
 #: bits of a document's number within its length
 NUMBER_BITS = 48
 
-#: fixed values: the places of the byte-level pre-tokenizer's words in ASCII text, and its letters for bytes that don't print
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-_LETTERS = {b: 256 + b for b in range(33)} | {127: 289}
+#: fixed values: the pre-tokenizer's words in texts of characters below U+0250, and its letters for bytes that don't print
+_LETTER, _NUMBER, _SPACE = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_LETTER}{_NUMBER}{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_BEYOND = "\u0250"
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_BLANK = chr(_LETTERS[0x20])
 #: where no word goes across: a space between two characters that are none
-_SAFE, _UNSAFE = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s | \s|^ | $")
+_SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
 def number_bytes(ids: list[int]) -> bytes:
@@ -49,9 +53,9 @@ def number_bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, equal to those of the tokenizer.
 
-    Texts are cut at single spaces, where the pre-tokenizer always cuts, and the ids of the pieces are remembered. ASCII pieces
-    are cut into the pre-tokenizer's words here, and the library's BPE model is asked for new words only; others go through
-    the whole library. Tokenizers of another kind than byte-level BPE read whole texts through the library.
+    Texts are cut at single spaces, where the pre-tokenizer always cuts, and the ids of the pieces are remembered. Those of
+    Latin letters are cut into the pre-tokenizer's words here, and the library's BPE model is asked for new words only; others
+    go through the whole library. Tokenizers of another kind than byte-level BPE read whole texts through the library.
     """
 
     def __init__(self, json: str, remembered: int = REMEMBERED) -> None:
@@ -71,53 +75,65 @@ class Encoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [number_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, w: str) -> bytes:
+        """Ids of one of the pre-tokenizer's words."""
+        found = self.words.get(w)
+        if found is None:
+            if len(self.words) >= self.remembered:
+                self.words.clear()
+            spelt = w.replace(" ", _BLANK) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_LETTERS)
+            found = self.words[w] = number_bytes([t.id for t in self.model.tokenize(spelt)])
+        return found
+
     def new(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces; the words that have been seen are looked up."""
         out: list[bytes | None] = []
         whole = "\n".join(pieces)
         marked = any(a in whole for a in self.added)
         for p in pieces:
-            if not p.isascii() or marked and any(a in p for a in self.added):
+            if not p.isascii() and max(p) >= _BEYOND or marked and any(a in p for a in self.added):
                 out.append(None)
-                continue
-            ids = b""
-            for w in _WORDS.findall(p):
-                found = self.words.get(w)
-                if found is None:
-                    if len(self.words) >= self.remembered:
-                        self.words.clear()
-                    found = self.words[w] = number_bytes([t.id for t in self.model.tokenize(w.translate(_LETTERS))])
-                ids += found
-            out.append(ids)
+            elif p[1:].isalpha() and p[0] == " ":
+                out.append(self.word(p))
+            else:
+                out.append(b"".join(map(self.word, _WORDS.findall(p))))
         left = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(left, self.library([pieces[k] for k in left]) if left else [], strict=True):
             out[k] = ids
         return out
 
-    def spaced(self, text: str) -> bytes:
-        """A text that begins with no space and whose every space is one between others."""
+    def spaced(self, text: str) -> bytes | None:
+        """A text that begins with no space and whose every space is one between others; None for another."""
         first, *rest = text.split(" ")
-        unseen = [p for p in set(rest) if p not in self.pieces]
-        if len(self.pieces) + len(unseen) > self.remembered:
-            self.pieces.clear()
-            unseen = list(set(rest))
-        self.pieces.update(zip(unseen, self.new([" " + p for p in unseen]), strict=True))
-        return b"".join([*self.new([first]), *map(self.pieces.__getitem__, rest)])
+        found = list(map(self.pieces.get, rest))
+        if None in found:
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            unseen = list({rest[k] for k in missing})
+            if any(not p or p[0].isspace() or p[-1].isspace() for p in unseen):
+                return None
+            if len(self.pieces) + len(unseen) > self.remembered:
+                self.pieces.clear()
+            ids = dict(zip(unseen, self.new([" " + p for p in unseen]), strict=True))
+            self.pieces.update(ids)
+            for k in missing:
+                found[k] = ids[rest[k]]
+        if not first or first[-1].isspace():
+            return None
+        return b"".join([*self.new([first]), *found])
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
             return self.library([text])[0]
         out, at = [], 0
         while at < len(text):
-            cut = _SAFE.search(text, at + CHUNK)
+            cut = _SAFE.search(text, at + CHUNK) if at + CHUNK < len(text) else None
             end = cut.start() if cut else len(text)
-            part = text[at:end]
-            if not at and not _UNSAFE.search(part):
-                out.append(self.spaced(part))
-            elif at and not _UNSAFE.search(part, 1):
-                out.append(self.spaced(part) if part[0] != " " else self.spaced("x" + part)[len(self.new(["x"])[0]) :])
+            # a part behind a cut begins with its space
+            ids = self.spaced(text[at:end]) if not at else self.spaced("x" + text[at:end])
+            if ids is None:
+                out += self.new(_SAFE.split(text[at:end]))
             else:
-                out += self.new(_SAFE.split(part))
+                out.append(ids if not at else ids[len(self.new(["x"])[0]) :])
             at = end
         return b"".join(out)
 
