@@ -93,13 +93,12 @@ def _hits(content: Column, encoding: str, width: int) -> Column:
     # a last byte without its pair leaves a UTF-16 token open, so that it is none
     end = f"(?!{unit(TOKEN)})" + ("(?!(?s:.)\\z)" if width == 2 else "")
     matches = F.regexp_extract_all(content, F.lit(f"(?s)\\G.*?(?:{begins}){unit('0-9A-Fa-f.:', '++')}{end}"), 0)
-    chars = "0123456789abcdefABCDEF.:" + ("\0" if width == 2 else "")
+    # a longer token's first units don't matter: it is none
+    at_end = f"({unit('0-9A-Fa-f.:', '+')})\\z"
 
     def parted(m: Column) -> Column:
-        gap = F.length(F.rtrim(m, F.lit(chars)))
-        behind = F.substr(m, gap + 1)
-        t = F.ltrim(behind, F.lit("\0")) if width == 2 else behind  # zeros before the token are the gap's
-        return _with(t, lambda t: F.struct((F.length(m) - F.length(t)).alias("gap"), F.length(t).alias("size"), (F.replace(t, F.lit("\0"), F.lit("")) if width == 2 else t).alias("token")))
+        token = F.regexp_extract(F.right(m, F.lit(width * (MOST_TOKEN + 1))), at_end, 1)
+        return _with(token, lambda t: F.struct((F.length(m) - F.length(t)).alias("gap"), F.length(t).alias("size"), (F.replace(t, F.lit("\0"), F.lit("")) if width == 2 else t).alias("token")))
 
     parts = F.transform(matches, parted)
 
