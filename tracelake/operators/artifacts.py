@@ -95,24 +95,29 @@ def _onion(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def hidden_service_findings(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """Traces of an onion service by file name (key, path, text): its name and keys, directives of torrc, the program, and servers that listen locally only."""
-    low = F.lower(file_name("path"))
-    lines = F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x))
+def onion_traces(path: Column, text: Column) -> Column:
+    """Traces of an onion service in a file, (kind, name): its name and keys, directives of torrc, the program, and servers that listen locally only."""
+    low = F.lower(file_name(path))
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
     directive = lambda x: F.lower(x).rlike("^(?:" + "|".join(TOR_DIRECTIVES) + ")")
     directives = F.filter(lines, directive)
     listens = F.filter(lines, lambda x: F.lower(x).rlike(r"^listen.*(?:127\.0\.0\.1|localhost)"))
     one = lambda kind, name: F.when(name.isNotNull(), F.struct(F.lit(kind).alias("kind"), name.alias("name")))
     several = F.transform(directives, lambda x: F.struct(F.lit("torrc_direktive").alias("kind"), x.alias("name")))
-    torrc = F.concat(several, F.array(one("torrc_gefunden", F.when(F.size(directives) == 0, F.lit("torrc"))), one("onion_in_torrc", _onion(F.col("text")))))
+    torrc = F.concat(several, F.array(one("torrc_gefunden", F.when(F.size(directives) == 0, F.lit("torrc"))), one("onion_in_torrc", _onion(text))))
     found = (
-        F.when(low == "hostname", F.array(one("hidden_service_hostname", _onion(F.col("text")))))
+        F.when(low == "hostname", F.array(one("hidden_service_hostname", _onion(text))))
         .when(low.isin(*SERVICE_KEYS), F.array(one("hidden_service_key", low)))
         .when(low == "torrc", torrc)
         .when(low == "tor.exe", F.array(one("tor_programm", F.lit("tor.exe"))))
         .when(low.isin(*SERVER_FILES), F.array(one("webserver_localhost", F.try_element_at(listens, F.lit(1)))))
     )
-    rows = files.select(key, "path", F.inline(F.filter(F.array_compact(found), lambda x: x["name"].isNotNull())))
+    return F.filter(F.array_compact(found), lambda x: x["name"].isNotNull())
+
+
+def hidden_service_findings(files: DataFrame, key: str = "file_id") -> DataFrame:
+    """The onion service traces of files (key, path, text)."""
+    rows = files.select(key, "path", F.inline(onion_traces(F.col("path"), F.col("text"))))
     return rows.select(key, F.lit("tor").alias("domain"), "name", F.col("path").alias("source"), attributes(art=F.col("kind")).alias("attributes"))
 
 
