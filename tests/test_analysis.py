@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.functions import bytesfn, netfn, textfn
+from tracelake.functions import bytesfn, jsonfn, netfn, textfn
 from tracelake.operators import artifacts, correlate, dimensions, govern, registry, search, tokens
 from tracelake.operators.search import Term
 from tracelake.sources import sinks
@@ -191,3 +191,41 @@ def test_hosts_with_ipv6(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     found = {r.t: r.h for r in frame.select("t", textfn.host_normalize(F.col("t")).alias("h")).collect()}
     assert [found[t] for t in texts] == ["2001:db8::1", "2001:db8::1", None, None, "::ffff:1.2.3.4", "example.org", None]
+
+
+def test_json_of_any_form(spark):
+    """Random documents against a recursive version; depth, text, and documents that are none."""
+    import random
+
+    rnd = random.Random(7)
+    keys = ["wert", "passwort", "sensibel", "a", "ä b", 'q"', "masterkey_hex"]
+
+    def value(depth):
+        kind = rnd.randrange(9 if depth else 5)
+        if kind > 6:
+            return {k: value(depth - 1) for k in rnd.sample(keys, rnd.randrange(5))}
+        if kind > 4:
+            return [value(depth - 1) for _ in range(rnd.randrange(4))]
+        return rnd.choice([None, True, False, 3, -7, 2.5, "", "x\n\\", "true", "é😀", "[{", "}"])
+
+    def text(v):
+        if isinstance(v, dict):
+            return " ".join(f"{k}: {text(v[k])}" for k in sorted(v))
+        if isinstance(v, list):
+            return " ".join(map(text, v))
+        return {None: "", True: "true", False: "false"}[v] if v is None or isinstance(v, bool) else str(v)
+
+    values = [(i, value(5), rnd.random() < 0.3) for i in range(300)]
+    rows = spark.createDataFrame([(i, json.dumps(v), s) for i, v, s in values], "id int, doc string, s boolean")
+    found = {r.id: r.m for r in rows.select("id", jsonfn.masked(F.col("doc"), F.col("s")).alias("m")).collect()}
+    for i, v, s in values:
+        wanted = govern.MASK if s and not isinstance(v, dict) else govern.masked_json(v, s)
+        assert json.loads(found[i].json) == wanted and found[i].text == text(wanted) and not found[i].too_deep
+    odd = ["", "{", "NaN", '{"a":NaN}', '"\\ud800"', "[" * 900 + "]" * 900, "[" * 3000 + "]" * 3000, '{"a":1} 2', '{"a":1,"a":2}', None]
+    made = spark.createDataFrame([(i, d) for i, d in enumerate(odd)], "id int, doc string").select("id", jsonfn.masked(F.col("doc")).alias("m")).collect()
+    by = {r.id: r.m for r in made}
+    assert [by[i] for i in (0, 1, 2, 3, 6, 9)] == [None] * 6 and by[7].json == '{"a":1}' and by[4].json == '"?"' and by[5].too_deep and by[8].json == '{"a":2}'
+    shallow = spark.createDataFrame([('{"a":{"wert":{"passwort":1}}}',)], "doc string").select(jsonfn.masked(F.col("doc"), deepest=1).alias("m")).first().m
+    assert shallow.json == '{"a":"[maskiert]"}' and shallow.too_deep
+    documents = govern.search_documents(rows, "doc", "s")
+    assert documents.columns == ["id", "doc", "s", "too_deep"] and "Python" not in documents._jdf.queryExecution().executedPlan().toString()

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import jsonfn
+from tracelake.functions.jsonfn import ALWAYS_SECRET, MASK
+
 #: fixed values
-MASK = "[maskiert]"
 GENESIS = "0" * 64
-ALWAYS_SECRET = ("passwort", "dcc2_hash", "dpapi_machinekey", "dpapi_userkey", "masterkey_hex")
 SECRET_FIELDS = ("geheimnis", "klartext", "lm_hash", "nt_hash", "schluessel", "wert")
 
 
@@ -26,38 +27,24 @@ def masked_json(value: object, secret: bool = False, always: Sequence[str] = ALW
     """Nested values with secrets masked: always-secret keys anywhere, ``wert`` inside a secret scope, which its children inherit."""
     if isinstance(value, dict):
         inside = secret or value.get("sensibel") in (True, "true")
-        return {k: MASK if v is not None and (k in always or (inside and k == scoped)) else masked_json(v, inside, always, scoped) for k, v in value.items()}
+        return {k: MASK if k in always or (inside and k == scoped) else masked_json(v, inside, always, scoped) for k, v in value.items()}
     if isinstance(value, list):
         return [masked_json(v, secret, always, scoped) for v in value]
     return value
 
 
-def masked_documents(rows: DataFrame, document: str, secret: str | None = None, always: Sequence[str] = ALWAYS_SECRET, scoped: str = "wert") -> DataFrame:
+def masked_documents(rows: DataFrame, document: str, secret: str | None = None, always: Sequence[str] = ALWAYS_SECRET, scoped: str = jsonfn.SCOPED) -> DataFrame:
     """The rows with a JSON column masked at any depth; ``secret`` names a flag column that puts a whole row in the secret scope.
 
-    A secret row whose value is no object is masked whole; text that is no JSON is null. Keys come out in order.
+    A secret row whose value is no object is masked whole; text that is no JSON is null. Keys come out in order; see ``jsonfn.masked``.
     """
-    at = rows.columns.index(document)
-    flag = rows.columns.index(secret) if secret else None
-
-    def one(text: str | None, inside: bool) -> str | None:
-        try:
-            value = json.loads(text) if text is not None else None
-        except ValueError:
-            return None
-        if text is None:
-            return None
-        value = MASK if inside and not isinstance(value, dict) else masked_json(value, inside, always, scoped)
-        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return rows.withColumn(document, jsonfn.masked(F.col(document), F.col(secret) if secret else None, always, scoped)["json"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = batch.column(flag).to_pylist() if flag is not None else [False] * batch.num_rows
-            columns = list(batch.columns)
-            columns[at] = pa.array([one(t, bool(f)) for t, f in zip(columns[at].to_pylist(), flags, strict=True)], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+def search_documents(rows: DataFrame, document: str, secret: str | None = None) -> DataFrame:
+    """The rows with a JSON column masked and turned to its searchable text, and ``too_deep``; empty for what is no JSON, so that it is a row and matches nothing."""
+    made = jsonfn.masked(F.col(document), F.col(secret) if secret else None)
+    return rows.withColumn("_made", made).withColumns({document: F.coalesce("_made.text", F.lit("")), "too_deep": F.coalesce("_made.too_deep", F.lit(False))}).drop("_made")
 
 
 def audit_row(user: str, action: str, case: str, time: str, searched: str | None = None, **details: object) -> str:

@@ -145,6 +145,35 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return govern.masked_documents(rows, "document", "secret").drop("secret")
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as documents: text in an array in an object, secret by role or by a flag below, every seventh cut short, every eleventh deeper than the limit."""
+    turn, text = F.col("turn").cast("string"), F.to_json(F.array("text"))
+    body = F.concat(F.lit('{"z": ['), F.substr(text, F.lit(2), F.length(text) - 2), F.lit(', {"wert": '), turn, F.lit('}], "role": "'), F.col("role"), F.lit('", "in": {"wert": "'), turn, F.lit('", "sensibel": "'), (F.col("turn") % 2 == 0).cast("string"), F.lit('", "masterkey_hex": null, "e": {}}}'))
+    deep = F.concat(F.repeat(F.lit('{"d":'), 70), F.lit("1"), F.repeat(F.lit("}"), 70))
+    number = F.col("conv_id") + F.col("turn")
+    document = F.when(number % 11 == 0, deep).when(number % 7 == 0, F.left(body, F.lit(9))).otherwise(body)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", document.alias("document"), (F.col("role") == "system").alias("secret"))
+
+
+_SEARCHED = """SELECT conv_id, turn, role, (conv_id + turn) % 11 = 0 AS too_deep, CASE WHEN (conv_id + turn) % 11 = 0 THEN repeat('d: ', 64) || '[maskiert]' WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE
+ 'in: e:  masterkey_hex: [maskiert] sensibel: ' || (turn % 2 = 0) || ' wert: ' || CASE WHEN role = 'system' OR turn % 2 = 0 THEN '[maskiert]' ELSE turn::VARCHAR END || ' role: ' || role || ' z: ' || text || ' wert: ' || CASE WHEN role = 'system' THEN '[maskiert]' ELSE turn::VARCHAR END END AS document FROM conversations"""
+
+
+@query(f"SELECT conv_id, turn, document, too_deep FROM ({_SEARCHED})")
+def masked_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searchable text of nested documents, masked; those that are no JSON or too deep are rows, too."""
+    return govern.search_documents(_nested(spark, sf_dir), "document", "secret").select("conv_id", "turn", "document", "too_deep")
+
+
+@query(f"""SELECT conv_id, turn, preview, count(*) OVER () > 100 AS more FROM (SELECT conv_id, turn, substr(document, greatest(1, strpos(lower(document), 'z: t') - 60), 240) AS preview FROM ({_SEARCHED})
+WHERE role = 'user' AND contains(lower(document), 'z: t') AND (conv_id, turn) > (3, 1) ORDER BY conv_id, turn LIMIT 101) ORDER BY conv_id, turn LIMIT 100""")
+def masked_artifact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of one role's documents with a literal in their masked text, with previews."""
+    rows = govern.search_documents(_nested(spark, sf_dir).where("role = 'user'"), "document", "secret")
+    found = rows.where(pages.contains_literal(F.col("document"), "Z: T"))
+    return pages.page(found.select("conv_id", "turn", search.preview(F.col("document"), "z: t").alias("preview")), ["conv_id", "turn"], (3, 1), 100)
+
+
 @query("""SELECT c_custkey AS user_id, c_nationkey::BIGINT AS role, 'revoke' AS change FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, (c_nationkey + 1)::BIGINT, 'grant' FROM customer WHERE c_custkey % 3 <> 1""")
 def role_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some users get another role, some one more, some keep theirs."""
