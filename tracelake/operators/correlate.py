@@ -94,21 +94,74 @@ def rule_pairs(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id"
     return rule_candidates(traces, group).where("matches").select("rule", "a_id", "b_id").distinct()
 
 
-def limited_rules(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope"), comparisons: int = MOST_COMPARISONS, matches: int = MOST_MATCHES) -> DataFrame:
-    """The matches among the first ``comparisons`` pairs in a fixed order, the first ``matches`` of them, and whether either limit was reached (``limited``).
+#: fixed value: what a run compares lies less than a day and a second apart
+COMPARED_NS = 86_401 * 10**9
+
 
-    The limits are the feature: a run compares and returns no more. Both are sorts with a limit.
+def comparisons_of(traces: DataFrame, group: Sequence[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` comparisons of a run, as pairs ``a`` and ``b`` with their ``number`` from 0, and one row with the ``total`` of all.
+
+    A run takes groups in order, a group's traces in order of time, and compares each with those behind it less than ``COMPARED_NS`` later.
+    Comparisons are counted before any is made: a window over a time bucket and the next (so that a hot group is cut by time) gives
+    each trace the number of those that it is compared with, and prefix sums over buckets, then within those that begin below the limit, give its first
+    comparison's number. Only traces below the limit are then joined, by their places: no more pairs are made than returned.
+    """
+    named = [c for c in traces.columns if c not in ("bucket", "own", "place", "count")]
+    whole = F.struct(*named)
+    bucket = F.floor(F.col("time_ns") / COMPARED_NS)
+    rows = traces.select(*group, whole.alias("trace"), F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("own")))).alias("_b")).select(*group, "trace", "_b.*")
+    keys = [*group, "bucket"]
+    order = Window.partitionBy(*keys).orderBy("trace.time_ns", "trace.event_id", "trace.artifact_id", "trace")
+    reach = Window.partitionBy(*keys).orderBy("trace.time_ns").rangeBetween(Window.unboundedPreceding, COMPARED_NS - 1)
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("count", F.count(F.lit(1)).over(reach) - F.col("place"))
+    compared = placed.where("own AND count > 0")
+    counts = compared.groupBy(*keys).agg(F.sum("count").alias("n"))
+    # every bucket has a comparison, so that no more buckets than comparisons can be below the limit
+    first = counts.orderBy(*keys).limit(most)
+    so_far = F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = first.withColumn("begin", so_far).where(F.col("begin") < most).drop("n")
+    inside = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    a = compared.join(begun, keys).withColumn("begin", F.col("begin") + inside).where(F.col("begin") < most)
+    a = a.select(*keys, F.col("trace").alias("a"), "place", "begin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("count", F.lit(most) - F.col("begin")))).alias("k"))
+    a = a.select(*keys, "a", (F.col("place") + F.col("k")).alias("place"), (F.col("begin") + F.col("k") - 1).alias("number"))
+    pairs = a.join(placed.select(*keys, F.col("place").cast("bigint").alias("place"), F.col("trace").alias("b")), [*keys, "place"])
+    return pairs.select("number", "a", "b"), counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
+def rule_of(a: Column, b: Column) -> Column:
+    """The fixed rule that an earlier and a later trace meet, their times aside; null for none."""
+    timed = lambda t: t["semantics"] == "event_time"
+    kinds = lambda x, y: (a["kind"] == x) & (b["kind"] == y)
+    sources = kinds("process_start", "process_start") & a["entity_kind"].isin("file", "application") & (a["role"] == "executable") & (b["role"] == "executable") & timed(a) & timed(b) & (a["parser"] != b["parser"])
+    persistence = timed(b) & (((a["entity_kind"] == "service") & kinds("service_installed", "service_started")) | ((a["entity_kind"] == "scheduled_task") & kinds("scheduled_task_created", "scheduled_task_executed")))
+    network = (a["entity_kind"] == "process") & (a["role"] == "process") & (b["role"] == "process") & (a["kind"] == "process_start") & b["kind"].isin("network_connection", "dns_query", "http_request") & timed(a) & timed(b)
+    rule = F.when(sources, "execution-sources").when(persistence, "persistence-activity").when(network, "process-network")
+    return F.when((a["event_id"] != b["event_id"]) & (a["artifact_id"] != b["artifact_id"]), rule)
+
+
+def evaluated(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope"), comparisons: int = MOST_COMPARISONS, matches: int = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
+    """A run of the fixed rules over eligible traces: its matches (rule, a_id, b_id, number), and one row with ``comparisons``, ``matches`` and ``limited``.
+
+    The run stops at its limits, which are the feature: after ``comparisons`` comparisons, or at the one after the last of ``matches`` matches. Of two traces at
+    one moment either may be the earlier. Equal matches count once. ``limited`` tells that not everything was compared.
     """
-    pairs = rule_candidates(traces, group).distinct()
-    order = ["rule", "a_id", "b_id", "delta"]
-    compared = pairs.orderBy(*order).limit(comparisons + 1)
-    number = Window.partitionBy().orderBy(*order)  # over at most that many rows
-    seen = compared.withColumn("_n", F.row_number().over(number))
-    found = seen.where((F.col("_n") <= comparisons) & F.col("matches")).select("rule", "a_id", "b_id").distinct()
-    reached = seen.agg(F.max("_n").alias("compared"))
-    total = found.agg(F.count(F.lit(1)).alias("found"))
-    out = found.orderBy("rule", "a_id", "b_id").limit(matches)
-    return out.crossJoin(F.broadcast(reached)).crossJoin(F.broadcast(total)).withColumn("limited", (F.col("compared") > comparisons) | (F.col("found") > matches)).drop("compared", "found")
+    pairs, all_of_them = comparisons_of(traces, group, comparisons)
+    together = F.col("a.time_ns") == F.col("b.time_ns")
+    forward, back = rule_of(F.col("a"), F.col("b")), F.when(together, rule_of(F.col("b"), F.col("a")))
+    window = F.element_at(F.create_map(*(F.lit(x) for pair in RULE_WINDOWS for x in pair)), F.col("rule"))
+    turned = pairs.select("number", F.coalesce(forward, back).alias("rule"), F.when(forward.isNull() & together, F.struct(F.col("b").alias("x"), F.col("a").alias("y"))).otherwise(F.struct(F.col("a").alias("x"), F.col("b").alias("y"))).alias("p"))
+    found = turned.where(F.col("rule").isNotNull()).where(F.col("p.y.time_ns") - F.col("p.x.time_ns") <= window).groupBy("rule", "p").agg(F.min("number").alias("number"))
+    kept = found.orderBy("number").limit(matches)
+    last = kept.agg(F.count(F.lit(1)).alias("matches"), F.max("number").alias("last"))
+    done = F.when(F.col("matches") == matches, F.col("last") + 1).otherwise(F.least("total", F.lit(comparisons)))
+    summary = all_of_them.crossJoin(F.broadcast(last)).select(done.cast("bigint").alias("comparisons"), "matches", (done < F.col("total")).alias("limited"))
+    return kept.select("rule", F.col("p.x.event_id").alias("a_id"), F.col("p.y.event_id").alias("b_id"), "number"), summary
+
+
+def limited_rules(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope"), comparisons: int = MOST_COMPARISONS, matches: int = MOST_MATCHES) -> DataFrame:
+    """The matches of ``evaluated``, each with the run's ``limited``."""
+    found, summary = evaluated(traces, group, comparisons, matches)
+    return found.crossJoin(F.broadcast(summary.select("limited")))  # one row
 
 
 def limited(pairs: DataFrame, order: Sequence[str], most: int) -> DataFrame:

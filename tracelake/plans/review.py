@@ -105,16 +105,16 @@ def whole_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as traces of the kinds that the rules are about; microseconds stand for nanoseconds, so that pairs fall in the windows."""
+    """Events as traces of the kinds that the rules are about, their times in nanoseconds."""
     pick = lambda *names: F.element_at(F.create_map(*(F.lit(x) for pair in zip(("click", "view", "signup", "purchase", "error"), names, strict=True) for x in pair)), F.col("event_type"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     return table(spark, sf_dir, "events").where("event_type IN ('click', 'view', 'signup', 'purchase', 'error')").select(
         "event_id", F.concat(F.lit("a"), (F.col("event_id") % 97).cast("string")).alias("artifact_id"), (F.col("user_id") % 50).alias("entity_id"), pick("process_start", "process_start", "service_installed", "service_started", "network_connection").alias("kind"),
-        pick("file", "process", "service", "service", "process").alias("entity_kind"), pick("executable", "process", "service", "service", "process").alias("role"), F.lit("event_time").alias("semantics"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("parser"), micros("ts").alias("time_ns"),
+        pick("file", "process", "service", "service", "process").alias("entity_kind"), pick("executable", "process", "service", "service", "process").alias("role"), F.lit("event_time").alias("semantics"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("parser"), (micros("ts") * 1000).alias("time_ns"),
     )
 
 
-_RULE_TRACES = """(SELECT event_id, 'a' || event_id % 97 AS artifact_id, user_id % 50 AS entity_id, event_type, 'p' || json_extract(props, '$.k')::BIGINT % 3 AS parser, epoch_us(ts) AS at FROM events)"""
+_RULE_TRACES = """(SELECT event_id, 'a' || event_id % 97 AS artifact_id, user_id % 50 AS entity_id, event_type, 'p' || json_extract(props, '$.k')::BIGINT % 3 AS parser, epoch_us(ts) * 1000 AS at FROM events)"""
 _CANDIDATES = f"""SELECT v.rule, a.event_id AS a_id, b.event_id AS b_id, b.at - a.at AS delta, b.at - a.at <= v.win AND (v.rule <> 'execution-sources' OR a.parser <> b.parser) AS matches
 FROM {_RULE_TRACES} a JOIN {_RULE_TRACES} b ON a.entity_id = b.entity_id AND a.event_id <> b.event_id AND a.artifact_id <> b.artifact_id
 JOIN (VALUES ('execution-sources', 'click', 'click', 2000000000), ('persistence-activity', 'signup', 'purchase', 86400000000000), ('process-network', 'view', 'error', 300000000000)) v(rule, x, y, win) ON a.event_type = v.x AND b.event_type = v.y
@@ -127,12 +127,26 @@ def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.rule_pairs(_rule_traces(spark, sf_dir), ["entity_id"])
 
 
-@query(f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY rule, a_id, b_id, delta) AS n FROM (SELECT DISTINCT * FROM ({_CANDIDATES}))),
-m AS (SELECT DISTINCT rule, a_id, b_id FROM c WHERE n <= 2000 AND matches)
-SELECT rule, a_id, b_id, (SELECT count(*) FROM c) > 2000 OR (SELECT count(*) FROM m) > 500 AS limited FROM m ORDER BY rule, a_id, b_id LIMIT 500""")
+#: all comparisons of a run in its order, with the rule that each meets
+_COMPARED = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY "at", event_id) AS place FROM {_RULE_TRACES} WHERE event_type IN ('click', 'view', 'signup', 'purchase', 'error')),
+p AS (SELECT row_number() OVER (ORDER BY a.entity_id, a.place, b.place) - 1 AS number, a.event_id AS x, b.event_id AS y, a.event_type AS xt, b.event_type AS yt, a.parser AS xp, b.parser AS yp, a.artifact_id <> b.artifact_id AS other, b.at - a.at AS delta
+ FROM t a JOIN t b ON a.entity_id = b.entity_id AND a.place < b.place AND b.at - a.at < 86401000000000),
+m AS (SELECT number, CASE WHEN xt = 'click' AND yt = 'click' AND xp <> yp AND delta <= 2000000000 THEN 'execution-sources' WHEN xt = 'signup' AND yt = 'purchase' AND delta <= 86400000000000 OR delta = 0 AND yt = 'signup' AND xt = 'purchase' THEN 'persistence-activity'
+ WHEN xt = 'view' AND yt = 'error' AND delta <= 300000000000 OR delta = 0 AND yt = 'view' AND xt = 'error' THEN 'process-network' END AS rule, delta = 0 AND (yt = 'signup' OR yt = 'view' AND xt = 'error') AS turned, x, y FROM p WHERE other),
+k AS (SELECT number, rule, CASE WHEN turned THEN y ELSE x END AS a_id, CASE WHEN turned THEN x ELSE y END AS b_id FROM m WHERE rule IS NOT NULL AND number < 2000 ORDER BY number LIMIT 30),
+s AS (SELECT CASE WHEN (SELECT count(*) FROM k) = 30 THEN (SELECT max(number) + 1 FROM k) ELSE least(2000, (SELECT count(*) FROM p)) END AS done)"""
+
+
+@query(f"{_COMPARED} SELECT rule, a_id, b_id, number, done < (SELECT count(*) FROM p) AS limited FROM k, s")
 def rule_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a run's limits, 2000 comparisons here and 500 matches."""
-    return correlate.limited_rules(_rule_traces(spark, sf_dir), ["entity_id"], comparisons=2000)
+    """A run's matches, with its limits: 2000 comparisons here, and 30 matches."""
+    return correlate.limited_rules(_rule_traces(spark, sf_dir), ["entity_id"], comparisons=2000, matches=30)
+
+
+@query(f"{_COMPARED} SELECT done AS comparisons, (SELECT count(*) FROM k) AS matches, done < (SELECT count(*) FROM p) AS limited FROM s")
+def rule_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run with limits has compared, and whether that was all."""
+    return correlate.evaluated(_rule_traces(spark, sf_dir), ["entity_id"], comparisons=2000, matches=30)[1]
 
 
 @query("""SELECT conv_id, turn, CASE WHEN role = 'system' AND turn % 2 = 1 THEN '"[maskiert]"' ELSE '{"a":[{"wert":"' || CASE WHEN role <> 'user' THEN '[maskiert]' ELSE 't' || turn END || '"},' || turn || '],"b":{"passwort":"[maskiert]","x":null},' ||
