@@ -107,6 +107,12 @@ def _edges_fit(t: Term, text: str, start: int, end: int) -> bool:
     return not (_is_word(t.text[0]) and before and _is_word(before)) and not (_is_word(t.text[-1]) and after and _is_word(after))
 
 
+def holding_any(docs: DataFrame, text: str, terms: Sequence[Term]) -> DataFrame:
+    """The rows whose text holds any term, ASCII case aside: one regular expression in the JVM."""
+    anything = "|".join(sorted({re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", t.text) for t in terms}))
+    return docs.where(F.col(text).rlike(f"(?i){anything}"))
+
+
 HITS = "category string, term string, side string, start bigint, end bigint"
 
 
@@ -116,9 +122,8 @@ def keyword_hits(docs: DataFrame, key: str, text: str, terms: Sequence[Term]) ->
     The term table is configuration of bounded size and travels with the task. Texts without any term, told by
     one regular expression in the JVM, never reach Python.
     """
-    anything = "|".join(sorted({re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", t.text) for t in terms}))
     kind = docs.schema[key].dataType.simpleString()
-    likely = docs.where(F.col(text).rlike(f"(?i){anything}")).select(key, text)
+    likely = holding_any(docs, text, terms).select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(terms)
