@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.registry import attributes
+
 MOST_DEPTH = 128
 
 
@@ -30,6 +32,42 @@ def snapshot_diff(snapshot: DataFrame, live: DataFrame) -> DataFrame:
     return a.join(b, "key", "left").withColumn("status", status).where("status IS NOT NULL").select("path", "status")
 
 
+#: fixed values: names of the statuses, and the differing files that are told one by one
+DIFFERENCES, MOST_DIFFERENCES = ("nur_im_snapshot", "inhalt_abweichend", "nicht_pruefbar"), 200_000
+
+
+def snapshot_statuses(files: DataFrame) -> DataFrame:
+    """Every file of every snapshot against the live state of its volume, by path whatever the case: volume, store, path, ``status`` (null for equal ones), size, ``live_size`` and ``live_record``.
+
+    ``files`` are volume, store (null: live), path, mft_record, size and sha256, of all snapshots in one table. They are dealt once, by
+    path, whatever the number of snapshots; one window gives each the live file of its path (of several the one with the smallest record).
+    """
+    path = Window.partitionBy("volume", F.lower("path"))
+    live = F.min(F.when(F.col("store").isNull(), F.struct("mft_record", "size", "sha256"))).over(path)
+    only, other, unknown = DIFFERENCES
+    status = F.when(F.col("live").isNull(), only).when(F.col("size") != F.col("live.size"), other).when(F.col("sha256").isNull() | F.col("live.sha256").isNull(), unknown).when(F.col("sha256") != F.col("live.sha256"), other)
+    return files.withColumn("live", live).where("store IS NOT NULL").select("volume", "store", "path", "mft_record", status.alias("status"), "size", F.col("live.size").alias("live_size"), F.col("live.mft_record").alias("live_record"))
+
+
+def snapshot_summaries(statuses: DataFrame) -> DataFrame:
+    """A finding a snapshot: its number, files, and how many differ in which way."""
+    counts = statuses.groupBy("volume", "store").agg(F.count(F.lit(1)).alias("files"), *(F.count_if(F.col("status") == s).alias(s) for s in DIFFERENCES))
+    values = attributes(nummer=F.col("store") + 1, volume_offset=F.col("volume"), dateien_im_snapshot=F.col("files"), **{s: F.col(s) for s in DIFFERENCES})
+    return counts.select("volume", "store", F.lit("vss").alias("domain"), F.concat(F.lit("Schattenkopie "), (F.col("store") + 1).cast("string")).alias("name"), F.concat(F.lit("Offset "), F.col("volume").cast("string")).alias("source"), values.alias("attributes"))
+
+
+def snapshot_findings(statuses: DataFrame, most: int = MOST_DIFFERENCES) -> tuple[DataFrame, DataFrame]:
+    """A finding a differing file, the first ``most`` by volume, store, path and record (a sort with a limit), and one row with the number ``left_out``."""
+    differing = statuses.where(F.col("status").isNotNull())
+    first = differing.orderBy("volume", "store", "path", "mft_record").limit(most)
+    values = attributes(
+        art=F.lit("vss_datei"), status=F.col("status"), herkunft=F.concat(F.lit("VSS#"), (F.col("store") + 1).cast("string")), vss_volume_offset=F.col("volume"), mft_record=F.col("mft_record"), groesse=F.col("size"),
+        live_groesse=F.col("live_size"), live_mft_record=F.col("live_record"), ntfs_metadatei=F.when(F.startswith("path", F.lit("$")), "ja"),
+    )
+    findings = first.select("volume", "store", F.lit("vss").alias("domain"), F.element_at(F.split("path", r"\\"), -1).alias("name"), F.col("path").alias("source"), values.alias("attributes"))
+    return findings, differing.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("left_out"))
+
+
 def same_source(evidence: DataFrame, case: str, evidence_id: str, sha256: str) -> DataFrame:
     """Every evidence with an earlier one of the same case and hash, linked to the first: a star, not all pairs."""
     first = evidence.where(F.col(sha256).isNotNull()).groupBy(case, sha256).agg(F.min(evidence_id).alias("first_id"))

@@ -117,6 +117,38 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.snapshot_diff(old, live.where("doc_id % 11 <> 0").select("path", "sha256", "size"))
 
 
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog on two volumes, live and in five snapshots: each lacks some files, has some others' contents, leaves some unhashed, and has some that are gone."""
+    live = files(spark, sf_dir).withColumn("volume", F.col("doc_id") % 2 * 1048576)
+    n, store = F.col("doc_id"), F.col("store")
+    old = live.withColumn("store", F.explode(F.sequence(F.lit(0), F.lit(4)))).where((n + store) % 9 != 0)
+    sha = F.when((n + store) % 7 == 0, F.sha2("sha256", 256)).when((n + store) % 5 != 0, F.col("sha256"))
+    old = old.select("volume", store.cast("int").alias("store"), F.when(store % 2 == 0, F.upper("path")).otherwise(F.col("path")).alias("path"), (n + 100 * store).alias("mft_record"), (F.col("size") + F.when((n + store) % 13 == 0, 1).otherwise(0)).alias("size"), sha.alias("sha256"))
+    return old.unionByName(live.where(n % 11 != 0).select("volume", F.lit(None).cast("int").alias("store"), "path", n.alias("mft_record"), "size", "sha256"))
+
+
+_SNAPSHOTS = rf"""WITH live AS (SELECT *, doc_id % 2 * 1048576 AS volume FROM {_FILES}),
+s AS (SELECT l.volume, store, CASE WHEN store % 2 = 0 THEN upper(path) ELSE path END AS path, doc_id, doc_id + 100 * store AS mft_record, size + CASE WHEN (doc_id + store) % 13 = 0 THEN 1 ELSE 0 END AS size,
+ CASE WHEN doc_id % 11 = 0 THEN 'nur_im_snapshot' WHEN (doc_id + store) % 13 = 0 OR (doc_id + store) % 7 = 0 THEN 'inhalt_abweichend' WHEN (doc_id + store) % 5 = 0 THEN 'nicht_pruefbar' END AS status FROM live l, range(5) r(store) WHERE (doc_id + store) % 9 <> 0)"""
+
+
+@query(rf"""{_SNAPSHOTS} SELECT volume, store::INT AS store, regexp_extract(path, '([^\\]*)$', 1) AS name, path AS source, status, size::VARCHAR AS size, CASE WHEN doc_id % 11 <> 0 THEN doc_id::VARCHAR END AS live_record FROM s WHERE status IS NOT NULL ORDER BY volume, store, path, mft_record LIMIT 700""")
+def snapshot_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differing files of five snapshots in one window, the first 700."""
+    found = catalog.snapshot_findings(catalog.snapshot_statuses(_snapshots(spark, sf_dir)), 700)[0]
+    return found.select("volume", "store", "name", "source", F.col("attributes.status").alias("status"), F.col("attributes.groesse").alias("size"), F.col("attributes.live_mft_record").alias("live_record"))
+
+
+@query(f"""{_SNAPSHOTS} SELECT volume, store::INT AS store, 'Schattenkopie ' || (store + 1) AS name, count(*)::VARCHAR AS files, (count(*) FILTER (status = 'nur_im_snapshot'))::VARCHAR AS only_there, (count(*) FILTER (status = 'inhalt_abweichend'))::VARCHAR AS different, (count(*) FILTER (status = 'nicht_pruefbar'))::VARCHAR AS unknown,
+ greatest((SELECT count(*) FROM s WHERE status IS NOT NULL) - 700, 0) AS left_out FROM s GROUP BY ALL""")
+def snapshot_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each snapshot with its counts, and how many differing files are not told one by one."""
+    statuses = catalog.snapshot_statuses(_snapshots(spark, sf_dir))
+    of = lambda name, alias: F.col("attributes")[name].alias(alias)
+    counts = catalog.snapshot_summaries(statuses).select("volume", "store", "name", of("dateien_im_snapshot", "files"), of("nur_im_snapshot", "only_there"), of("inhalt_abweichend", "different"), of("nicht_pruefbar", "unknown"))
+    return counts.crossJoin(F.broadcast(catalog.snapshot_findings(statuses, 700)[1]))  # one row
+
+
 @query(f"SELECT f.doc_id AS evidence_id, first_id FROM {_FILES} f JOIN (SELECT source, sha256, min(doc_id) AS first_id FROM {_FILES} GROUP BY 1, 2) g ON f.source = g.source AND f.sha256 = g.sha256 AND f.doc_id > first_id")
 def same_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.same_source(files(spark, sf_dir).select("doc_id", "source", "sha256"), "source", "doc_id", "sha256")
