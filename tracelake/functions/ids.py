@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions.binding import once
+
 #: fixed value: the namespace of derived ids
 NAMESPACE_HEX = "5f3c2a917d4e4b0a9c618e2d04b7a3f5"
 
@@ -29,10 +31,14 @@ def uuid_bytes(text: Column) -> Column:
 
 def derived_uuid(kind: str, *parts: Column) -> Column:
     """UUID version 5 of kind and parts; strings count as UTF-8, binary parts as they are."""
-    data = F.concat(F.unhex(F.lit(NAMESPACE_HEX)), length_prefixed(_bytes(kind)), *(length_prefixed(p) for p in parts))
-    h = F.sha1(data)
-    variant = F.lower(F.conv((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8).cast("string"), 10, 16))
-    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+    head = F.concat(F.unhex(F.lit(NAMESPACE_HEX)), length_prefixed(_bytes(kind)))
+
+    def written(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+        return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+    # each part and the hash are used several times
+    return once(F.sha1(F.concat(head, *(once(p, length_prefixed) for p in parts))), written)
 
 
 def text_part(text: Column) -> Column:

@@ -8,11 +8,13 @@ than the limit, has a defined result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions.binding import once
+
 #: levels that are opened; what lies deeper is masked
 DEEPEST = 64
 #: fixed values
@@ -51,10 +53,6 @@ def _array(*nodes: Column) -> Column:
     return F.array(*nodes).cast(_NODES)
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _expanded(node: Column, always: Sequence[str], scoped: str, flag: str) -> Column:
     """What stands for an open node one round later."""
     members = F.try_variant_get(node["value"], "$", "map<string,variant>")
@@ -77,7 +75,7 @@ def _expanded(node: Column, always: Sequence[str], scoped: str, flag: str) -> Co
         element = lambda v, k: _array(_text(F.when(k > 0, ",").otherwise(""), F.when(k > 0, " ").otherwise("")), _open(v, node["secret"]))
         return F.concat(_array(_text("[", "")), F.flatten(F.transform(own, element)), _array(_text("]", "")))
 
-    return F.when(node["kind"] == "done", _array(node)).when(members.isNotNull(), _with(members, object_nodes)).when(elements.isNotNull(), _with(elements, array_nodes)).otherwise(_array(node))
+    return F.when(node["kind"] == "done", _array(node)).when(members.isNotNull(), once(members, object_nodes)).when(elements.isNotNull(), once(elements, array_nodes)).otherwise(_array(node))
 
 
 def _closed(node: Column) -> Column:
@@ -106,7 +104,7 @@ def masked(document: Column, secret: Column | None = None, always: Sequence[str]
         opened = F.aggregate(rounds, first, lambda now, _: F.flatten(F.transform(now, lambda n: _expanded(n, always, scoped, flag))).cast(_NODES))
         nodes = F.transform(opened, _closed).cast(_NODES)
         said = lambda name, mask: lambda n: F.when(n["kind"] == "open", mask).otherwise(n[name])
-        made = _with(nodes, lambda ns: F.struct(F.array_join(F.transform(ns, said("json", f'"{MASK}"')), "").alias("json"), F.array_join(F.transform(ns, said("text", MASK)), "").alias("text"), F.exists(ns, lambda n: n["kind"] == "open").alias("too_deep")))
+        made = once(nodes, lambda ns: F.struct(F.array_join(F.transform(ns, said("json", f'"{MASK}"')), "").alias("json"), F.array_join(F.transform(ns, said("text", MASK)), "").alias("text"), F.exists(ns, lambda n: n["kind"] == "open").alias("too_deep")))
         return F.when(v.isNotNull(), made)
 
-    return _with(value, whole)
+    return once(value, whole)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions.binding import once
+
 #: fixed values: token characters, the longest token, and the hits of one content
 TOKEN, MOST_TOKEN, MOST_HITS = "A-Za-z0-9.:_%-", 128, 500
 
@@ -17,11 +17,6 @@ _GROUP = "[0-9A-Fa-f]{1,4}"
 _IPV6 = rf"^(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?)$"
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def is_ipv4(text: Column) -> Column:
     """Four decimal numbers to 255 without leading zeros."""
     return text.rlike(f"^{_IPV4}$")
@@ -64,9 +59,9 @@ def ipv6_canonical(text: Column) -> Column:
     def sound(groups: Column) -> Column:
         # a double colon stands for at least one group
         few = (F.size(F.filter(F.split(groups, ":"), lambda g: g != "")) <= 7) | ~groups.contains("::")
-        return F.when(groups.rlike(_IPV6) & few, _with(_eight(groups), _shortened))
+        return F.when(groups.rlike(_IPV6) & few, once(_eight(groups), _shortened))
 
-    return _with(_hex_groups(text), sound)
+    return once(_hex_groups(text), sound)
 
 
 def ip_canonical(text: Column) -> Column:
@@ -98,15 +93,15 @@ def _hits(content: Column, encoding: str, width: int) -> Column:
 
     def parted(m: Column) -> Column:
         token = F.regexp_extract(F.right(m, F.lit(width * (MOST_TOKEN + 1))), at_end, 1)
-        return _with(token, lambda t: F.struct((F.length(m) - F.length(t)).alias("gap"), F.length(t).alias("size"), (F.replace(t, F.lit("\0"), F.lit("")) if width == 2 else t).alias("token")))
+        return once(token, lambda t: F.struct((F.length(m) - F.length(t)).alias("gap"), F.length(t).alias("size"), (F.replace(t, F.lit("\0"), F.lit("")) if width == 2 else t).alias("token")))
 
     parts = F.transform(matches, parted)
 
     def with_address(p: Column) -> Column:
         plain = F.regexp_replace(F.when(F.length(p["token"]) <= MOST_TOKEN, p["token"]), r"\.+$", "")
         port = lambda t: F.regexp_extract(t, f"^{_IPV4}:([0-9]{{1,5}})$", 1)
-        original = _with(plain, lambda t: F.when(t.rlike(f"^{_IPV4}:[0-9]{{1,5}}$") & (F.when(port(t) != "", port(t)).cast("int") <= 65535), F.substring_index(t, ":", 1)).otherwise(t))
-        return _with(original, lambda t: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), t.alias("original"), ip_canonical(t).alias("address")))
+        original = once(plain, lambda t: F.when(t.rlike(f"^{_IPV4}:[0-9]{{1,5}}$") & (F.when(port(t) != "", port(t)).cast("int") <= 65535), F.substring_index(t, ":", 1)).otherwise(t))
+        return once(original, lambda t: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), t.alias("original"), ip_canonical(t).alias("address")))
 
     def add(state: Column, p: Column) -> Column:
         start = state["at"] + p["gap"]
@@ -129,8 +124,8 @@ def addresses(content: Column, binary: bool, most: int = MOST_HITS) -> Column:
     # most contents hold nothing of the form, which a plain search tells sooner
     reading = lambda text, form, *how: F.when(text.rlike(form), _hits(text, *how)).otherwise(F.array().cast(f"array<{_HIT}>"))
     if binary:
-        found = _with(F.decode(content, "ISO-8859-1"), lambda latin: F.array_sort(F.concat(reading(latin, dotted, "ascii", 1), reading(latin, paired, "utf16le", 2))))
+        found = once(F.decode(content, "ISO-8859-1"), lambda latin: F.array_sort(F.concat(reading(latin, dotted, "ascii", 1), reading(latin, paired, "utf16le", 2))))
     else:
         found = reading(content, dotted, "text", 1)
     fields = ("start", "encoding", "address", "original", "kind", "bytes")
-    return _with(found, lambda hits: F.array_sort(F.transform(F.slice(hits, 1, most), lambda h: F.struct(*(h[n].alias(n) for n in fields), (F.size(hits) > most).alias("limited")))))
+    return once(found, lambda hits: F.array_sort(F.transform(F.slice(hits, 1, most), lambda h: F.struct(*(h[n].alias(n) for n in fields), (F.size(hits) > most).alias("limited")))))

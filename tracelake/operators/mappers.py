@@ -139,8 +139,12 @@ def _edge(kind: str | Column, source_kind: Column | str, source_key: Column, tar
     return F.when(known, F.struct(lit(kind).alias("kind"), lit(source_kind).alias("source_kind"), source_key.alias("source_key"), lit(target_kind).alias("target_kind"), target_key.alias("target_key")))
 
 
-def stated_edges() -> Column:
-    """The relationships that a finding states: an array of kind and both ends (kind and key)."""
+#: domains whose findings state relationships
+STATING = ("useraktivitaet", "persistence", "lsa", "dpapi", "usb", "browser")
+
+
+def stated_edges() -> dict[tuple[str, ...], Column]:
+    """The relationships that a finding states, by domains: an array of kind and both ends (kind and key), or nulls."""
     domain, art, place, name = F.col("domain"), attribute("art"), attribute("ort"), F.col("name")
     host = F.when(F.coalesce("host", F.lit("")) != "", F.concat(F.lit("host:"), F.lower("host")))
     user = _owner()
@@ -165,5 +169,4 @@ def stated_edges() -> Column:
     visitor = textfn.user_canonical(_null(), _null(), F.coalesce(attribute("benutzer"), textfn.user_from_path(F.col("source"))))
     opened = file_key(textfn.file_url_path(url))
     visits = F.array(_edge("USES", "windows_user", visitor, "url", textfn.url_canonical(url)), _edge("REFERENCES", "url", textfn.url_canonical(url), "file", opened))
-    by_domain = F.when(domain == "useraktivitaet", active).when(domain == "persistence", persists).when(domain.isin("lsa", "dpapi"), belongs).when(domain == "usb", usb).when(domain == "browser", visits)
-    return F.array_compact(F.coalesce(by_domain, F.slice(active, F.lit(1), F.lit(0))))
+    return {("useraktivitaet",): active, ("persistence",): persists, ("lsa", "dpapi"): belongs, ("usb",): usb, ("browser",): visits}

@@ -7,6 +7,9 @@ findings; an event seen twice is one event, and its later findings only support
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +86,8 @@ def file_key(path: Column) -> Column:
     return F.when(path.isNotNull(), F.coalesce(F.concat(F.lit("pfad:"), volume, rest), F.concat(F.lit("dateiname:"), F.lower(F.element_at(F.split(path, r"[\\/]"), -1)))))
 
 
-def _mapped() -> dict[str, dict[str, Column]]:
+def _mappers() -> dict[str, Callable[[], dict[str, Column]]]:
+    """Domain -> what makes its mapper; a mapper is made when it is needed, as its expressions take their time."""
     from tracelake.operators import mappers  # which builds on this module
 
     n = attribute("event_id")
@@ -98,7 +102,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
     url = F.coalesce(attribute("url"), F.col("name"))
     serial = F.coalesce(attribute("seriennummer"), F.col("name"))
     return {
-        "eventlog": {
+        "eventlog": lambda: {
             "kind": F.coalesce(_by_number(LOGON_KINDS, n), _by_number(CUSTOM_KINDS, n), F.lit("unbekannt")),
             "key": F.concat(F.lit("evtx:"), place, F.lit(":"), F.coalesce(attribute("event_record_id"), F.lit("0")), _origin()),
             "ticks": number("filetime"),
@@ -106,7 +110,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
             "located": attribute("mft_record").isNotNull() & number("datei_offset").isNotNull(),
             "participants": F.array(host, _person(F.when(F.coalesce(attribute("gruppe_sid"), attribute("gruppe")).isNotNull(), "subject").otherwise("user"), "benutzer", "benutzer_sid", "benutzer_domaene"), _person("actor", "ausfuehrender", "ausfuehrender_sid", "ausfuehrender_domaene"), _participant("object", "user_group", textfn.user_canonical(attribute("gruppe_sid"), F.lit(None).cast("string"), F.coalesce(attribute("gruppe"), attribute("gruppe_sid"))), F.coalesce(attribute("gruppe"), attribute("gruppe_sid"))), _participant("source", "ip_address", F.when(textfn.is_ipv4(ip), F.concat(F.lit("ip:"), ip)), ip)),
         },
-        "prefetch": {
+        "prefetch": lambda: {
             "kind": F.lit("process_start"),
             "key": F.concat(F.lit("prefetch:"), F.coalesce(attribute("volume_offset"), F.lit("?")), F.lit(":"), F.coalesce(attribute("mft_record"), F.lower(F.coalesce(attribute("prefetch_datei"), F.col("source")))), _origin()),
             "ticks": timefn.preferred_ticks(F.col("attributes"), "letzte_ausfuehrung"),
@@ -114,7 +118,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
             "located": attribute("mft_record").isNotNull(),
             "participants": F.array(_participant("executable", "application", F.concat(F.lit("programm:"), F.lower(program)), program), host),
         },
-        "programmausfuehrung": {
+        "programmausfuehrung": lambda: {
             "kind": F.when(source == "amcache", "amcache_recorded").when(source == "shimcache", "file_modified").when(is_bam, "process_start"),
             "key": F.when(source == "amcache", F.concat(registry, _origin())).when(source == "shimcache", F.concat(registry, F.lit(":"), F.coalesce(attribute("eintrag"), F.lit("?")), _origin())).otherwise(F.concat(registry, F.lit(":"), F.col("name"), _origin())),
             "ticks": F.when(source == "amcache", timefn.preferred_ticks(F.col("attributes"), "registriert")).when(source == "shimcache", timefn.preferred_ticks(F.col("attributes"), "letzte_aenderung")).otherwise(timefn.preferred_ticks(F.col("attributes"), "letzte_ausfuehrung")),
@@ -122,7 +126,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
             "located": number("hive_offset").isNotNull(),
             "participants": F.array(_participant(F.when(is_bam, "executable").otherwise("file"), "file", file_key(path), path), F.when(is_bam, _person("user", "benutzer", "sid", "benutzer_domaene")), host),
         },
-        "browser": {
+        "browser": lambda: {
             "kind": F.lit("web_visit"),
             "key": F.concat(F.lit("verlauf:"), F.col("source"), F.lit(":"), F.coalesce(attribute("eintrag_id"), url), _origin()),
             "ticks": timefn.preferred_ticks(F.col("attributes"), "besucht"),
@@ -130,7 +134,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
             "located": attribute("mft_record").isNotNull(),
             "participants": F.array(_participant("target", "url", textfn.url_canonical(url), url), _participant("user", "windows_user", textfn.user_canonical(F.lit(None).cast("string"), F.lit(None).cast("string"), textfn.user_from_path(F.col("source"))), textfn.user_from_path(F.col("source"))), host),
         },
-        "usb": {
+        "usb": lambda: {
             "kind": F.lit("device_connected"),
             "key": F.concat(registry, _origin()),
             "ticks": timefn.preferred_ticks(F.col("attributes"), "letzte_verbindung"),
@@ -138,7 +142,7 @@ def _mapped() -> dict[str, dict[str, Column]]:
             "located": number("hive_offset").isNotNull(),
             "participants": F.array(_participant("device", "usb_device", F.concat(F.lit("usb:"), serial), F.col("name")), host),
         },
-        "srum": {
+        "srum": lambda: {
             "kind": F.lit("application_usage"),
             "key": F.concat(F.lit("srum:"), F.col("source"), F.lit(":"), F.coalesce(attribute("eintrag_id"), F.lit("?")), _origin()),
             "ticks": timefn.preferred_ticks(F.col("attributes"), "zeit"),
@@ -146,27 +150,42 @@ def _mapped() -> dict[str, dict[str, Column]]:
             "located": attribute("mft_record").isNotNull(),
             "participants": F.array(_participant("executable", "application", F.concat(F.lit("programm:"), F.lower(F.col("name"))), F.col("name")), _person("user", "benutzer", "sid", "benutzer_domaene"), host),
         },
-        "useraktivitaet": mappers.activity(host),
-        "persistence": mappers.persistence(host),
-        "lsa": mappers.credentials(host),
-        "dpapi": mappers.credentials(host),
+        "useraktivitaet": lambda: mappers.activity(host),
+        "persistence": lambda: mappers.persistence(host),
+        "lsa": lambda: mappers.credentials(host),
+        "dpapi": lambda: mappers.credentials(host),
     }
 
 
-def map_findings(findings: DataFrame, case_hex: str) -> DataFrame:
-    """Findings (ordinal, domain, name, source, attributes, host) with kind, key, time, derivation, participants and event id; ``mapped`` tells whether its domain has a mapper, ``kind`` is null without an event, and ``told`` whether there is one with a time (a short test, which filters can push down)."""
-    mappers = _mapped()
-    out = findings
-    for field in ("kind", "key", "ticks", "derivation", "located", "participants"):
-        value = F.lit(None)
-        for domain, mapper in mappers.items():
-            value = F.when(F.col("domain") == domain, mapper[field]).otherwise(value)
-        out = out.withColumn(f"m_{field}", F.array_compact(value) if field == "participants" else value)
-    # one conversion for all mappers, over a column, so that its expression is not repeated for each
-    out = out.withColumns({"mapped": F.col("domain").isin(*mappers), "told": F.col("m_kind").isNotNull() & F.coalesce(F.col("m_ticks") != 0, F.lit(False)), "m_time": timefn.filetime_iso(F.col("m_ticks"))}).drop("m_ticks")
+def present_domains(findings: DataFrame) -> list[str]:
+    """The domains with a mapper that findings have: a scan of one column, and no more names than there are mappers."""
+    return sorted(r.domain for r in findings.where(F.col("domain").isin(*_mappers())).select("domain").distinct().collect())
+
+
+def map_findings(findings: DataFrame, case_hex: str, domains: Sequence[str] | None = None) -> DataFrame:
+    """Findings (ordinal, domain, name, source, attributes, host) with kind, key, time, derivation, participants and event id; ``mapped`` tells whether its domain has a mapper, ``kind`` is null without an event, and ``told`` whether there is one with a time (a short test, which filters can push down).
+
+    Each domain is a filter and a projection of its own, so that no generated code holds all mappers. With ``domains`` (``present_domains``) the others' findings are taken as if they had no mapper, which spares their part of the plan.
+    """
+    mappers = {d: m() for d, m in _mappers().items() if domains is None or d in domains}
+    fields = {"kind": "string", "key": "string", "ticks": "bigint", "derivation": "string", "located": "boolean"}
+    people = "array<struct<role:string,entity_kind:string,canonical_key:string,name:string>>"
+
+    def branch(rows: DataFrame, mapper: dict[str, Column] | None) -> DataFrame:
+        of = lambda name: mapper[name] if mapper else F.lit(None)
+        who = F.array_compact(mapper["participants"]).cast(people) if mapper else F.lit(None).cast(people)
+        return rows.select(*findings.columns, *(of(name).cast(t).alias(f"m_{name}") for name, t in fields.items()), who.alias("m_participants"), F.lit(mapper is not None).alias("mapped"))
+
+    out = branch(findings.where(~F.coalesce(F.col("domain").isin(*mappers), F.lit(False))) if mappers else findings, None)
+    for domain, mapper in mappers.items():
+        out = out.unionByName(branch(findings.where(F.col("domain") == domain), mapper))
+    # a generator keeps the conversions in one place, behind the union
+    out = out.withColumn("told", F.col("m_kind").isNotNull() & F.coalesce(F.col("m_ticks") != 0, F.lit(False)))
     case = F.unhex(F.lit(case_hex))
     event = ids.derived_uuid("event", case, ids.text_part(F.col("m_kind")), ids.text_part(F.col("m_key")))
-    return out.withColumn("event_id", F.when(F.col("told"), event)).withColumnsRenamed({"m_kind": "kind", "m_key": "key", "m_time": "time", "m_derivation": "derivation", "m_located": "located", "m_participants": "participants"})
+    made = F.struct(timefn.filetime_iso(F.col("m_ticks")).alias("time"), F.when(F.col("told"), event).alias("event_id"))
+    out = out.select(*findings.columns, "m_kind", "m_key", "m_derivation", "m_located", "m_participants", "mapped", "told", F.inline(F.array(made)))
+    return out.withColumnsRenamed({"m_kind": "kind", "m_key": "key", "m_derivation": "derivation", "m_located": "located", "m_participants": "participants"})
 
 
 def entity_id(case_hex: str, kind: Column, key: Column) -> Column:
@@ -198,8 +217,18 @@ def provenance(mapped: DataFrame) -> DataFrame:
     return model.provenance_roles(mapped.where("told"), ["event_id"], ["ordinal"]).select("event_id", "ordinal", "role")
 
 
-def relationships(mapped: DataFrame, case_hex: str) -> DataFrame:
-    """Edges that findings state: a user's account on a host, membership in a group, a program's file hash, and those of ``mappers.stated_edges``."""
+def stated_edges() -> Column:
+    """The relationships that a finding of any domain states: an array of kind and both ends (kind and key)."""
+    from tracelake.operators import mappers
+
+    found = F.lit(None)
+    for domains, edges in mappers.stated_edges().items():
+        found = F.when(F.col("domain").isin(*domains), edges).otherwise(found)
+    return F.array_compact(F.coalesce(found, F.array()))
+
+
+def relationships(mapped: DataFrame, case_hex: str, domains: Sequence[str] | None = None) -> DataFrame:
+    """Edges that findings state: a user's account on a host, membership in a group, a program's file hash, and those of ``mappers.stated_edges``, of ``domains`` if given."""
     p = lambda role: F.try_element_at(F.filter("participants", lambda x: x["role"] == role), F.lit(1))
     # a generator of one row: the participants' expressions are evaluated once, and not once for each use of an end
     ends = mapped.select("ordinal", F.inline(F.array(F.struct(*(p(r).alias(r) for r in ("user", "host", "subject", "object", "file")), textfn.hash_canonical(F.lit("sha1"), attribute("sha1")).alias("sha1")))))
@@ -211,14 +240,28 @@ def relationships(mapped: DataFrame, case_hex: str) -> DataFrame:
     ]
     from tracelake.operators import mappers
 
-    stated = mapped.select("ordinal", F.inline(mappers.stated_edges()))
-    edges.append(stated.select("ordinal", "kind", entity_id(case_hex, F.col("source_kind"), F.col("source_key")), entity_id(case_hex, F.col("target_kind"), F.col("target_key"))))
+    for of, found in (mappers.stated_edges() if domains is None or set(domains) & set(mappers.STATING) else {}).items():
+        if own := [d for d in of if domains is None or d in domains]:
+            stated = mapped.where(F.col("domain").isin(*own)).select("ordinal", F.inline(F.array_compact(found)))
+            edges.append(stated.select("ordinal", "kind", entity_id(case_hex, F.col("source_kind"), F.col("source_key")), entity_id(case_hex, F.col("target_kind"), F.col("target_key"))))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
     return out.where("source IS NOT NULL AND target IS NOT NULL").groupBy("kind", "source", "target").agg(F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("n_sources"))
 
 
+def write_model(findings: DataFrame, case_hex: str, folder: str) -> None:
+    """Findings mapped and written as ``mapped``, and the model's tables made of it, one Parquet table each: event, participant, entity, relationship, provenance. Those of an earlier run are replaced."""
+    spark = findings.sparkSession
+    domains = present_domains(findings)
+    where = lambda name: os.path.join(folder, name)
+    map_findings(findings, case_hex, domains).write.mode("overwrite").parquet(where("mapped"))
+    mapped = spark.read.parquet(where("mapped"))
+    tables = {"event": events(mapped), "participant": participants(mapped, case_hex), "entity": entities(mapped, case_hex), "relationship": relationships(mapped, case_hex, domains), "provenance": provenance(mapped)}
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(where(name))
+
+
 def statistics(mapped: DataFrame) -> DataFrame:
     """Findings by domain: mapped, without a mapper, and with an incomplete locator."""
     known = F.col("mapped")

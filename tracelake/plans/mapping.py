@@ -70,7 +70,7 @@ _EDGES = r"""(0, 'USES', 'name:ann', 'pfad:c:\tools\a.exe'), (1, 'USES', 'name:a
 @query(f"SELECT p_partkey, n::BIGINT AS n, kind, replace(source_key, 'HOST', 'pc' || p_partkey) AS source_key, replace(target_key, 'HOST', 'pc' || p_partkey) AS target_key FROM part, (VALUES {_EDGES}) v(n, kind, source_key, target_key)")
 def stated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relationships that findings state, by the keys of their ends."""
-    return findings(spark, sf_dir).select("p_partkey", "n", F.inline(mappers.stated_edges())).select("p_partkey", "n", "kind", "source_key", "target_key")
+    return findings(spark, sf_dir).select("p_partkey", "n", F.inline(normalize.stated_edges())).select("p_partkey", "n", "kind", "source_key", "target_key")
 
 
 @query("""SELECT domain, n * (SELECT count(*) FROM part) AS mapped, 0::BIGINT AS no_mapper, i * (SELECT count(*) FROM part) AS incomplete_locator FROM (VALUES ('useraktivitaet', 6, 1), ('persistence', 4, 1), ('lsa', 1, 0), ('dpapi', 1, 0), ('usb', 1, 1), ('browser', 1, 1)) v(domain, n, i)""")
