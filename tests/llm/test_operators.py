@@ -372,6 +372,31 @@ def test_pieces_keep_block_characters(spark, words):
     assert all(out[i].ids == plain[i] for i in (4, 6, 7))
 
 
+def _shuffled(spark) -> int:
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_only_rare_words_are_shuffled(spark):
+    """Of more words than are broadcast, the frequent ones stay where they are; ids are those of the broadcast, copies and nulls included."""
+    _, model = _model()
+    rnd = random.Random(7)
+    often = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)]
+    once = lambda k: f"q{k}zx漢{k}"
+    texts = [" ".join([once(k), *rnd.choices(often, k=2000), once(k), once(-k)]) for k in range(1, 60)]
+    texts += [texts[0], texts[1], texts[0], "", None, " ", " ".join(often), once(3)]
+    docs = frame(spark, list(enumerate(texts)))
+    wanted = {r.doc_id: r.ids for r in pieces.encode(docs, model).collect()}
+    for words in (0, 100, 400):
+        encoded = pieces.encode(docs, model, words, extras=("ids", "round_trip"))
+        before = _shuffled(spark)
+        got = encoded.collect()
+        if words == 400:
+            assert _shuffled(spark) - before < 1.5 * sum(len(t or "") for t in texts)
+        assert {r.doc_id: r.ids for r in got} == wanted and all(r.round_trip for r in got)
+    assert pieces.least_times(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 9)], "word string, times bigint"), 2) == 4
+
+
 def test_pipeline_keeps_what_does_not_decode(spark, monkeypatch):
     """Every row comes back, whether or not its pieces decode to its text."""
     import corpus_pipeline

@@ -15,7 +15,8 @@ can be encoded apart and every distinct word only once:
    A character that no piece covers costs 10 more than the worst piece and
    becomes its bytes' pieces (or the unknown piece). Ties go to the longer last piece.
 4. The words' ids go back to the texts: from a broadcast, if the distinct words are at most
-   ``broadcast_words`` (counted first), else by a join on the word and a regrouping by document.
+   ``broadcast_words`` (counted first). Of more, the most frequent ones are broadcast, and only the occurrences of the
+   others are shuffled: joined on the word, grouped by text and joined to the documents, where each fills its place.
 
 Scores are those of the model file, as a unigram model uses them. (The public file at hand holds a BPE
 vocabulary; its ids here are those of the best path over its scores, not of its merges, and decode to
@@ -297,6 +298,16 @@ def encoded_words(words: DataFrame, model: Model) -> DataFrame:
     return found.unionByName(rest) if long.take(1) else found
 
 
+def least_times(words: DataFrame, most: int) -> int:
+    """Words that occur so many times are at most ``most``: 1 if all of them are, else a power of two, by the counts of each binary length."""
+    n = 0
+    for bits, count in sorted(words.groupBy(F.length(F.bin("times"))).count().collect(), reverse=True):
+        n += count
+        if n > most:
+            return 1 << bits
+    return 1
+
+
 class Dictionary(NamedTuple):
     """Word hashes, sorted, and each one's ids."""
 
@@ -304,6 +315,12 @@ class Dictionary(NamedTuple):
     at: np.ndarray
     ids: np.ndarray
 
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Which words are here."""
+        if not len(self.hashes):
+            return np.zeros(len(h), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words on end, and how many each has."""
         k = np.searchsorted(self.hashes, h)
@@ -311,9 +328,24 @@ class Dictionary(NamedTuple):
         n = self.at[k + 1] - start
         return self.ids[tb.ranges(start, n)].astype(np.int32), n
 
-
-def dictionary(words: DataFrame, cutter) -> Dictionary:
-    """All encoded words, packed by the executors; only for a counted, bounded number of words."""
+    def look_up_with(self, h: np.ndarray, others: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, where ``others`` holds the ids of each word that isn't here, in order."""
+        known = self.known(h)
+        if len(others) != len(h) - known.sum():
+            raise ValueError("a word has no ids")
+        n = np.empty(len(h), np.int64)
+        ids, n[known] = self.look_up(h[known])
+        n[~known] = np.diff(others.offsets.to_numpy())
+        start = np.cumsum(n) - n
+        out = np.empty(n.sum(), np.int32)
+        out[tb.ranges(start[known], n[known])] = ids
+        out[tb.ranges(start[~known], n[~known])] = others.flatten().to_numpy(zero_copy_only=False)
+        return out, n
+
+
+def dictionary(words: DataFrame, cutter, n_ids: int) -> Dictionary:
+    """All encoded words, packed by the executors; only for a counted, bounded number of words. Ids are below ``n_ids``."""
+    kind = np.uint16 if n_ids <= 1 << 16 else np.int32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,19 +353,26 @@ def dictionary(words: DataFrame, cutter) -> Dictionary:
             h = np.concatenate([cutter.value.hash_rows(p) for p in tb.pieces(column)]) if len(column) else np.zeros(0, np.uint64)
             ids = batch.column(1)
             n = np.diff(ids.offsets.to_numpy()).astype(np.int32)
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(kind)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, n, flat)], names=["h", "n", "ids"])
 
-    parts = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.int32), np.frombuffer(r.ids, np.int32)) for r in words.select("word", "ids").mapInArrow(run, "h binary, n binary, ids binary").toLocalIterator()]
+    parts = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.int32), np.frombuffer(r.ids, kind)) for r in words.select("word", "ids").mapInArrow(run, "h binary, n binary, ids binary").toLocalIterator()]
     if not parts:
-        return Dictionary(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        return Dictionary(np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, kind))
     h, n, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
     order = np.argsort(h, kind="stable")
-    if (h[order][1:] == h[order][:-1]).any():
+    h = h[order]
+    if (h[1:] == h[:-1]).any():
         raise ValueError("two words have one 64-bit hash")
-    at = np.concatenate([[0], np.cumsum(n)])
-    ids = ids[tb.ranges(at[:-1][order], n[order])]
-    return Dictionary(h[order], np.concatenate([[0], np.cumsum(n[order])]).astype(np.uint32), ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids)
+    start = (np.cumsum(n, dtype=np.int64) - n)[order]
+    n = n[order]
+    at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.uint32)
+    out = np.empty(len(ids), kind)
+    for i in range(0, len(n), TASK_WORDS):  # some at a time, as the places take four times as much as the ids
+        j = min(i + TASK_WORDS, len(n))
+        out[at[i] : at[j]] = ids[tb.ranges(start[i:j], n[i:j].astype(np.int64))]
+    return Dictionary(h, at, out)
 
 
 EXTRAS = {"ids": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "round_trip": T.BooleanType()}
@@ -368,49 +407,60 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
     at_text = source.columns.index(scanned)
     schema = T.StructType([*(source.schema[c] for c in names), *(T.StructField(x, EXTRAS[x]) for x in extras)])
     spelled_out = spark.sparkContext.broadcast(model)
-    if words.count() <= broadcast_words:
-        table = spark.sparkContext.broadcast(dictionary(words, cutter))
+    least = least_times(words, broadcast_words)
+    table = spark.sparkContext.broadcast(dictionary(words.where(F.col("times") >= least), cutter, len(model.outputs)))
+
+    def fill(batch: pa.RecordBatch, others: pa.ListArray | None) -> Iterator[pa.RecordBatch]:
+        for piece in tb.pieces(batch.column(at_text)):
+            part = batch.slice(piece.first, piece.last - piece.first)
+            texts = part.column(at_text).to_pylist()
+            _, _, row, h = cutter.value.cut(piece)
+            ids, n = table.value.look_up(h) if others is None else table.value.look_up_with(h, others.slice(piece.first, part.num_rows).flatten())
+            at = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=part.num_rows))]).astype(np.int64)
+            each = [None if t is None else ids[at[k] : at[k + 1]] for k, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(_extra(x, each, texts, spelled_out.value) for x in extras)], names=schema.names)
+
+    if least == 1:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece in tb.pieces(batch.column(at_text)):
-                    part = batch.slice(piece.first, piece.last - piece.first)
-                    texts = part.column(at_text).to_pylist()
-                    _, _, row, h = cutter.value.cut(piece)
-                    ids, n = table.value.look_up(h)
-                    at = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=part.num_rows))]).astype(np.int64)
-                    each = [None if t is None else ids[at[k] : at[k + 1]] for k, t in enumerate(texts)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(_extra(x, each, texts, spelled_out.value) for x in extras)], names=schema.names)
+                yield from fill(batch, None)
 
         return source.mapInArrow(run, schema)
 
+    rare = words.where(F.col("times") < least).select("word", F.col("ids").alias("word_ids"))
+
+    def clashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tb.pieces(batch.column(0)):
+                yield batch.slice(piece.first, piece.last - piece.first).filter(pa.array(table.value.known(cutter.value.hash_rows(piece))))
+
+    if rare.select("word").mapInArrow(clashes, "word string").take(1):
+        raise ValueError("two words have one 64-bit hash")
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places, counted in their text, of the words that the dictionary lacks."""
         for batch in batches:
-            base = 0
-            keys = batch.column(1)
             for piece in tb.pieces(batch.column(0)):
-                whole, at, row, _ = cutter.value.cut(piece)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + base)), pa.array(np.arange(len(row))), pa.array([whole[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())], names=["key", "place", "word"])
-                base += piece.last - piece.first
+                whole, at, row, h = cutter.value.cut(piece)
+                k = np.flatnonzero(~table.value.known(h))
+                found = [whole[a:z] for a, z in zip(at[k].tolist(), at[k + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row[k] + piece.first)), pa.array((k - np.searchsorted(row, row[k])).astype(np.int32)), pa.array(found, pa.string())], names=["key", "place", "word"])
 
-    # equal texts have equal ids, so texts are keyed by digest and encoded once
+    # equal texts have equal ids, so texts are keyed by 128-bit digests, and copies of a place count once
     key, joined_ids = unused(source, "key"), unused(source, "ids_in")
-    keyed = source.withColumn(key, F.sha2(F.encode(scanned, "UTF-8"), 256))
-    texts = keyed.where(F.col(scanned).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.first(scanned).alias("text")).select("text", "key")
-    parts = texts.mapInArrow(spread, "key string, place bigint, word string").join(words.select("word", F.col("ids").alias("word_ids")), "word")
-    whole = parts.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "word_ids"))), lambda x: x["word_ids"])).alias("ids"))
-    none = F.when(F.col(scanned).isNotNull(), F.array().cast("array<int>"))
-    whole = whole.select(F.col("key").alias(key), F.col("ids").alias(joined_ids))
-    joined = keyed.join(whole, key, "left").select(*(F.col(f"`{c}`") for c in source.columns), F.coalesce(joined_ids, none).alias(joined_ids))
+    keyed = source.withColumn(key, F.substring(F.unhex(F.sha2(F.encode(scanned, "UTF-8"), 256)), 1, 16))
+    parts = keyed.where(F.col(scanned).isNotNull()).select(scanned, key).mapInArrow(spread, "key binary, place int, word string").join(rare, "word")
+    places = parts.select("key", "place", "word_ids").repartition("key").groupBy("key", "place").agg(F.first("word_ids").alias("word_ids"))
+    whole = places.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word_ids"))), lambda x: x["word_ids"]).alias(joined_ids))
+    joined = keyed.join(whole.withColumnRenamed("key", key), key, "left").select(*(F.col(f"`{c}`") for c in source.columns), joined_ids)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, DECODED_ROWS):
                 part = batch.slice(start, DECODED_ROWS)
-                each = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in part.column(len(source_names))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(_extra(x, each, part.column(at_text).to_pylist(), spelled_out.value) for x in extras)], names=schema.names)
+                yield from fill(part, part.column(part.num_columns - 1))
 
-    source_names = source.columns
     return joined.mapInArrow(finish, schema)
 
 
