@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import bound_batches, saved, slices, unused
+from .sparkio import bound_batches, lean, saved, slices, unused
 
 SPACE = "▁"
 SHORT = 64
@@ -173,7 +173,7 @@ def distinct_words(docs: DataFrame, cutter) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "word string, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
+    return docs.select("text").mapInArrow(lean(run), "word string, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -356,7 +356,7 @@ def dictionary(words: DataFrame, cutter, n_ids: int) -> Dictionary:
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(kind)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, n, flat)], names=["h", "n", "ids"])
 
-    parts = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.int32), np.frombuffer(r.ids, kind)) for r in words.select("word", "ids").mapInArrow(run, "h binary, n binary, ids binary").toLocalIterator()]
+    parts = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.int32), np.frombuffer(r.ids, kind)) for r in words.select("word", "ids").mapInArrow(lean(run), "h binary, n binary, ids binary").toLocalIterator()]
     if not parts:
         return Dictionary(np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, kind))
     h, n, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -426,7 +426,7 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
             for batch in batches:
                 yield from fill(batch, None)
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(lean(run), schema)
 
     rare = words.where(F.col("times") < least).select("word", F.col("ids").alias("word_ids"))
 
@@ -450,7 +450,7 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
     # equal texts have equal ids, so texts are keyed by 128-bit digests, and copies of a place count once
     key, joined_ids = unused(source, "key"), unused(source, "ids_in")
     keyed = source.withColumn(key, F.substring(F.unhex(F.sha2(F.encode(scanned, "UTF-8"), 256)), 1, 16))
-    parts = keyed.where(F.col(scanned).isNotNull()).select(scanned, key).mapInArrow(spread, "key binary, place int, word string").join(rare, "word")
+    parts = keyed.where(F.col(scanned).isNotNull()).select(scanned, key).mapInArrow(lean(spread), "key binary, place int, word string").join(rare, "word")
     places = parts.select("key", "place", "word_ids").repartition("key").groupBy("key", "place").agg(F.first("word_ids").alias("word_ids"))
     whole = places.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word_ids"))), lambda x: x["word_ids"]).alias(joined_ids))
     joined = keyed.join(whole.withColumnRenamed("key", key), key, "left").select(*(F.col(f"`{c}`") for c in source.columns), joined_ids)
@@ -461,7 +461,7 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
                 part = batch.slice(start, DECODED_ROWS)
                 yield from fill(part, part.column(part.num_columns - 1))
 
-    return joined.mapInArrow(finish, schema)
+    return joined.mapInArrow(lean(finish), schema)
 
 
 def decode_ids(ids: list[int] | np.ndarray, model: Model) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,25 @@ def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def release_unused() -> None:
+    """Give freed memory back to the system: Spark keeps workers, with what earlier stages left in them, also while only the JVM works."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other libraries give it back by themselves
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` whose worker begins and ends each task without freed memory."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_unused()
+        yield from run(batches)
+        release_unused()
+
+    return released
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it again: work done once, safe from lost executors, lineage cut."""
     spark = df.sparkSession
