@@ -204,6 +204,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_few_edges_are_few_parts(spark, monkeypatch):
+    """A round's state has as many parts as its edges need, whatever the shuffles have."""
+    from tracelake.llm import components as module
+
+    parts, real = [], module.checkpointed
+    monkeypatch.setattr(module, "checkpointed", lambda df: (parts.append(df.rdd.getNumPartitions()), real(df))[1])
+    edges = spark.range(300).selectExpr("id + 1 AS a", "id - id % 3 AS b")
+    held = {"spark.sql.shuffle.partitions": "41", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = components(edges).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.node for r in got} == set(range(301)) and {r.label for r in got} == {0}
+    assert len(parts) > 2 and max(parts[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_sentence_spans(spark):
     rows = [r for r in fixture(9) if r[0] is not None]
     got = rows_of(spans.remove_repeated_spans(frame(spark, [*rows, (None, rows[0][1])])), "doc_id", "n_sentences", "n_removed", "text")
@@ -410,6 +430,33 @@ def test_workers_give_freed_memory_back():
     assert rss() < before - 100 and last[0] == 1
 
 
+def test_pipeline_workers_are_lean(spark, monkeypatch):
+    """Every function of the pipeline's stages that goes to the workers gives freed memory back, and no table of theirs is made by more workers."""
+    import corpus_pipeline
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+    from pyspark.sql.pandas.map_ops import PandasMapOpsMixin
+
+    given = set()
+
+    def record(kind, name):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, run, *a, **b: (given.add((name, run.__module__, run.__qualname__.split(".")[0])), real(self, run, *a, **b))[1])
+
+    classes = {type(spark.range(1)), type(spark.range(1).groupBy("id")), PandasCogroupedOps, PandasMapOpsMixin, PandasGroupedOpsMixin}
+    for kind in classes:
+        for name in ("mapInArrow", "applyInArrow"):
+            if name in vars(kind):
+                record(kind, name)
+    docs = [(i, t, "en" if i % 2 else "de", "web", len(t)) for i, t in enumerate(texts(41, 120))]
+    now = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    benchmark = spark.createDataFrame([(1, docs[7][1])], "item_id bigint, text string")
+    monkeypatch.setattr(type(spark.read), "parquet", (lambda real: lambda self, path: benchmark if path.endswith("/benchmark.parquet") else real(self, path))(type(spark.read).parquet))
+    monkeypatch.setattr(spark.sparkContext, "parallelize", None)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, "none")
+    assert {n for n, _, _ in given} == {"mapInArrow", "applyInArrow"} and {(m, f) for _, m, f in given} <= {("tracelake.llm.sparkio", "lean"), ("tracelake.llm.sparkio", "lean_groups")}
+
+
 def test_pipeline_keeps_what_does_not_decode(spark, monkeypatch):
     """Every row comes back, whether or not its pieces decode to its text."""
     import corpus_pipeline

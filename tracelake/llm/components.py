@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparkio import checkpointed
+from .sparkio import checkpointed, slices
+
+PART_EDGES = 100_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,6 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least).distinct()
 
 
+def _packed(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges of which there are some ``rows``, in as many parts as they need, but one for each core: each round reads, and writes, every part."""
+    return edges.coalesce(slices(rows, PART_EDGES, edges.sparkSession.sparkContext.defaultParallelism))
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, for every node of the edges (a, b). Loops, repeats and direction do not matter."""
     now = checkpointed(edges.where("a <> b").select("a", "b").distinct())
@@ -34,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_packed(_small_star(_large_star(now)), state[0]))
     else:
         raise RuntimeError(f"no components after {rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("label"))

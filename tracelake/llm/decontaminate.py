@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import bound_batches, saved, unused
+from .sparkio import bound_batches, lean, saved, unused
 
 SHARD_BYTES = 1 << 22
 BLOCK_WORDS = 1 << 20
@@ -283,7 +283,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     arrays = [pa.array([f.hits for f in found], pa.binary()), items, pa.array([f.longest for f in found], pa.int64()), pa.array([f.at for f in found], pa.int64())]
                     yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], *arrays], names=carried.names)
 
-        return rows.mapInArrow(run, final if last else carried)
+        return rows.mapInArrow(lean(run), final if last else carried)
 
     first = True
     for group, last in _passes(benchmark_blocks(benchmark, item_type, window, block_words, text=text, unnamed=unnamed), most_blocks):

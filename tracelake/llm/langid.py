@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import bound_batches, unused
+from .sparkio import bound_batches, lean, unused
 
 WINDOW = 128
 CONTEXT = 32
@@ -192,7 +192,7 @@ def training_windows(docs: DataFrame, rows_per_lang: int) -> list[tuple[str, byt
     if not counts:
         return []
     # uniform in the hash; twice the bound on average, cut to the bound below
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * rows_per_lang / r["count"])) for r in counts], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "share": pa.array([min(1.0, 2 * rows_per_lang / r["count"]) for r in counts], pa.float64())}))
     chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def training_windows(docs: DataFrame, rows_per_lang: int) -> list[tuple[str, byt
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "lang", "window"])
 
     found: dict[str, list] = {}
-    for i, lang, w in chosen.mapInArrow(run, "doc_id bigint, lang string, window binary").toLocalIterator():
+    for i, lang, w in chosen.mapInArrow(lean(run), "doc_id bigint, lang string, window binary").toLocalIterator():
         found.setdefault(lang, []).append((int(tb.mix(np.array([i], np.int64))[0]), i, bytes(w)))
     return [(lang, w) for lang in sorted(found) for _, _, w in sorted(found[lang])[: rows_per_lang * WINDOWS_PER_ROW]]
 
@@ -288,4 +288,4 @@ def identify_language(docs: DataFrame, learn_from: DataFrame, keep: list[str] |
                 scores += np.where(known, np.clip(p.max(1), 0, 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .sparkio import bound_batches, saved, slices
+from .sparkio import bound_batches, lean, saved, slices
 
 BLOCK_BITS = 1 << 20
 FILTER_BITS = 1 << 31
@@ -120,11 +120,11 @@ def twice_filter(texts: DataFrame, min_chars: int, n_blocks: int, filter_bits: i
         for k, bits in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
 
-    sparse = texts.select("text").mapInArrow(partial, "block int, once binary, twice binary").repartition(slices(n_blocks, 32), "block").mapInArrow(merge, "block int, n_set bigint, bits binary")
+    sparse = texts.select("text").mapInArrow(lean(partial), "block int, once binary, twice binary").repartition(slices(n_blocks, 32), "block").mapInArrow(lean(merge), "block int, n_set bigint, bits binary")
     sparse = saved(sparse, "twice-seen")
     n_set = sparse.agg(F.sum("n_set")).first()[0] or 0
     n_out = min(n_blocks, slices(int(n_set / FILL), BLOCK_BITS), max(1, filter_bits // BLOCK_BITS))
-    out = sparse.select((F.col("block") % n_out).alias("block"), "bits").repartition(slices(n_out, 32), "block").mapInArrow(fold, "block int, bits binary")
+    out = sparse.select((F.col("block") % n_out).alias("block"), "bits").repartition(slices(n_out, 32), "block").mapInArrow(lean(fold), "block int, bits binary")
     bits = np.zeros((n_out, BLOCK_BITS // 8), np.uint8)
     for k, b in out.toLocalIterator():
         bits[k] = np.frombuffer(b, np.uint8)
@@ -161,7 +161,7 @@ def repeated_keys(docs: DataFrame, bits: object, n_blocks: int, n_out: int, min_
             flat = [(k, d) for k, ds in held.items() for d in (ds if len(ds) <= min_docs else sorted(ds)[-min_docs:])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in flat], pa.binary()), pa.array([d for _, d in flat], pa.int64())], names=["key", "doc_id"])
 
-    found = docs.select("doc_id", "text").mapInArrow(suspects, "key binary, doc_id bigint")
+    found = docs.select("doc_id", "text").mapInArrow(lean(suspects), "key binary, doc_id bigint")
     return found.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("kept_in")).where(F.col("n_docs") >= min_docs)
 
 
@@ -222,7 +222,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                 ids = batch.column(at_id).cast(pa.int64()).to_pylist()
                 yield cleaned(batch, lambda row, key, ids=ids: table.get(key, ids[row]) != ids[row])
 
-        out = docs.mapInArrow(run, schema)
+        out = docs.mapInArrow(lean(run), schema)
     else:
 
         def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.binary())], names=["doc_id", "key"])
 
         # a document's list is bounded by its own lines; AQE splits a key that most documents share
-        lost = two.mapInArrow(holders, "doc_id bigint, key binary").join(confirmed, "key").where("doc_id <> kept_in").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+        lost = two.mapInArrow(lean(holders), "doc_id bigint, key binary").join(confirmed, "key").where("doc_id <> kept_in").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
         joined = docs.join(lost.withColumnRenamed("doc_id", "lost_id"), F.col(f"c{at_id}").cast("bigint") == F.col("lost_id"), "left").select(*docs.columns, "lost")
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,5 +245,5 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                 lost_of = [set(x or ()) for x in batch.column(len(names)).to_pylist()]
                 yield cleaned(batch, lambda row, key, lost_of=lost_of: key in lost_of[row])
 
-        out = joined.mapInArrow(run_joined, schema)
+        out = joined.mapInArrow(lean(run_joined), schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "n_lines", "n_dropped")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .sparkio import bound_batches, fitting, saved, slices, unused
+from .sparkio import bound_batches, fitting, lean, lean_groups, saved, slices, unused
 
 FLUSH = 1 << 18
 SLICE = 1 << 19
@@ -105,7 +105,7 @@ def describe(docs: DataFrame, length: int) -> DataFrame:
                 out.append([np.diff(at), _row_sums(tb.mix(sets, 11), at), _row_sums(tb.mix(sets, 12), at)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(c)) for c in zip(*out, strict=True))], names=["doc_id", "n", "s1", "s2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, s1 bigint, s2 bigint")
 
 
 def _sliced(key: np.ndarray, n_slices: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -189,8 +189,8 @@ def shared_counts(docs: DataFrame, length: int, percent: int, postings: int, n_d
         doc, inverse = np.unique(_joined(table["docs"], np.int64), return_inverse=True)
         return pa.table({"doc_id": doc, "shared": np.bincount(inverse, weights=_joined(table["credit"], np.int64), minlength=len(doc)).astype(np.int64)})
 
-    found = docs.mapInArrow(emit, "slice int, hashes binary, docs binary, credited binary, credit binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(merge, "bucket int, docs binary, credit binary")
-    return found.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(add, "doc_id bigint, shared bigint")
+    found = docs.mapInArrow(lean(emit), "slice int, hashes binary, docs binary, credited binary, credit binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(lean_groups(merge), "bucket int, docs binary, credit binary")
+    return found.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lean_groups(add), "doc_id bigint, shared bigint")
 
 
 def whole_sets(docs: DataFrame, length: int) -> DataFrame:
@@ -204,7 +204,7 @@ def whole_sets(docs: DataFrame, length: int) -> DataFrame:
                 rows += [sets[at[k] : at[k + 1]].tobytes() for k in range(piece.last - piece.first)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // 8 for r in rows], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "n", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, hashes binary")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, hashes binary")
 
 
 def _flat_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def hot_shingles(known: DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
             hot = n > share
             yield pa.RecordBatch.from_arrays([pa.array(h[hot].view(np.int64)), pa.array(n[hot])], names=["hash", "count"])
 
-    found = known.select("hashes", "other").mapInArrow(run, "hash bigint, count bigint").toArrow()
+    found = known.select("hashes", "other").mapInArrow(lean(run), "hash bigint, count bigint").toArrow()
     h, n = found["hash"].to_numpy().view(np.uint64), found["count"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -273,11 +273,11 @@ def with_frequencies(sets: DataFrame, shingles: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "docs", "hashes", "counts"])
 
     schema = "slice int, kind int, hashes binary, other binary, counts binary"
-    known = sets.mapInArrow(count, "slice int, hashes binary, counts binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(add, schema)
+    known = sets.mapInArrow(lean(count), "slice int, hashes binary, counts binary").repartition(n_slices, "slice").groupBy("slice").applyInArrow(lean_groups(add), schema)
     known = saved(known, "near-counts")
     # those with more than this share of all postings are fewer than HOT_SHINGLES
     hot = sets.sparkSession.sparkContext.broadcast(hot_shingles(known, shingles // HOT_SHINGLES + 1))
-    return known.union(sets.mapInArrow(postings, schema)).repartition(n_slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, "bucket int, docs binary, hashes binary, counts binary")
+    return known.union(sets.mapInArrow(lean(postings), schema)).repartition(n_slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(lean(look_up), "bucket int, docs binary, hashes binary, counts binary")
 
 
 def band_limits(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -340,7 +340,7 @@ def _by_bucket(parts: DataFrame, sets: DataFrame, shingles: int):
             d, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield _packed(list(_sliced(d.view(np.uint64), n_buckets, d, n)), ["bucket", "docs", "n"])
 
-    sized = sets.select("doc_id", "n").mapInArrow(sizes, "bucket int, docs binary, n binary").repartition(n_buckets, "bucket").groupBy("bucket")
+    sized = sets.select("doc_id", "n").mapInArrow(lean(sizes), "bucket int, docs binary, n binary").repartition(n_buckets, "bucket").groupBy("bucket")
     return parts.repartition(n_buckets, "bucket").groupBy("bucket").cogroup(sized)
 
 
@@ -368,7 +368,7 @@ def signature_holders(parts: DataFrame, sets: DataFrame, shingles: int, percent:
         keys, docs = _bucket_signatures(table, known, percent, frequent, limits)
         return pa.table({"doc_id": docs, "label": keys.view(np.int64)})
 
-    return _by_bucket(parts, sets, shingles).applyInArrow(emit, "doc_id bigint, label bigint")
+    return _by_bucket(parts, sets, shingles).applyInArrow(lean_groups(emit, 2), "doc_id bigint, label bigint")
 
 
 def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: int, frequent: int) -> DataFrame:
@@ -389,8 +389,8 @@ def candidate_edges(parts: DataFrame, sets: DataFrame, shingles: int, percent: i
         edges = np.unique(np.concatenate([edges, old]), axis=0)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    starred = _by_bucket(parts, sets, shingles).applyInArrow(emit, "slice int, keys binary, docs binary, ea binary, eb binary")
-    return starred.repartition(n_slices, "slice").groupBy("slice").applyInArrow(merge, "a bigint, b bigint")
+    starred = _by_bucket(parts, sets, shingles).applyInArrow(lean_groups(emit, 2), "slice int, keys binary, docs binary, ea binary, eb binary")
+    return starred.repartition(n_slices, "slice").groupBy("slice").applyInArrow(lean_groups(merge), "a bigint, b bigint")
 
 
 def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -459,7 +459,7 @@ def verified_edges(sets: DataFrame, groups: DataFrame, percent: int, group_shing
         edges = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return small.union(large).groupBy("g1", "g2", "g3").applyInArrow(verify, "a bigint, b bigint")
+    return small.union(large).groupBy("g1", "g2", "g3").applyInArrow(lean_groups(verify), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, text: str = "text", frequent: int = FREQUENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:

@@ -177,8 +177,9 @@ def distinct_words(docs: DataFrame, cutter) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    rows = [(p, i, float(s)) for p, (i, s) in model.pieces.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    # by Arrow: from a list, Spark would start more Python workers beside those of the queries, and a daemon that stays
+    ids, scores = zip(*model.pieces.values(), strict=True)
+    return spark.createDataFrame(pa.table({"piece": pa.array(model.pieces, pa.string()), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64())}))
 
 
 def _edge(unk_score: float) -> Column:
@@ -435,7 +436,7 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
             for piece in tb.pieces(batch.column(0)):
                 yield batch.slice(piece.first, piece.last - piece.first).filter(pa.array(table.value.known(cutter.value.hash_rows(piece))))
 
-    if rare.select("word").mapInArrow(clashes, "word string").take(1):
+    if rare.select("word").mapInArrow(lean(clashes), "word string").take(1):
         raise ValueError("two words have one 64-bit hash")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
