@@ -497,6 +497,49 @@ def test_fold_is_the_best_path(spark):
         assert abs(score - best[-1]) < 1e-6
 
 
+def test_pieces_are_looked_up_by_a_number(spark, monkeypatch):
+    """The lattice's join has one long as its key, and the strings are compared besides: pieces that share a hash stay apart."""
+    _, model = _model()
+    rnd = random.Random(12)
+    words = spark.createDataFrame([("".join(rnd.choice("abcdefgh▁é漢\U00010348") for _ in range(n)), 1) for n in [*range(1, 30), 70, 300]], "word string, times bigint")
+    table = pieces.piece_table(spark, model._replace(pieces={p: model.pieces[p] for p in sorted(model.pieces)[::20]}))
+
+    def lattices():
+        return pieces.lattice(words, table, model.longest, model.unk_score, 60), pieces.long_lattice(words, table, model.longest, model.unk_score)
+
+    def collected():
+        edges, blocks = lattices()
+        return {r.word: r.edges for r in edges.select("word", F.sort_array("edges").alias("edges")).collect()}, {r.word: r.blocks for r in blocks.collect()}
+
+    for x in lattices():
+        assert re.search(r"BroadcastHashJoin \[xxhash64\(piece#\d+, 42\)\], \[hash#\w+\]", x._jdf.queryExecution().executedPlan().toString())
+    wanted = collected()
+    monkeypatch.setattr(F, "xxhash64", lambda piece: F.length(piece).cast("bigint"))
+    assert collected() == wanted
+
+
+def test_words_and_texts_in_arrow():
+    """Words cut out of code points, distinct hashes and decoded rows, against plain Python."""
+    rnd = random.Random(13)
+    parts = ["".join(rnd.choice("a▁é漢\U00010348\x00\ufeff") for _ in range(rnd.randrange(1, 6))) for _ in range(400)]
+    cps = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    h = pieces.hash_words(cps, at)
+    assert all((h[i] == h[0]) == (x == parts[0]) for i, x in enumerate(parts))
+    keys, first, number = pieces.distinct(h)
+    assert [parts[i] for i in first] == list(dict.fromkeys(parts)) and (keys[number] == h).all() and (h[first] == keys).all()
+    assert pieces.spell(cps, at[:-1][first], np.diff(at)[first]).to_pylist() == list(dict.fromkeys(parts))
+    assert [len(x) for x in pieces.distinct(h[:0])] == [0, 0, 0] and pieces.spell(cps[:0], at[:0], at[:0]).to_pylist() == []
+    outputs = [b"", b" a", "é".encode(), b"\xe6", b"\xbc\xa2", b" "]
+    rows = [None, [], [1, 2], [3, 4], [3], [5, 5, 1], None, [0, 0]]
+    ids = [None if r is None else np.array(r, np.int32) for r in rows]
+    for prefix in (False, True):
+        raws = [None if r is None else b"".join(outputs[i] for i in r) for r in rows]
+        wanted = [None if r is None else (r[1:] if prefix and r[:1] == b" " else r).decode("utf-8", "replace") for r in raws]
+        assert pieces.Speller(pa.array(outputs, pa.large_binary()), prefix).texts(ids) == wanted
+    assert pieces.Speller(pa.array(outputs, pa.large_binary()), True).texts([]) == []
+
+
 def test_very_long_words(spark):
     """Words of 60 000 characters, one of them without any piece, go through the lattice like all others."""
     _, model = _model()

@@ -6,7 +6,7 @@ can be encoded apart and every distinct word only once:
 
 1. All texts are cut, and the distinct words counted (map-side first).
 2. Lattice: substrings of bounded length of every distinct word are exploded and equi-joined to the
-   piece table; the edges are grouped by word, which they are already distributed by.
+   piece table (on a hash, with the strings compared besides); the edges are grouped by word, which they are already distributed by.
 3. Viterbi: a Spark higher-order ``reduce`` (``aggregate``) folds over a word's edges by end and start,
    keeping the best score and path to each end. As Spark copies the state at every step, words over ``SHORT``
    characters are exploded and grouped in blocks and folded in two levels: over a block's edges with the scores
@@ -94,12 +94,30 @@ def _refuse_normaliser(sp) -> None:
         raise ValueError("the model changes texts before cutting them")
 
 
-def hash_words(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of code points, the same wherever it stands: a polynomial, from running sums."""
+def hash_words(cps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each of the spans that ``at`` parts the code points into, the same wherever it stands: a polynomial, from running sums."""
     p, inverse = tb._power(len(cps) + 1)
     total = np.zeros(len(cps) + 1, np.uint64)
-    np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * p[: len(cps)], out=total[1:])
-    return tb.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64), 41)
+    terms = cps.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= p[: len(cps)]
+    np.cumsum(terms, out=total[1:])
+    return tb.mix(np.diff(total[at]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64), 41)
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes as they first come, the places where they do, and the number of each place's hash."""
+    coded = pa.array(h).dictionary_encode()
+    number = coded.indices.to_numpy()
+    return coded.dictionary.to_numpy(), np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)), number
+
+
+def spell(cps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Spans of code points as strings."""
+    own = cps[tb.ranges(starts, sizes)]
+    octets = np.concatenate([[0], np.cumsum(1 + (own >= 0x80) + (own >= 0x800) + (own >= 0x10000))])
+    at = octets[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at), pa.py_buffer(own.tobytes().decode("utf-32-le").encode()))
 
 
 class Cutter:
@@ -117,8 +135,8 @@ class Cutter:
                 self.joined[self.number[ord(a)], self.number[ord(b)]] = True
         self.prefix = model.prefix
 
-    def cut(self, piece: tb.Piece) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        """The rows' prepared texts as one, the words' starts in it (with the end), the row of each word, and a hash of each."""
+    def cut(self, piece: tb.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The code points of the rows' prepared texts, the words' starts in them (with the end), the row of each word, and a hash of each."""
         texts = [piece.text(k).decode("utf-8", "replace") for k in range(piece.last - piece.first)]
         texts = [(" " + t if self.prefix else t) if t else "" for t in texts]
         whole = "".join(texts)
@@ -129,48 +147,44 @@ class Cutter:
         cps = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         if not len(cps):
-            return whole, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return cps, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         number = self.number[cps]
         new = np.ones(len(cps), bool)
         new[1:] = ~self.joined[number[:-1], number[1:]]
         new[at[:-1][at[:-1] < len(cps)]] = True
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(cps))
-        return whole, np.append(starts, len(cps)), np.searchsorted(at, starts, side="right") - 1, hash_words(cps, starts, ends)
+        bounds = np.append(starts, len(cps))
+        return cps, bounds, np.searchsorted(at, starts, side="right") - 1, hash_words(cps, bounds)
 
     def hash_rows(self, piece: tb.Piece) -> np.ndarray:
         """The hashes of rows that are words."""
         texts = [piece.text(k).decode() for k in range(piece.last - piece.first)]
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        return hash_words(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), at[:-1], at[1:])
+        return hash_words(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), at)
 
 
 def distinct_words(docs: DataFrame, cutter) -> DataFrame:
     """``word`` and ``times`` over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            values = list(held.values())
+            cps, sizes, h = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v[0] for v in values], pa.string()), pa.array([v[1] for v in values], pa.int64())], names=["word", "times"])
+            _, first, number = distinct(h)
+            return pa.RecordBatch.from_arrays([spell(cps, (np.cumsum(sizes) - sizes)[first], sizes[first]), pa.array(np.bincount(number))], names=["word", "times"])
 
         chars = 0
         for batch in batches:
             for piece in tb.pieces(batch.column(0)):
-                whole, at, _, h = cutter.value.cut(piece)
-                keys, first, times = np.unique(h, return_index=True, return_counts=True)
-                for k, i, n in zip(keys.tolist(), first.tolist(), times.tolist(), strict=True):
-                    if k in held:
-                        held[k][1] += n
-                    else:
-                        held[k] = [whole[at[i] : at[i + 1]], n]
-                chars += len(whole)
+                cps, at, _, h = cutter.value.cut(piece)
+                held.append((cps, np.diff(at), h))
+                chars += len(cps)
                 if chars >= FLUSH_CHARS:
                     yield flush()
                     chars = 0
-        if held:
+        if chars:
             yield flush()
 
     return docs.select("text").mapInArrow(lean(run), "word string, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
@@ -188,8 +202,14 @@ def _edge(unk_score: float) -> Column:
 
 
 def _edges(spans: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The spans that are pieces; a character that is none stays as an unknown edge. The piece table is bounded by the vocabulary."""
-    return spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end - start = 1")
+    """The spans that are pieces; a character that is none stays as an unknown edge. The piece table is bounded by the vocabulary.
+
+    A single number as the key is looked up faster than a string. The strings are compared besides, as two may have one hash; by
+    order, since an equality would become a part of the key.
+    """
+    table = F.broadcast(pieces.select(F.xxhash64("piece").alias("hash"), F.col("piece").alias("known"), "id", "score"))
+    same = (F.xxhash64("piece") == F.col("hash")) & (F.col("piece") >= F.col("known")) & (F.col("piece") <= F.col("known"))
+    return spans.join(table, same, "left").drop("hash", "known").where("id IS NOT NULL OR end - start = 1")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, unk_score: float, n_words: int) -> DataFrame:
@@ -210,7 +230,7 @@ def long_lattice(words: DataFrame, pieces: DataFrame, longest: int, unk_score: f
     spans = starts.select("key", "first", "part", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("at")))).alias("size"))
     start = F.col("first") + F.col("at")
     exploded = spans.select("key", start.alias("start"), (start + F.col("size")).alias("end"), F.substr("part", F.col("at") + 1, F.col("size")).alias("piece"))
-    blocks = _edges(exploded, pieces).groupBy("key", F.floor((F.col("end") - 1) / BLOCK_CHARS).cast("int").alias("block")).agg(F.array_sort(F.collect_list(_edge(unk_score))).alias("edges"))
+    blocks = _edges(exploded, pieces).groupBy("key", F.floor((F.col("end") - 1) / BLOCK_CHARS).cast("int").alias("block")).agg(F.sort_array(F.collect_list(_edge(unk_score))).alias("edges"))
     whole = blocks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "edges"))).alias("blocks"))
     return keyed.join(whole, "key").select("word", "times", "blocks")
 
@@ -229,19 +249,23 @@ def _ids_of(piece: Column, model: Model) -> Column:
 def fold_viterbi(edges: Column, model: Model) -> Column:
     """The ids of the best path, as a higher-order fold over the edges by end and start.
 
-    The state holds, for each end reached, the best score and the ids that lead there. An edge to the
+    The state holds, for each end reached, the best score and the pieces that lead there. An edge to the
     next end opens it; a better one to the same end replaces it, so among equals the smallest start stays.
     """
 
     def step(state: Column, e: Column) -> Column:
         before = F.element_at(state, e["start"] + 1)
-        found = F.array(F.struct((before["score"] + e["score"]).alias("score"), F.concat(before["ids"], _ids_of(e["id"], model)).alias("ids")))
+        score = before["score"] + e["score"]
+        found = F.struct(score.alias("score"), F.array_append(before["path"], e["id"]).alias("path"))
         opens = F.size(state) == e["end"]
-        better = before["score"] + e["score"] > F.element_at(state, -1)["score"]
-        return F.when(opens, F.concat(state, found)).when(better, F.concat(F.slice(state, F.lit(1), e["end"]), found)).otherwise(state)
+        better = score > F.element_at(state, -1)["score"]
+        return F.when(opens, F.array_append(state, found)).when(better, F.array_append(F.slice(state, F.lit(1), e["end"]), found)).otherwise(state)
+
+    def ids(path: Column) -> Column:
+        return F.when(F.exists(path, lambda piece: piece < 0), F.flatten(F.transform(path, lambda piece: _ids_of(piece, model)))).otherwise(path)
 
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
-    return F.reduce(F.array_sort(edges), first, step, lambda state: F.element_at(state, -1)["ids"])
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path")))
+    return F.reduce(F.sort_array(edges), first, step, lambda state: ids(F.element_at(state, -1)["path"]))
 
 
 def fold_long(word: Column, blocks: Column, model: Model) -> Column:
@@ -320,13 +344,16 @@ class Dictionary(NamedTuple):
         """Which words are here."""
         if not len(self.hashes):
             return np.zeros(len(h), bool)
-        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
+        keys, _, number = distinct(h)
+        return (self.hashes[np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)] == keys)[number]
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words on end, and how many each has."""
-        k = np.searchsorted(self.hashes, h)
+        keys, _, number = distinct(h)  # each word is searched for once
+        k = np.searchsorted(self.hashes, keys)
         start = self.at[k].astype(np.int64)
-        n = self.at[k + 1] - start
+        n = (self.at[k + 1] - start)[number]
+        start = start[number]
         return self.ids[tb.ranges(start, n)].astype(np.int32), n
 
     def look_up_with(self, h: np.ndarray, others: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,10 +403,34 @@ def dictionary(words: DataFrame, cutter, n_ids: int) -> Dictionary:
     return Dictionary(h, at, out)
 
 
+class Speller(NamedTuple):
+    """Each id's bytes, and how text begins."""
+
+    outputs: pa.LargeBinaryArray
+    prefix: bool
+
+    def texts(self, ids: list[np.ndarray | None]) -> list[str | None]:
+        """What the ids of some rows decode to; null for null ids."""
+        given = [x for x in ids if x is not None]
+        spelled = self.outputs.take(pa.array(np.concatenate([np.zeros(0, np.int32), *given])))
+        _, where, raw = spelled.buffers()
+        octets = np.frombuffer(where, np.int64)[np.concatenate([[0], np.cumsum([len(x) for x in given])]).astype(np.int64)].tolist()
+        whole = memoryview(raw or b"")
+        found = (bytes(whole[a:z]) for a, z in zip(octets, octets[1:], strict=False))
+        return [None if x is None else self._text(next(found)) for x in ids]
+
+    def _text(self, raw: bytes) -> str:
+        return (raw[1:] if self.prefix and raw.startswith(b" ") else raw).decode("utf-8", "replace")
+
+
+def speller(model: Model) -> Speller:
+    return Speller(pa.array(model.outputs, pa.large_binary()), model.prefix)
+
+
 EXTRAS = {"ids": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "round_trip": T.BooleanType()}
 
 
-def _extra(name: str, ids: list[np.ndarray | None], texts: list[str | None], model: Model) -> pa.Array:
+def _extra(name: str, ids: list[np.ndarray | None], texts: list[str | None], spelled_out: Speller) -> pa.Array:
     """A column made of the ids of some rows; null for null ids."""
     each = lambda f, kind: pa.array([None if x is None else f(x) for x in ids], kind)
     if name == "n_pieces":
@@ -387,9 +438,9 @@ def _extra(name: str, ids: list[np.ndarray | None], texts: list[str | None], mod
     if name == "ids_sha256":
         return each(lambda x: hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), pa.string())
     if name == "decoded":
-        return each(lambda x: decode_ids(x, model), pa.string())
+        return pa.array(spelled_out.texts(ids), pa.string())
     if name == "round_trip":
-        return pa.array([t is None if x is None else decode_ids(x, model) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+        return pa.array([found == t for found, t in zip(spelled_out.texts(ids), texts, strict=True)], pa.bool_())
     at = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32)
     flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=pa.array([x is None for x in ids]))
@@ -407,7 +458,7 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
     source = docs.select(*given) if scanned in names else docs.select(*given, F.col("text").alias(scanned))
     at_text = source.columns.index(scanned)
     schema = T.StructType([*(source.schema[c] for c in names), *(T.StructField(x, EXTRAS[x]) for x in extras)])
-    spelled_out = spark.sparkContext.broadcast(model)
+    spelled_out = spark.sparkContext.broadcast(speller(model))
     least = least_times(words, broadcast_words)
     table = spark.sparkContext.broadcast(dictionary(words.where(F.col("times") >= least), cutter, len(model.outputs)))
 
@@ -443,10 +494,9 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
         """The places, counted in their text, of the words that the dictionary lacks."""
         for batch in batches:
             for piece in tb.pieces(batch.column(0)):
-                whole, at, row, h = cutter.value.cut(piece)
+                cps, at, row, h = cutter.value.cut(piece)
                 k = np.flatnonzero(~table.value.known(h))
-                found = [whole[a:z] for a, z in zip(at[k].tolist(), at[k + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row[k] + piece.first)), pa.array((k - np.searchsorted(row, row[k])).astype(np.int32)), pa.array(found, pa.string())], names=["key", "place", "word"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row[k] + piece.first)), pa.array((k - np.searchsorted(row, row[k])).astype(np.int32)), spell(cps, at[k], at[k + 1] - at[k])], names=["key", "place", "word"])
 
     # equal texts have equal ids, so texts are keyed by 128-bit digests, and copies of a place count once
     key, joined_ids = unused(source, "key"), unused(source, "ids_in")
@@ -465,24 +515,18 @@ def encode(docs: DataFrame, model: Model, broadcast_words: int = BROADCAST_WORDS
     return joined.mapInArrow(lean(finish), schema)
 
 
-def decode_ids(ids: list[int] | np.ndarray, model: Model) -> str:
-    raw = b"".join(map(model.outputs.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
-    return (raw[1:] if model.prefix and raw.startswith(b" ") else raw).decode("utf-8", "replace")
-
-
 def decode(encoded: DataFrame, model: Model, into: str = "decoded") -> DataFrame:
     """Adds the text of ``ids``; null for null."""
     names = [c for c in encoded.columns if c.lower() != into.lower()]
     source = encoded.select(*(F.col(f"`{c}`") for c in names), F.col("ids").alias("_ids_in"))
     schema = T.StructType([*source.drop("_ids_in").schema.fields, T.StructField(into, T.StringType())])
-    table = encoded.sparkSession.sparkContext.broadcast(model)
+    spelled_out = encoded.sparkSession.sparkContext.broadcast(speller(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = table.value
         for batch in batches:
             for at in range(0, batch.num_rows, DECODED_ROWS):
                 part = batch.slice(at, DECODED_ROWS)
-                texts = [decode_ids(x.values.to_numpy(zero_copy_only=False), model) if x.is_valid else None for x in part.column(len(names))]
+                texts = spelled_out.value.texts([x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in part.column(len(names))])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(texts, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
