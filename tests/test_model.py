@@ -29,6 +29,15 @@ def test_times(spark):
     assert r.stamp.replace(tzinfo=None) == dt.datetime(2026, 4, 18, 9, 40, 47, 325713)
 
 
+def test_browser_seconds_beyond_exact_doubles(spark):
+    """The last microsecond of a second belongs to it, where a double only has every second microsecond."""
+    seconds = [1704267632, 1704267633, 1705366295, 9_007_199_254]
+    rows = spark.createDataFrame([(s, m) for s in seconds for m in (0, 1, 999_998, 999_999)], "s bigint, m bigint")
+    since_1970 = F.col("s") * 1_000_000 + F.col("m")
+    for got in (timefn.chromium_unix(since_1970 + F.lit(11_644_473_600_000_000)), timefn.firefox_unix(since_1970), timefn.firefox_unix(since_1970 + F.lit(11_644_473_600_000_000)) - 11_644_473_600):
+        assert rows.where(got != F.col("s")).collect() == []
+
+
 def test_identities(spark):
     import hashlib
     import uuid

@@ -50,14 +50,19 @@ def ole_millis(days: Column) -> Column:
     return F.when(ok, F.round((days - 25569) * 86400000).cast("bigint"))
 
 
+def whole_seconds(micros: Column) -> Column:
+    """Seconds of microseconds, rounded down; exact beyond 2^53, too, where a division of doubles can round up."""
+    return F.floor(micros.cast("decimal(20,0)") / 1000000).cast("bigint")
+
+
 def chromium_unix(micros: Column) -> Column:
     """Unix seconds of microseconds since 1601; null for unset and for times before 1970."""
-    seconds = F.floor(micros / 1000000).cast("bigint") - 11644473600
+    seconds = whole_seconds(micros) - 11644473600
     return F.when((micros > 0) & (seconds >= 0), seconds)
 
 
 def firefox_unix(micros: Column) -> Column:
-    return F.when(micros > 0, F.floor(micros / 1000000).cast("bigint"))
+    return F.when(micros > 0, whole_seconds(micros))
 
 
 def preferred_ticks(attributes: Column, stem: str) -> Column:
