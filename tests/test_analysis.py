@@ -130,6 +130,21 @@ def test_empty_inputs(spark):
     assert [r.limited for r in dimensions.capped(spark.range(3).withColumn("g", F.lit(1)), ["g"], ["id"], 2).collect()] == [True, True]
 
 
+VALUE = "image bigint, hive string, user string, key string, name string, text string, data binary, hive_offset bigint, key_offset bigint, key_filetime bigint"
+
+
+def test_list_positions_are_not_broadcast(spark, tmp_path):
+    """Positions grow with the entries; a small estimate of either must not send them to the driver."""
+    key = registry.EXPLORER + "\\RunMRU"
+    rows = [(i, "NTUSER", user, key, name, text, None, 0, 0, 0) for i in range(2) for user in "ab" for name, text in (("a", "x\\1"), ("b", user), ("c", "z"), ("MRUList", "ba" if i else "abb"))]
+    spark.createDataFrame(rows, VALUE).write.parquet(str(tmp_path / "values"))
+    found = registry.mru_entries(spark.read.parquet(str(tmp_path / "values")), ["image", "user"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    position = {(r.image, r.user, r.name): r.attributes.get("mru_position") for r in found.collect()}
+    assert position == {(i, user, name): at for i in range(2) for user in "ab" for name, at in (("x", "1" if i else "0"), (user, "0" if i else "2"), ("z", None))}
+
+
 def test_addresses_by_the_standard_library(spark):
     """Canonical forms of random literals, and addresses at any place of contents in both encodings, with their limit."""
     import ipaddress

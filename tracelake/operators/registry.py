@@ -167,7 +167,10 @@ def mru_positions(values: DataFrame) -> DataFrame:
 
 
 def mru_entries(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFrame:
-    """Entries of RunMRU, TypedPaths, WordWheelQuery and RecentDocs (with its subkeys) with their positions."""
+    """Entries of RunMRU, TypedPaths, WordWheelQuery and RecentDocs (with its subkeys) with their positions.
+
+    There are about as many positions as entries, so they are merged: sizes that are estimated before values are read can be far too small, and a broadcast then takes them all to the driver.
+    """
     kind, listed = F.lit(None).cast("string"), F.lit(False)
     for path, name, ordered in MRU_KINDS:
         here = _is("key", EXPLORER + path) | (_below(EXPLORER + path).isNotNull() if name == "recent_doc" else F.lit(False))
@@ -175,7 +178,7 @@ def mru_entries(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFram
     own = values.where((F.col("hive") == "NTUSER") & ~_is("name", "MRUListEx", "MRUList", "")).withColumns({"kind": kind, "listed": listed}).where("kind IS NOT NULL")
     # commands end with \1; searches and documents are UTF-16 up to the first zero
     shown = F.when(F.col("kind") == "run_mru", F.regexp_replace("text", r"(?:\\1)*\\*$", "")).when(F.col("kind") == "typed_path", F.col("text")).otherwise(bytesfn.utf16_prefix(F.col("data")))
-    own = own.withColumns({"shown": shown, "low": F.lower("name")}).where("shown <> ''").join(mru_positions(values), ["image", "user", "key", "low"], "left")
+    own = own.withColumns({"shown": shown, "low": F.lower("name")}).where("shown <> ''").join(mru_positions(values).hint("merge"), ["image", "user", "key", "low"], "left")
     return _activity(own, keep, F.col("kind"), F.col("shown"), mru_position=F.when(F.col("listed"), F.col("position")))
 
 
