@@ -145,6 +145,37 @@ def test_list_positions_are_not_broadcast(spark, tmp_path):
     assert position == {(i, user, name): at for i in range(2) for user in "ab" for name, at in (("x", "1" if i else "0"), (user, "0" if i else "2"), ("z", None))}
 
 
+def test_control_sets_are_not_broadcast(spark, tmp_path):
+    """There are as many sets as installations; of each, services, devices and executions of the one in use are found, whatever their number."""
+    rows = []
+    for image, current in ((1, "2"), (2, None), (3, "1"), (None, None)):
+        add = lambda key, name, text, data=None, image=image: rows.append((image, "SYSTEM", None, key, name, text, data, 0, 0, 0))
+        if current:
+            add("Select", "Current", current)
+        for n in (1, 2):
+            at = f"controlset00{n}\\"
+            add(at + "services\\S", "imagepath", f"a{n}.exe")
+            add(at + "services\\S", "START", str(n))
+            add(at + "services\\S", "Start", "")
+            add(at + "services\\S\\Sub", "ImagePath", "x.exe")
+            add(at + "services\\Empty", "Start", "3")
+            add(at + "Enum\\USBSTOR\\D\\1", "FriendlyName", f"d{n}")
+            add(at + "Services\\BAM\\UserSettings\\S-1", f"C:\\p{n}", None, bytearray(8))
+    spark.createDataFrame(rows, VALUE).write.parquet(str(tmp_path / "values"))
+    values = spark.read.parquet(str(tmp_path / "values"))
+    names = {}
+    for analyzer in (registry.services, registry.usb_devices, registry.last_executions):
+        found = analyzer(values)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        names[analyzer.__name__] = sorted((r.image, r.name, r.source, r.attributes.get("befehl"), r.attributes.get("start_typ")) for r in found.collect() if r.image)
+    sets = {1: 2, 2: 1, 3: 1}
+    path = lambda n, rest: f"SYSTEM\\controlset00{n}\\{rest}"
+    assert names["services"] == [(i, "S", path(n, "services\\S"), f"a{n}.exe", str(n)) for i, n in sets.items()]
+    assert names["usb_devices"] == [(i, f"d{n}", path(n, "Enum\\USBSTOR\\D\\1"), None, None) for i, n in sets.items()]
+    assert names["last_executions"] == [(i, f"C:\\p{n}", path(n, "Services\\BAM\\UserSettings\\S-1"), None, None) for i, n in sets.items()]
+
+
 def test_addresses_by_the_standard_library(spark):
     """Canonical forms of random literals, and addresses at any place of contents in both encodings, with their limit."""
     import ipaddress

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import bytesfn, textfn, timefn
@@ -67,13 +67,22 @@ def control_sets(values: DataFrame) -> DataFrame:
     return values.where((F.col("hive") == "SYSTEM") & _is("key", "Select") & _is("name", "Current")).groupBy("image").agg(F.concat(F.lit("ControlSet"), F.min(number)).alias("control_set"))
 
 
-def current_system(values: DataFrame) -> DataFrame:
-    """``SYSTEM`` values below the control set in use (``ControlSet001`` where none is named), with ``path`` behind it. There is a set an installation, so it is broadcast."""
-    joined = values.where("hive = 'SYSTEM'").join(F.broadcast(control_sets(values)), "image", "left").withColumn("control_set", F.coalesce("control_set", F.lit("ControlSet001")))
+def current_system(values: DataFrame, path: str, rows: DataFrame | None = None) -> DataFrame:
+    """``SYSTEM`` values below the control set in use (``ControlSet001`` where none is named) whose keys behind it match the pattern ``path``, with ``path`` the key behind it. ``rows``: the values with more columns.
+
+    There is a set an installation, and there may be many installations, so sets are merged with the values that match.
+    """
+    own = system_values(values if rows is None else rows, path)
+    joined = own.join(control_sets(values).hint("merge"), "image", "left").withColumn("control_set", F.coalesce("control_set", F.lit("ControlSet001")))
     inside = F.startswith(F.lower("key"), F.concat(F.lower("control_set"), F.lit("\\")))
     return joined.where(inside).withColumn("path", F.substr("key", F.length("control_set") + 2))
 
 
+def system_values(values: DataFrame, path: str) -> DataFrame:
+    """``SYSTEM`` values whose keys behind any control set match the pattern ``path``."""
+    return values.where((F.col("hive") == "SYSTEM") & F.col("key").rlike(rf"(?i)^[^\\]+\\{path}$"))
+
+
 def autostarts(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFrame:
     """Run keys of system and users, Winlogon, AppInit_DLLs and debuggers of programs."""
     place = F.when(F.col("hive") == "NTUSER", F.concat(F.lit("HKCU "), "user")).otherwise("HKLM SOFTWARE")
@@ -96,10 +105,13 @@ def autostarts(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFrame
 
 def services(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFrame:
     """Services with an image path, its rating, and their start type, display name and account."""
-    own = current_system(values).withColumn("service", F.regexp_extract("path", r"(?i)^Services\\([^\\]+)$", 1)).where("service <> ''")
-    text = lambda name: F.max(F.when(_is("name", name) & (F.col("text") != ""), F.col("text")))
-    others = own.groupBy("image", "key").agg(text("Start").alias("start"), text("DisplayName").alias("shown"), text("ObjectName").alias("account"))
-    rated = textfn.rate_commands(own.where(_is("name", "ImagePath") & F.col("text").isNotNull()), "text").join(others, ["image", "key"])
+    at = r"Services\\([^\\]+)"
+    every = Window.partitionBy("image", "key")
+    text = lambda name: F.max(F.when(_is("name", name) & (F.col("text") != ""), F.col("text"))).over(every)
+    # a key's values lie in one control set, so they are brought together before it is known, and only image paths are joined with it
+    named = system_values(values, at).where(_is("name", "ImagePath", "Start", "DisplayName", "ObjectName") & F.col("image").isNotNull())
+    paths = named.withColumns({"start": text("Start"), "shown": text("DisplayName"), "account": text("ObjectName")}).where(_is("name", "ImagePath") & F.col("text").isNotNull())
+    rated = textfn.rate_commands(current_system(values, at, paths).withColumn("service", F.regexp_extract("path", rf"(?i)^{at}$", 1)), "text")
     reasons = F.concat_ws(",", F.when(F.col("path_status") == "auffaellig", F.concat(F.lit("pfad:"), F.coalesce("reason", F.lit("")))), F.when(F.col("lolbin"), "systemwerkzeug"))
     values_ = attributes(**_where(), befehl=F.col("text"), ort=F.lit("Dienst"), auffaellig=_yes(reasons != ""), pfad_status=F.col("path_status"), auffaellig_grund=F.when(reasons != "", reasons), unquotierter_pfad=F.when(F.col("unquoted_space"), "ja"), start_typ=F.col("start"), anzeigename=F.col("shown"), konto=F.col("account"))
     return _finding(rated, keep, "persistence", F.col("service"), F.concat(F.lit("SYSTEM\\"), "key"), values_)
@@ -107,8 +119,9 @@ def services(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFrame:
 
 def usb_devices(values: DataFrame) -> DataFrame:
     """One finding for each device instance under USBSTOR: its friendly name, or else its key's."""
-    at = r"(?i)^Enum\\USBSTOR\\([^\\]+)\\([^\\]+)$"
-    own = current_system(values).withColumns({"device": F.regexp_extract("path", at, 1), "serial": F.regexp_extract("path", at, 2)}).where("device <> ''")
+    at = r"Enum\\USBSTOR\\([^\\]+)\\([^\\]+)"
+    part = lambda k: F.regexp_extract("path", rf"(?i)^{at}$", k)
+    own = current_system(values, at).withColumns({"device": part(1), "serial": part(2)})
     one = own.groupBy("image", "key", "device", "serial").agg(F.max(F.when(_is("name", "FriendlyName"), F.col("text"))).alias("friendly"), F.min("key_offset").alias("offset"))
     return _finding(one, ["image"], "usb", F.coalesce("friendly", "device"), F.concat(F.lit("SYSTEM\\"), "key"), attributes(geraet=F.col("device"), seriennummer=F.col("serial"), hive_offset=F.col("offset")))
 
@@ -127,8 +140,9 @@ def mounts(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFrame:
 
 def last_executions(values: DataFrame, keep: Sequence[str] = ("image",)) -> DataFrame:
     """BAM and DAM: programs by SID with the FILETIME in a value's first eight bytes."""
-    at = r"(?i)^Services\\(bam|dam)\\(?:State\\)?UserSettings\\([^\\]+)$"
-    own = current_system(values).withColumns({"service": F.lower(F.regexp_extract("path", at, 1)), "sid": F.regexp_extract("path", at, 2)}).where("service <> ''")
+    at = r"Services\\(bam|dam)\\(?:State\\)?UserSettings\\([^\\]+)"
+    part = lambda k: F.regexp_extract("path", rf"(?i)^{at}$", k)
+    own = current_system(values, at).withColumns({"service": F.lower(part(1)), "sid": part(2)})
     own = own.where((F.startswith("name", F.lit("\\Device\\")) | F.contains("name", F.lit(":\\"))) & (F.octet_length("data") >= 8)).withColumn("ticks", bytesfn.unsigned(F.col("data"), 0, 8))
     seconds = timefn.filetime_seconds(F.col("ticks"))
     values_ = attributes(art=F.col("service"), sid=F.col("sid"), hive_offset=F.col("hive_offset"), letzte_ausfuehrung_unix=seconds, letzte_ausfuehrung_filetime=F.when(seconds.isNotNull(), F.col("ticks")))
