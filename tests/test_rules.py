@@ -74,6 +74,41 @@ def test_runs(spark, seed, comparisons, matches):
     assert tuple(summary.first()) == (done, len(wanted), limited)
 
 
+def all_pairs(rows):
+    """Every match of the rules, by a loop."""
+    out = set()
+    for g in {t["entity_id"] for t in rows}:
+        own = [t for t in rows if t["entity_id"] == g]
+        for a in own:
+            for b in own:
+                name, delta = rule(a, b), b["time_ns"] - a["time_ns"]
+                if name and 0 <= delta <= WINDOWS[name] and (name != "execution-sources" or delta or (a["event_id"], a["artifact_id"]) < (b["event_id"], b["artifact_id"])):
+                    out.add((name, a["event_id"], b["event_id"]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_all_pairs_once(spark, seed):
+    """Events of one trace, of equal traces, and of several traces in one group and in two; times before 1970, too."""
+    rows = traces(seed, 150)
+    for t in rows[::4]:
+        rows = [*rows, t, {**t, "entity_id": 2, "artifact_id": t["artifact_id"] + "x"}, {**t, "parser": "r"}]
+    # a task is no service
+    rows = [{**t, "time_ns": t["time_ns"] - 86_400 * SECOND, "entity_id": t["entity_id"] + 9 * (t["entity_kind"] == "scheduled_task")} for t in rows]
+    found = correlate.rule_pairs(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(3), ["entity_id"])
+    wanted = all_pairs(rows)
+    assert {x[0] for x in wanted} == set(WINDOWS)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Pairs of events with one trace each are as many as they are; no aggregate stands above their join."""
+    found = correlate.rule_pairs(spark.createDataFrame([tuple(r.values()) for r in traces(1, 9)], SCHEMA), ["entity_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = plan[: next(i for i, x in enumerate(plan) if "Join " in x)]
+    assert "Union" in above[0] and not any(k in x for x in above for k in ("Aggregate", "Repartition", "Sort", "Window"))
+
+
 def test_no_traces(spark):
     found, summary = correlate.evaluated(spark.createDataFrame([], SCHEMA), ["entity_id"])
     assert found.collect() == [] and tuple(summary.first()) == (0, 0, False)

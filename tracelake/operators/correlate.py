@@ -60,38 +60,47 @@ def interval_pairs(traces: DataFrame, group: Sequence[str], first_kind: str, sec
 RULE_WINDOWS = (("execution-sources", 2 * 10**9), ("persistence-activity", 86_400 * 10**9), ("process-network", 300 * 10**9))
 
 
-def rule_candidates(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope")) -> DataFrame:
-    """Every ordered pair that the fixed rules compare, by rule: rule, a_id, b_id, delta, and whether it ``matches`` the rule's window.
+def rule_sides(traces: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The traces that a fixed rule can begin with, and those that it can end with, by ``rule``: equal ones once, with the rule's window, and whether their event has ``several``.
 
-    Each rule joins only the kinds it is about, on its group and on time buckets as wide as its window: the first
-    event goes to its bucket and the next, the second to its own. So a hot group is cut by time.
+    All traces of an event are brought to one task for that. The parser is kept for the rule that compares it.
     """
-    t = traces.withColumn("at", F.col("time_ns"))
-    event_time = F.col("semantics") == "event_time"
-    programs = t.where(event_time & (F.col("kind") == "process_start") & F.col("entity_kind").isin("file", "application") & (F.col("role") == "executable"))
-    made = t.where(((F.col("entity_kind") == "service") & (F.col("kind") == "service_installed")) | ((F.col("entity_kind") == "scheduled_task") & (F.col("kind") == "scheduled_task_created")))
-    active = t.where(event_time & (((F.col("entity_kind") == "service") & (F.col("kind") == "service_started")) | ((F.col("entity_kind") == "scheduled_task") & (F.col("kind") == "scheduled_task_executed"))))
-    processes = t.where(event_time & (F.col("entity_kind") == "process") & (F.col("role") == "process"))
-    sides = {"execution-sources": (programs, programs, F.col("a.parser") != F.col("b.parser")), "persistence-activity": (made, active, F.lit(True)), "process-network": (processes.where("kind = 'process_start'"), processes.where("kind IN ('network_connection', 'dns_query', 'http_request')"), F.lit(True))}
-    out = None
-    for rule, window in RULE_WINDOWS:
-        left, right, also = sides[rule]
-        bucket = F.floor(F.col("at") / window)
-        a = left.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).alias("a")
-        b = right.withColumn("bucket", bucket).alias("b")
-        on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.event_id") != F.col("b.event_id")) & (F.col("a.artifact_id") != F.col("b.artifact_id"))
-        for g in group:
-            on = on & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-        delta = F.col("b.at") - F.col("a.at")
-        ordered = (delta > 0) | ((delta == 0) & (F.struct("a.event_id", "a.artifact_id") < F.struct("b.event_id", "b.artifact_id"))) if rule == "execution-sources" else delta >= 0
-        pairs = a.join(b, on & ordered).select(F.lit(rule).alias("rule"), F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), delta.alias("delta"), ((delta <= window) & also).alias("matches"))
-        out = pairs if out is None else out.union(pairs)
-    return out
+    timed = F.col("semantics") == "event_time"
+    program = timed & (F.col("kind") == "process_start") & F.col("entity_kind").isin("file", "application") & (F.col("role") == "executable")
+    of_entity = lambda service, task: ((F.col("entity_kind") == "service") & (F.col("kind") == service)) | ((F.col("entity_kind") == "scheduled_task") & (F.col("kind") == task))
+    process = timed & (F.col("entity_kind") == "process") & (F.col("role") == "process")
+    begins = {"execution-sources": program, "persistence-activity": of_entity("service_installed", "scheduled_task_created"), "process-network": process & (F.col("kind") == "process_start")}
+    ends = {"execution-sources": program, "persistence-activity": timed & of_entity("service_started", "scheduled_task_executed"), "process-network": process & F.col("kind").isin("network_connection", "dns_query", "http_request")}
+
+    def side(tests: dict[str, Column]) -> DataFrame:
+        rules = F.array_compact(F.array(*(F.when(tests[rule], F.struct(F.lit(rule).alias("rule"), F.lit(window).alias("window"))) for rule, window in RULE_WINDOWS)))
+        rows = traces.select(*group, "event_id", "artifact_id", "parser", F.col("time_ns").alias("at"), F.inline(rules))
+        rows = rows.withColumn("parser", F.when(F.col("rule") == "execution-sources", F.col("parser"))).repartition("rule", "event_id").distinct()
+        return rows.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("rule", "event_id")) > 1)
+
+    return side(begins), side(ends)
 
 
 def rule_pairs(traces: DataFrame, group: Sequence[str] = ("entity_id", "host_id", "evidence_id", "scope")) -> DataFrame:
-    """The three fixed rules over eligible traces with nanosecond times: rule, a_id, b_id. Equal pairs count once."""
-    return rule_candidates(traces, group).where("matches").select("rule", "a_id", "b_id").distinct()
+    """The three fixed rules over eligible traces with nanosecond times: rule, a_id, b_id. Equal pairs count once.
+
+    A rule's traces are joined on its group and on time buckets as wide as its window: the first goes to its bucket and the next, the
+    second to its own, so a hot group is cut by time. Pairs grow with the square of a group's traces, so they are not shuffled to
+    find equal ones: two events with one trace each on their sides make one pair. Only pairs with an event of several traces can be equal,
+    and only they are compared. Both kinds come from one join by a tag, which two traces share exactly once: 0 if both are their events' only ones.
+    """
+    first, second = rule_sides(traces, group)
+    own = F.col("at") - F.pmod("at", "window")  # the bucket's begin
+    tags = lambda several, one: F.explode(F.when(F.col("several"), F.array(*map(F.lit, several))).otherwise(F.array(*map(F.lit, one))))
+    a = first.withColumn("bucket", F.explode(F.array(own, own + F.col("window")))).withColumn("tag", tags([1], [0, 2])).alias("a")
+    b = second.withColumn("bucket", own).withColumn("tag", tags([1, 2], [0, 1])).alias("b")
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    sources = (x("parser") != y("parser")) & ((x("at") < y("at")) | (F.struct(x("event_id"), x("artifact_id")) < F.struct(y("event_id"), y("artifact_id"))))
+    test = (x("at") <= y("at")) & (y("at") <= x("at") + x("window")) & (x("event_id") != y("event_id")) & (x("artifact_id") != y("artifact_id")) & ((x("rule") != "execution-sources") | sources)
+    for k in ("rule", *group, "bucket", "tag"):
+        test = test & (x(k) == y(k))
+    pairs = a.join(b, test).select(x("rule").alias("rule"), x("event_id").alias("a_id"), y("event_id").alias("b_id"), x("tag").alias("tag"))
+    return pairs.where("tag = 0").drop("tag").union(pairs.where("tag > 0").drop("tag").distinct())
 
 
 #: fixed value: what a run compares lies less than a day and a second apart
